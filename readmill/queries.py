@@ -1,16 +1,38 @@
-"""Queries of the core operators on the supplied tables."""
+"""Queries of the core operators on the supplied tables, and the same in SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from readmill.operators import packed_fields, rejects, units
+from readmill.functions import bases as B
+from readmill.functions import tags as T
+from readmill.operators import blocks, ordered, packed_fields, rejects, titles, units
 from readmill.plans.runtime import load
 
 
+def _reads(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return blocks.reads(load(spark, d, "fastq_reads"), *columns)
+
+
+def _positions(spark: SparkSession, d: str, *keep: str) -> DataFrame:
+    return blocks.positions(_reads(spark, d, "block_id", "run_id", "sequence", "quality"), *keep)
+
+
+def _codes(spark: SparkSession, d: str) -> DataFrame:
+    return blocks.with_transfer(_positions(spark, d))
+
+
+def _fields(spark: SparkSession, d: str) -> DataFrame:
+    return titles.title_fields(_reads(spark, d, "block_id", "tag"))
+
+
+# --- problems 2 to 4 ---------------------------------------------------------------------------
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     out = units.phred_sums(load(spark, d, "fastq_reads"), "read_id", "quality", "run_id", load(spark, d, "dataset"))
     return out.filter("not (unit = 'code' and parameter = 33)").select(F.col("id").alias("read_id"), "phred_sum")
@@ -33,9 +55,317 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumnRenamed("id", "read_id")
 
 
+# --- reads and datasets ------------------------------------------------------------------------
+
+
+def reads_scan(spark: SparkSession, d: str) -> DataFrame:
+    return _reads(spark, d)
+
+
+def quality_offset_infer(spark: SparkSession, d: str) -> DataFrame:
+    return blocks.dataset_type(_reads(spark, d, "run_id", "sequence", "plus", "quality"))
+
+
+def record_validity(spark: SparkSession, d: str) -> DataFrame:
+    ok = B.valid_record(F.col("tag"), F.col("sequence"), F.col("plus"), F.col("quality"))
+    return _reads(spark, d, "run_id", "tag", "sequence", "plus", "quality").groupBy("run_id", ok.alias("valid")).agg(F.count("*").alias("n"))
+
+
+def plus_regenerate(spark: SparkSession, d: str) -> DataFrame:
+    return _reads(spark, d, "tag", "plus").filter("tag is not null").select(
+        "read_id", B.plus_line(F.col("tag"), F.coalesce(F.length("plus") > 1, F.lit(False))).alias("plus_line")
+    )
+
+
+def fastq_text(spark: SparkSession, d: str) -> DataFrame:
+    return _reads(spark, d, "tag", "sequence", "plus", "quality").select(
+        "read_id", B.fastq_text(F.col("tag"), F.col("sequence"), F.col("plus"), F.col("quality")).alias("record_text")
+    )
+
+
+def record_bytes(spark: SparkSession, d: str) -> DataFrame:
+    return _reads(spark, d, "tag", "sequence", "plus", "quality").select(
+        "read_id", B.record_bytes(F.col("tag"), F.col("sequence"), F.col("plus"), F.col("quality")).cast("long").alias("rec_bytes")
+    )
+
+
+def block_assemble(spark: SparkSession, d: str) -> DataFrame:
+    r = _reads(spark, d, "run_id", "tag", "sequence", "plus", "quality").withColumn(
+        "rec_bytes", B.record_bytes(F.col("tag"), F.col("sequence"), F.col("plus"), F.col("quality"))
+    )
+    out = ordered.assemble(r.filter("rec_bytes is not null"), 65536, "run_id")
+    return out.groupBy("run_id", "part").agg(F.count("*").alias("n"), F.sum("rec_bytes").alias("part_bytes"))
+
+
+def chunk_records(spark: SparkSession, d: str) -> DataFrame:
+    from readmill.sources.fastq import chunk_rows
+
+    return chunk_rows(load(spark, d, "fastq_chunks"), "chunk_id", "chunk_text")
+
+
+def stream_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return _reads(spark, d, "run_id", "tag", "sequence", "quality").groupBy("run_id").agg(
+        *(F.sum(F.octet_length(c)).alias(f"{c}_bytes") for c in ("tag", "sequence", "quality"))
+    )
+
+
+# --- blocks ------------------------------------------------------------------------------------
+
+
+def block_stats(spark: SparkSession, d: str) -> DataFrame:
+    r = _reads(spark, d, "block_id", "tag", "sequence", "plus", "quality")
+    size = B.record_bytes(F.col("tag"), F.col("sequence"), F.col("plus"), F.col("quality"))
+    first = F.substring("sequence", 1, 1)
+    return r.groupBy("block_id").agg(
+        F.count("*").alias("n_records"),
+        F.sum(size).alias("size_bytes"),
+        F.min(F.length("quality")).alias("min_length"),
+        F.max(F.length("quality")).alias("max_length"),
+        (F.min(F.length("quality")) != F.max(F.length("quality"))).alias("variable_length"),
+        (F.min(first) == F.max(first)).alias("primer_const"),
+        F.when(F.min(first) == F.max(first), F.min(first)).alias("primer_base"),
+    )
+
+
+def block_meta_check(spark: SparkSession, d: str) -> DataFrame:
+    """Recorded block headers against the reads that are there."""
+    seen = _reads(spark, d, "block_id", "quality").groupBy("block_id").agg(
+        F.count("*").alias("n_seen"), F.min(F.length("quality")).alias("min_seen"), F.max(F.length("quality")).alias("max_seen")
+    )
+    m = load(spark, d, "block_meta").select("block_id", "records_count", "min_len", "max_len")
+    return m.join(seen, "block_id", "left").select(
+        "block_id", "records_count", F.coalesce("n_seen", F.lit(0)).cast("long").alias("n_seen"),
+        (F.coalesce("n_seen", F.lit(0)) - F.col("records_count")).cast("long").alias("n_missing"),
+        (F.col("min_len").eqNullSafe(F.col("min_seen")) & F.col("max_len").eqNullSafe(F.col("max_seen"))).alias("lengths_agree"),
+    )
+
+
+def _joined(column: str):
+    return F.expr(f"listagg({column}, '') within group (order by read_id)")
+
+
+def block_digest(spark: SparkSession, d: str) -> DataFrame:
+    return _reads(spark, d, "block_id", "tag", "sequence", "quality").groupBy("block_id").agg(
+        *(F.md5(F.coalesce(_joined(c), F.lit(""))).alias(f"{c}_md5") for c in ("tag", "sequence", "quality"))
+    )
+
+
+def block_crc(spark: SparkSession, d: str) -> DataFrame:
+    """Checksums of the three streams of a block in order; without an SQL twin, DuckDB has no CRC."""
+    return _reads(spark, d, "block_id", "tag", "sequence", "quality").groupBy("block_id").agg(
+        *(F.crc32(F.coalesce(_joined(c), F.lit("")).cast("binary")).alias(f"{c}_crc") for c in ("tag", "sequence", "quality"))
+    )
+
+
+# --- bases and qualities -----------------------------------------------------------------------
+
+
+def quality_position_hist(spark: SparkSession, d: str) -> DataFrame:
+    return blocks.histogram(_positions(spark, d), ["block_id", "pos", "q"])
+
+
+def quality_hist(spark: SparkSession, d: str) -> DataFrame:
+    return blocks.histogram(_codes(spark, d), ["block_id", "code"])
+
+
+def base_hist(spark: SparkSession, d: str) -> DataFrame:
+    return blocks.histogram(_codes(spark, d).filter("kept"), ["block_id", "base"])
+
+
+def base_hist_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return (
+        _positions(spark, d, "run_id").rollup("run_id", "base")
+        .agg(F.count("*").alias("n"), (F.grouping("run_id") * 2 + F.grouping("base")).cast("long").alias("level"))
+    )
+
+
+def symbol_index(spark: SparkSession, d: str) -> DataFrame:
+    each = _codes(spark, d).filter("kept and idx is not null").select("block_id", "base", "idx").distinct()
+    w = W.partitionBy("block_id")
+    return each.select(
+        "block_id", "base", (F.dense_rank().over(w.orderBy("idx")) - 1).cast("long").alias("dense"), F.count("*").over(w).alias("n_symbols")
+    )
+
+
+def dna_scheme(spark: SparkSession, d: str) -> DataFrame:
+    n = _codes(spark, d).filter("kept").groupBy("block_id").agg(F.count_distinct("base").alias("n_symbols"))
+    return n.select("block_id", "n_symbols", *(B_.alias(f"order_{k}") for k, B_ in ((k, blocks.base_scheme(F.col("n_symbols"), k)) for k in (0, 3, 9))))
+
+
+def iupac_index(spark: SparkSession, d: str) -> DataFrame:
+    idx = B.base_index(F.col("base"))
+    return _positions(spark, d).select("base", idx.cast("long").alias("idx")).groupBy("base", "idx").agg(F.count("*").alias("n")).withColumn(
+        "back", B.index_base(F.col("idx").cast("int"))
+    )
+
+
+def lossy_bin(spark: SparkSession, d: str) -> DataFrame:
+    b = B.lossy_bin(F.col("q"))
+    return _positions(spark, d).groupBy("q").agg(F.count("*").alias("n")).select(
+        "q", "n", b.cast("long").alias("bin"), B.lossy_score(b).cast("long").alias("stored")
+    )
+
+
+def lossy_reads(spark: SparkSession, d: str) -> DataFrame:
+    p = _positions(spark, d).withColumn("idx", B.base_index(F.col("base")))
+    base, q = B.lossy_pair(F.col("idx"), F.col("q"))
+    each = F.array_sort(F.collect_list(F.struct("pos", base.alias("b"), B.symbol(q, 33).alias("s"))))
+    return p.groupBy("read_id").agg(each.alias("x")).select(
+        "read_id", F.array_join("x.b", "").alias("lossy_sequence"), F.array_join("x.s", "").alias("lossy_quality")
+    )
+
+
+def ambiguity_transfer(spark: SparkSession, d: str) -> DataFrame:
+    return _codes(spark, d).groupBy("block_id").agg(
+        F.count("*").alias("n"), F.sum((~F.col("kept")).cast("long")).alias("n_moved"), F.sum("code").alias("code_sum")
+    )
+
+
+def ambiguity_restore(spark: SparkSession, d: str) -> DataFrame:
+    c = _codes(spark, d).filter("idx is not null")
+    same = (F.coalesce(B.restored_index(F.col("code")), F.col("idx")) == F.col("idx")) & (B.restored_score(F.col("code")) == F.col("q"))
+    return c.filter("not kept").groupBy("base", "q").agg(F.count("*").alias("n"), F.sum(same.cast("long")).alias("n_restored"))
+
+
+def truncated_len(spark: SparkSession, d: str) -> DataFrame:
+    return _codes(spark, d).groupBy("read_id").agg(
+        F.coalesce(F.max(F.when(F.col("code") != 2, F.col("pos"))), F.lit(1)).cast("long").alias("truncated_length"), F.count("*").alias("full_length")
+    )
+
+
+def quality_scheme(spark: SparkSession, d: str) -> DataFrame:
+    return blocks.quality_lengths(_codes(spark, d))
+
+
+def quality_model(spark: SparkSession, d: str) -> DataFrame:
+    """Symbol count of the lossless order-k quality model: the least of 16, 32, 64, 128 that holds all codes."""
+    n = _codes(spark, d).groupBy("block_id").agg(F.count_distinct("code").alias("n_codes"))
+    return n.withColumn("model", F.when(F.col("n_codes") <= 16, 16).when(F.col("n_codes") <= 32, 32).when(F.col("n_codes") <= 64, 64).otherwise(128))
+
+
+def quality_runs(spark: SparkSession, d: str) -> DataFrame:
+    out = ordered.runs(_codes(spark, d), ["block_id"], ["read_id", "pos"], "code", 255)
+    return out.groupBy("block_id", "code", "piece_length").agg(F.count("*").alias("n"))
+
+
+def run_transitions(spark: SparkSession, d: str) -> DataFrame:
+    return ordered.transitions(ordered.runs(_codes(spark, d), ["block_id"], ["read_id", "pos"], "code", 255), ["block_id"], "code")
+
+
+def run_expand(spark: SparkSession, d: str) -> DataFrame:
+    pieces = ordered.runs(_codes(spark, d), ["block_id"], ["read_id", "pos"], "code", 255)
+    return ordered.expand(pieces, ["block_id"], "code").groupBy("block_id").agg(
+        F.count("*").alias("n"), F.sum(F.col("ordinal") * F.col("code")).alias("weighted")
+    )
+
+
+def dna_context_k3(spark: SparkSession, d: str) -> DataFrame:
+    return blocks.context_counts(_codes(spark, d), 3)
+
+
+def dna_entropy_k3(spark: SparkSession, d: str) -> DataFrame:
+    return blocks.entropy_bits(blocks.context_counts(_codes(spark, d), 3), ["block_id", "context"])
+
+
+def quality_entropy(spark: SparkSession, d: str) -> DataFrame:
+    return blocks.entropy_bits(blocks.histogram(_codes(spark, d), ["block_id", "pos", "code"]), ["block_id", "pos"])
+
+
+def quality_context(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of a quality code by the code before it and the eighth of the read it lies in."""
+    w = W.partitionBy("read_id").orderBy("pos")
+    c = _codes(spark, d).withColumn("previous", F.coalesce(F.lag("code").over(w), F.lit(0)))
+    return c.withColumn("part", B.position_context(F.col("pos"), F.col("n"), 8)).groupBy("part", "previous", "code").agg(F.count("*").alias("n"))
+
+
+# --- colour space ------------------------------------------------------------------------------
+
+
+def _colour_reads(spark: SparkSession, d: str) -> DataFrame:
+    return _reads(spark, d, "run_id", "sequence").filter(F.col("sequence").rlike("^[ACGT][0-3.]+$"))
+
+
+def colorspace_decode(spark: SparkSession, d: str) -> DataFrame:
+    return ordered.colours_to_bases(_colour_reads(spark, d), "sequence").select("read_id", "bases")
+
+
+def colorspace_encode(spark: SparkSession, d: str) -> DataFrame:
+    there = ordered.colours_to_bases(_colour_reads(spark, d), "sequence")
+    back = ordered.bases_to_colours(there, "bases")
+    return back.select("read_id", "colours", (F.col("colours") == F.col("sequence")).alias("same"))
+
+
+def primer_strip(spark: SparkSession, d: str) -> DataFrame:
+    """Reads of blocks whose first symbol is constant, without it; the block keeps the symbol."""
+    r = _reads(spark, d, "block_id", "sequence").filter("sequence <> ''")
+    first = F.substring("sequence", 1, 1)
+    b = r.groupBy("block_id").agg(F.min(first).alias("primer"), F.max(first).alias("_m")).filter("primer = _m").drop("_m")
+    return r.join(b, "block_id").select("read_id", "primer", F.substring("sequence", 2, 1 << 30).alias("rest"))
+
+
+# --- titles ------------------------------------------------------------------------------------
+
+
+def tag_fields(spark: SparkSession, d: str) -> DataFrame:
+    return _fields(spark, d).select("read_id", F.col("field_no").cast("long").alias("field_no"), "field_text", "sep", "num")
+
+
+def tag_project(spark: SparkSession, d: str) -> DataFrame:
+    return _reads(spark, d, "tag").select("read_id", T.project(F.col("tag"), [1, 3]).alias("projected"))
+
+
+def tag_mixed(spark: SparkSession, d: str) -> DataFrame:
+    return titles.mixed_blocks(_reads(spark, d, "block_id", "tag"))
+
+
+def tag_field_stats(spark: SparkSession, d: str) -> DataFrame:
+    return titles.field_stats(_fields(spark, d)).withColumn("field_no", F.col("field_no").cast("long"))
+
+
+def tag_deltas(spark: SparkSession, d: str) -> DataFrame:
+    return titles.deltas(_fields(spark, d)).filter("delta is not null").groupBy("block_id", F.col("field_no").cast("long").alias("field_no"), "delta").agg(F.count("*").alias("n"))
+
+
+def tag_runs(spark: SparkSession, d: str) -> DataFrame:
+    out = ordered.runs(_fields(spark, d).filter("num is not null"), ["block_id", "field_no"], ["read_id"], "num", 256)
+    return out.groupBy("block_id", F.col("field_no").cast("long").alias("field_no"), "piece_length").agg(F.count("*").alias("n"))
+
+
+def tag_scheme(spark: SparkSession, d: str) -> DataFrame:
+    return titles.number_scheme(_fields(spark, d)).withColumn("field_no", F.col("field_no").cast("long"))
+
+
+def tag_char_hist(spark: SparkSession, d: str) -> DataFrame:
+    return titles.character_histogram(_fields(spark, d)).select("block_id", F.col("field_no").cast("long").alias("field_no"), F.col("pos").cast("long").alias("pos"), "symbol", "n")
+
+
+def tag_ham_mask(spark: SparkSession, d: str) -> DataFrame:
+    return titles.equal_positions(_fields(spark, d)).select("block_id", F.col("field_no").cast("long").alias("field_no"), F.col("pos").cast("long").alias("pos"), "equal")
+
+
+def tag_symbol_hist(spark: SparkSession, d: str) -> DataFrame:
+    each = _reads(spark, d, "block_id", "tag").filter("tag <> ''").select("block_id", F.explode(F.split("tag", "")).alias("symbol"))
+    return each.groupBy("block_id", "symbol").agg(F.count("*").alias("n"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p3_records, p4_found)}
+    return {
+        f.__name__: f
+        for f in (
+            p2_found, p3_found, p3_records, p4_found,
+            reads_scan, quality_offset_infer, record_validity, plus_regenerate, fastq_text, record_bytes, block_assemble,
+            chunk_records, stream_sizes, block_stats, block_meta_check, block_digest, block_crc,
+            quality_position_hist, quality_hist, base_hist, base_hist_rollup, symbol_index, dna_scheme, iupac_index, lossy_bin,
+            lossy_reads, ambiguity_transfer, ambiguity_restore, truncated_len, quality_scheme, quality_model, quality_runs,
+            run_transitions, run_expand, dna_context_k3, dna_entropy_k3, quality_entropy, quality_context,
+            colorspace_decode, colorspace_encode, primer_strip,
+            tag_fields, tag_project, tag_mixed, tag_field_stats, tag_deltas, tag_runs, tag_scheme, tag_char_hist, tag_ham_mask,
+            tag_symbol_hist,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from readmill.oracles import SQL
+
+    return SQL

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,19 +31,32 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in spark.checkpoint.dir.
-
-    Only a session without that setting (tests on one machine) gets a folder of its own.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir; only a session without it (tests) gets one of its own."""
+    sc = spark.sparkContext
+    named = sc._jsc.sc().getCheckpointDir()
+    if not named.isDefined():
         sc.setCheckpointDir(
             sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "readmill-checkpoint")
         )
+        named = sc._jsc.sc().getCheckpointDir()
+    return named.get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder, for narrow rows."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Writes wide rows as a compressed table in the shared folder and reads them back: lineage ends there."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
+
+
 def digest(*cols: Column) -> list[Column]:
     """Two 64-bit hashes with different seeds: together a 128-bit key for a long value."""
     return [F.xxhash64(F.lit(17), *cols), F.xxhash64(F.lit(40503), *cols)]

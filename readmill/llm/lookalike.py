@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readmill.functions.flat import flat
-from readmill.plans.runtime import cut_lineage
+from readmill.plans.runtime import cut_lineage, written
 
 # Letters of other alphabets drawn like a Latin letter.
 GREEK = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo νv ϲc ϳj ϹC ͿJ"
@@ -232,7 +232,8 @@ def look_alike_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     items = tuple(sorted(member_counts(df, text_col).items()))
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull())
-    keyed = src.mapInArrow(_rewrite(items, False), "id long, look binary, raw binary")
+    # two digests a document, written once: every text is rewritten a single time
+    keyed = written(src.mapInArrow(_rewrite(items, False), "id long, look binary, raw binary"))
     variants = keyed.groupBy("look", "raw").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     several = variants.groupBy("look").agg(F.min("raw").alias("_lo"), F.max("raw").alias("_hi")).filter("_lo < _hi").select("look")
     some = variants.join(several.hint("merge"), "look", "left_semi")

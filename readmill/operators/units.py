@@ -85,10 +85,12 @@ def segment(note: str | None) -> list[tuple[str, str]]:
     text = re.sub(r"\s+", " ", (note or "").lower()).strip()
     n = len(text)
     best: list[tuple[float, tuple]] = [(0.0, ())] * (n + 1)
+    inside = [0 < i < n and text[i - 1].isalnum() and text[i].isalnum() for i in range(n + 1)]
+    glued = {end for i in range(n) if not inside[i] for end, _ in _TRIES[0][1].ends(text, i)}
     for i in range(n - 1, -1, -1):
         best[i] = best[i + 1]
-        if i and text[i - 1].isalnum() and text[i].isalnum():
-            continue  # words begin at a word's start
+        if inside[i] and i not in glued:
+            continue  # words begin at a word's start or behind a prefix
         for kind, trie in _TRIES:
             for end, word in trie.ends(text, i):
                 # a prefix may be glued to its root, other words end where a word ends

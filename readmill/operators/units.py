@@ -217,7 +217,9 @@ def run_units(df: DataFrame, quality_col: str, run_col: str, dataset: DataFrame)
             **number.get(r.run, {"least": None, "most": None, "whole": None}),
         }
         out.append((r.run, *run_unit(stats, m.quality_note if m else None, m.quality_offset if m else None)))
-    return df.sparkSession.createDataFrame(out, "run long, unit string, parameter double")
+    # as an Arrow table the rows become a local relation, whose size the planner knows
+    columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.float64()))]
+    return df.sparkSession.createDataFrame(pa.table(columns, names=["run", "unit", "parameter"]))
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,9 +251,13 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def phred_sums(df: DataFrame, id_col: str, quality_col: str, run_col: str, dataset: DataFrame) -> DataFrame:
+def phred_sums(
+    df: DataFrame, id_col: str, quality_col: str, run_col: str, dataset: DataFrame, but_offset: int | None = None
+) -> DataFrame:
     """(id, unit, parameter, phred_sum, n) of every row with a quality, in whole Phred scores.
 
+    Rows of characters with the offset `but_offset` are left out: they are in the common unit already.
+
     unit is `code` (one character per base, parameter its offset), `scaled` (numbers times parameter) or
     `probability`.  A row whose shape is not its run's (a list of numbers in a run of characters or the reverse) is
     read by its own shape.  An empty quality has no scores and the sum 0; a null one gives no row; rows that
@@ -271,6 +277,8 @@ def phred_sums(df: DataFrame, id_col: str, quality_col: str, run_col: str, datas
         F.when((F.col("unit") != "code") & ~lists, "code").otherwise(F.coalesce("unit", F.lit("code"))).alias("unit"),
         F.when((F.col("unit") != "code") & ~lists, 33.0).otherwise(F.coalesce("parameter", F.lit(33.0))).alias("parameter"),
     )
+    if but_offset is not None:
+        shaped = shaped.filter(~((F.col("unit") == "code") & (F.col("parameter") == but_offset)))
     sums = shaped.mapInArrow(_sums, "id long, unit string, parameter double, phred_sum long, n long")
     named = sums.filter("id is not null").groupBy("id").agg(
         F.first("unit").alias("unit"), F.first("parameter").alias("parameter"), F.first("phred_sum").alias("phred_sum"), F.first("n").alias("n")

@@ -189,3 +189,18 @@ select raw_id, reason from r where reason is not null"""
 SQL["p3_records"] = SQL["p3_found"].split(",\nr as (")[0] + """
 select raw_id, v[1] as title, v[2] as sequence, v[3] as plus, v[4] as quality from f where ok and len(v) = 4 and starts_with(v[1], '@')
 and regexp_full_match(v[2], '[AGCTNRWSKMDVHBYXU.\\-]+') and starts_with(v[3], '+') and regexp_full_match(v[4], '[!-~]*') and length(v[2]) = length(v[4])"""
+SQL["p2_found"] = r"""with r as (select distinct read_id, run_id, quality from fastq_reads where quality is not null),
+k as (select *, regexp_full_match(quality, '\s*[0-9]+(\.[0-9]*)?([eE][-+]?[0-9]+)?([,;:|/\s]+[0-9]+(\.[0-9]*)?([eE][-+]?[0-9]+)?)*\s*') as is_list from r),
+c as (select run_id, min(x) as lo, max(x) as hi from (select run_id, ascii(unnest(string_split(quality, ''))) as x from k where not is_list and quality <> '') group by run_id),
+v as (select read_id, run_id, cast(unnest(string_split_regex(trim(quality), '[,;:|/\s]+')) as double) as x from k where is_list),
+l as (select run_id, max(x) as hi, bool_and(x = floor(x)) as whole from v group by run_id),
+s1 as (select v.read_id, cast(sum(floor(0.5 + case when l.hi <= 1 and not whole then -10 * log10(x) when l.hi > 41.5 then x / 10 else x end)) as bigint) as phred_sum from v join l using (run_id) group by v.read_id),
+o as (select run_id, case when lo >= 33 and hi <= 74 then 33 when lo >= 59 and hi <= 100 then 59 when lo >= 64 then 64 else 33 end as off from c),
+s2 as (select read_id, cast(coalesce(sum(ascii(ch) - off), 0) as bigint) as phred_sum from (select read_id, off, unnest(string_split(quality, '')) as ch from k join o using (run_id) where not is_list and off <> 33) group by read_id)
+select * from s1 union all select * from s2"""
+SQL["p4_found"] = r"""with r as (select distinct read_id, substr(tag, strpos(tag, ' ') + 1) as t from fastq_reads where strpos(tag, ' ') > 0),
+x as (select read_id, regexp_extract_all(t || ';', '( *(?:"(?:[^"]|"")*"|''(?:[^'']|'''')*'') *|[^;,|:\t]*)[;,|:\t]', 1) as v from r),
+f as (select read_id, unnest(range(1, len(v) + 1)) as pos, trim(unnest(v), ' ') as u from x),
+q as (select read_id, cast(pos as int) as pos, case when regexp_full_match(u, '"(?:[^"]|"")*"') then replace(substr(u, 2, length(u) - 2), '""', '"')
+ when regexp_full_match(u, '''(?:[^'']|'''')*''') then replace(substr(u, 2, length(u) - 2), '''''', '''') else u end as field_text from f)
+select * from q where field_text <> ''"""

@@ -34,8 +34,8 @@ def _fields(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    out = units.phred_sums(load(spark, d, "fastq_reads"), "read_id", "quality", "run_id", load(spark, d, "dataset"))
-    return out.filter("not (unit = 'code' and parameter = 33)").select(F.col("id").alias("read_id"), "phred_sum")
+    out = units.phred_sums(load(spark, d, "fastq_reads"), "read_id", "quality", "run_id", load(spark, d, "dataset"), 33)
+    return out.select(F.col("id").alias("read_id"), "phred_sum")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -71,4 +71,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Twins of the queries that SQL can work off on whole tables; the others are tested against brute force."""
+    return {
+        "p1_found": """with r as (select distinct read_id, sequence as s from fastq_reads where length(sequence) >= 40),
+k as (select read_id, a, substr(s, a, 40) as x from (select read_id, s, cast(unnest(range(1, length(s) - 38)) as int) as a from r)),
+sh as (select x from k group by x having min(read_id) < max(read_id)),
+f as (select read_id, a, lead(a) over (partition by read_id order by a) as nx from k join sh using (x))
+select read_id, cast(sum(least(40, coalesce(nx - a, 40))) as bigint) as shared_bases from f group by read_id""",
+        "p6_found": """with r as (select distinct read_id, sequence as s, quality as q from fastq_reads where sequence is not null),
+c as (select read_id, unnest(range(1, length(s) + 1)) as pos, unnest(string_split(s, '')) as c from r where s <> ''),
+f as (select *, coalesce(last_value(case when c not in ('N', '.') then c end ignore nulls) over w, first_value(c) over w) as k from c
+  window w as (partition by read_id order by pos rows unbounded preceding)),
+g as (select *, case when k is distinct from lag(k) over (partition by read_id order by pos) then 1 else 0 end as nw from f),
+h as (select *, sum(nw) over (partition by read_id order by pos rows unbounded preceding) as run from g),
+a as (select read_id, run, min(pos) as p, arg_min(c, pos) as first_c, count(*) as n, list(c) as cs from h group by read_id, run having count(*) >= 8),
+qc as (select read_id, unnest(range(1, length(q) + 1)) as pos, unnest(string_split(q, '')) as c from r where length(q) = length(s) and q <> ''),
+qg as (select *, case when abs(ascii(c) - lag(ascii(c)) over w) <= 1 then 0 else 1 end as nw from qc window w as (partition by read_id order by pos)),
+qh as (select *, sum(nw) over (partition by read_id order by pos rows unbounded preceding) as run from qg),
+qa as (select read_id, run, min(pos) as p, arg_min(c, pos) as first_c, count(*) as n, list(c) as cs from qh group by read_id, run having count(*) >= 12)
+select read_id, 'sequence' as field_name, cast(p as int) as start_pos, cast(len(list_filter(cs, lambda v: v = first_c)) as int) as n_same, cast(n as int) as span from a
+union all select read_id, 'quality', cast(p as int), cast(len(list_filter(cs, lambda v: v = first_c)) as int), cast(n as int) from qa""",
+    }

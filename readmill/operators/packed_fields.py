@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from readmill.plans.runtime import copy_number
+
 DELIMITERS = ";,|:\t"
 QUOTES = "\"'"
 _CUT = re.compile(f"[{DELIMITERS}]")
@@ -128,7 +130,7 @@ def split_values(df: DataFrame, id_col: str, packed: Column, known: Sequence[str
     columns are ignored.
     """
     src = df.select(F.col(id_col).cast("long").alias("id"), packed.alias("t")).filter("t <> ''")
-    once = src.filter("id is not null").groupBy("id").agg(F.first("t").alias("t"))
-    return once.unionByName(src.filter("id is null")).mapInArrow(
+    once = src.withColumn("_copy", copy_number("id")).groupBy("id", "_copy").agg(F.first("t").alias("t")).select("id", "t")
+    return once.mapInArrow(
         _segment(tuple(known)), "id long, pos int, field_text string"
     )

@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from readmill.plans.runtime import copy_number
+
 TOP = 41
 OFFSETS = (33, 59, 64)
 #: Between the numbers of a list.
@@ -280,8 +282,7 @@ def phred_sums(
     if but_offset is not None:
         shaped = shaped.filter(~((F.col("unit") == "code") & (F.col("parameter") == but_offset)))
     sums = shaped.mapInArrow(_sums, "id long, unit string, parameter double, phred_sum long, n long")
-    named = sums.filter("id is not null").groupBy("id").agg(
-        F.first("unit").alias("unit"), F.first("parameter").alias("parameter"), F.first("phred_sum").alias("phred_sum"), F.first("n").alias("n")
+    picked = sums.withColumn("_copy", copy_number("id")).groupBy("id", "_copy").agg(
+        *(F.first(c).alias(c) for c in ("unit", "parameter", "phred_sum", "n"))
     )
-    return named.unionByName(sums.filter("id is null"))
-
+    return picked.drop("_copy")

@@ -62,19 +62,19 @@ def digest(*cols: Column) -> list[Column]:
     return [F.xxhash64(F.lit(17), *cols), F.xxhash64(F.lit(40503), *cols)]
 
 
-def once_per_id(df: DataFrame, key: str = "read_id", latest: str | None = None) -> DataFrame:
-    """One row per id; a record delivered again differs only in its ingestion time.
+def copy_number(key: str) -> Column:
+    """Null for a row with an id; a number of its own for a row without, which cannot be told to be a copy."""
+    return F.when(F.col(key).isNull(), F.monotonically_increasing_id())
 
-    Rows without an id cannot be told to be copies and are all kept.  The grouping is a
-    hash aggregate with map-side combine, so a re-delivered hot id stays cheap.
+
+def once_per_id(df: DataFrame, key: str = "read_id") -> DataFrame:
+    """One row per id; a record delivered again is equal in the columns given here.
+
+    Rows without an id are all kept.  The grouping is a hash aggregate with map-side combine, so an id that is
+    delivered very often stays cheap.
     """
     rest = [c for c in df.columns if c != key]
     if not rest:
-        named = df.filter(F.col(key).isNotNull()).distinct()
-    else:
-        value = F.struct(*rest)
-        pick = F.min_by(value, F.col(latest)) if latest else F.first(value)
-        named = (
-            df.filter(F.col(key).isNotNull()).groupBy(key).agg(pick.alias("_v")).select(key, *[F.col("_v")[c].alias(c) for c in rest])
-        )
-    return named.select(*df.columns).unionByName(df.filter(F.col(key).isNull()))
+        return df.withColumn("_copy", copy_number(key)).distinct().select(key)
+    picked = df.withColumn("_copy", copy_number(key)).groupBy(key, "_copy").agg(F.first(F.struct(*rest)).alias("_v"))
+    return picked.select(*[F.col(c) if c == key else F.col("_v")[c].alias(c) for c in df.columns])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,22 @@ def _fields(spark: SparkSession, d: str) -> DataFrame:
     return titles.title_fields(_reads(spark, d, "block_id", "tag"))
 
 
+#: Columns that come out as 64-bit numbers, by query.
+LONG = {
+    "block_stats": ("min_length", "max_length"), "quality_position_hist": ("pos",), "quality_hist": ("code",), "quality_runs": ("code",),
+    "run_transitions": ("previous", "code"), "quality_context": ("part", "previous", "code"), "tag_field_stats": ("min_len", "max_len"),
+    "tag_scheme": ("value_bits",),
+}
+
+
+def _long(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(f)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return f(spark, d).withColumns({c: F.col(c).cast("long") for c in LONG[f.__name__]})
+
+    return run if f.__name__ in LONG else f
+
+
 # --- problems 2 to 4 ---------------------------------------------------------------------------
 
 
@@ -202,7 +219,7 @@ def iupac_index(spark: SparkSession, d: str) -> DataFrame:
 def lossy_bin(spark: SparkSession, d: str) -> DataFrame:
     b = B.lossy_bin(F.col("q"))
     return _positions(spark, d).groupBy("q").agg(F.count("*").alias("n")).select(
-        "q", "n", b.cast("long").alias("bin"), B.lossy_score(b).cast("long").alias("stored")
+        "q", "n", b.alias("bin"), B.lossy_score(b).alias("stored")
     )
 
 
@@ -350,7 +367,7 @@ def tag_symbol_hist(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        f.__name__: f
+        f.__name__: _long(f)
         for f in (
             p2_found, p3_found, p3_records, p4_found,
             reads_scan, quality_offset_infer, record_validity, plus_regenerate, fastq_text, record_bytes, block_assemble,

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readmill.functions.flat import flat
+from readmill.plans.runtime import copy_number
 
 #: Stands between entities; not a symbol of either alphabet.
 WALL = 0
@@ -125,8 +126,8 @@ def event_runs(
     )
     # a re-delivered record gives the same runs; only runs are exchanged, not texts
     return (
-        runs.filter("id is not null")
-        .groupBy("id", "field_name", "start_pos")
+        runs.withColumn("_copy", copy_number("id"))
+        .groupBy("id", "_copy", "field_name", "start_pos")
         .agg(F.first("n_same").alias("n_same"), F.first("span").alias("span"))
-        .unionByName(runs.filter("id is null"))
+        .drop("_copy")
     )

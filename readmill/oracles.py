@@ -130,8 +130,10 @@ from m where idx is not null and not kept group by base, q""",
 cast(sum(runs) - sum(case when last_code = 2 then 1 else 0 end) as bigint) as rle_len from pr group by block_id)
 select *, case when rle_len > 0 and cast(cast(th_len as float) / cast(rle_len as float) as float) > cast(1.25 as float) or rle_len = 0 and th_len > 0 then 'rle'
 when th_len = 0 or cast(cast(raw_len as float) / cast(th_len as float) as float) > cast(1.10 as float) then 'truncated' else 'plain' end as scheme from l""",
-    "quality_model": f"""with {_POS}, c as (select block_id, count(distinct code) as n_codes from m group by block_id)
-select *, case when n_codes <= 16 then 16 when n_codes <= 32 then 32 when n_codes <= 64 then 64 else 128 end as model from c""",
+    "quality_model": f"""with {_LEN}, c as (select block_id, count(distinct code) as n_codes, min(n) = max(n) as same from m group by block_id),
+l as (select block_id, sum(raw) as raw_len, sum(runs) - sum(case when last_code = 2 then 1 else 0 end) as rle_len from pr group by block_id)
+select block_id, n_codes, case when n_codes <= 16 then 16 when n_codes <= 32 then 32 when n_codes <= 64 then 64 else 128 end as model,
+case when same and (rle_len = 0 or raw_len / rle_len > 1.175) then 'positional' else 'normal' end as kind from c join l using (block_id)""",
     "quality_runs": f"with {_RUNS} select block_id, code, piece_length, count(*) as n from pc group by all",
     "run_transitions": f"""with {_RUNS}, t as (select block_id, lag(code) over (partition by block_id order by run_no, piece_no) as previous, code from pc)
 select block_id, previous, code, count(*) as n from t group by all""",

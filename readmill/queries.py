@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from readmill.functions import bases as B
 from readmill.functions import tags as T
-from readmill.operators import blocks, ordered, packed_fields, rejects, titles, units
+from readmill.operators import blocks, codecs, ordered, packed_fields, rejects, titles, units
 from readmill.plans.runtime import load
 
 
@@ -255,9 +255,17 @@ def quality_scheme(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quality_model(spark: SparkSession, d: str) -> DataFrame:
-    """Symbol count of the lossless order-k quality model: the least of 16, 32, 64, 128 that holds all codes."""
-    n = _codes(spark, d).groupBy("block_id").agg(F.count_distinct("code").alias("n_codes"))
-    return n.withColumn("model", F.when(F.col("n_codes") <= 16, 16).when(F.col("n_codes") <= 32, 32).when(F.col("n_codes") <= 64, 64).otherwise(128))
+    """Symbols of the lossless order-k quality model (least of 16, 32, 64, 128 that holds all codes) and its kind.
+
+    Reads of one length whose qualities run on use the run-aware kind.
+    """
+    c = _codes(spark, d)
+    n = c.groupBy("block_id").agg(F.count_distinct("code").alias("n_codes"), (F.min("n") == F.max("n")).alias("_same"))
+    size = F.when(F.col("n_codes") <= 16, 16).when(F.col("n_codes") <= 32, 32).when(F.col("n_codes") <= 64, 64).otherwise(128)
+    long_runs = F.coalesce(F.try_divide(F.col("raw_len"), F.col("rle_len")) > 1.175, F.lit(True))
+    return n.join(blocks.quality_lengths(c), "block_id").select(
+        "block_id", "n_codes", size.alias("model"), F.when(F.col("_same") & long_runs, "positional").otherwise("normal").alias("kind")
+    )
 
 
 def quality_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -295,6 +303,14 @@ def quality_context(spark: SparkSession, d: str) -> DataFrame:
     return c.withColumn("part", B.position_context(F.col("pos"), F.col("n"), 8)).groupBy("part", "previous", "code").agg(F.count("*").alias("n"))
 
 
+def block_codec(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of the coded streams of each block with their round trip; without an SQL twin, the codes are built step by step."""
+    r = _reads(spark, d, "block_id", "run_id", "tag", "sequence", "quality")
+    kind = blocks.dataset_type(_reads(spark, d, "run_id", "sequence", "plus", "quality")).select("run_id", F.col("quality_offset").alias("offset"))
+    usable = blocks.one_code_per_base(r).filter(F.col("tag").isNotNull() & F.col("sequence").rlike(rf"^[{B.BASE_ORDER}]+$"))
+    return codecs.coded_sizes(usable.join(kind.filter("offset is not null"), "run_id"))
+
+
 # --- colour space ------------------------------------------------------------------------------
 
 
@@ -374,7 +390,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             chunk_records, stream_sizes, block_stats, block_meta_check, block_digest, block_crc,
             quality_position_hist, quality_hist, base_hist, base_hist_rollup, symbol_index, dna_scheme, iupac_index, lossy_bin,
             lossy_reads, ambiguity_transfer, ambiguity_restore, truncated_len, quality_scheme, quality_model, quality_runs,
-            run_transitions, run_expand, dna_context_k3, dna_entropy_k3, quality_entropy, quality_context,
+            run_transitions, run_expand, dna_context_k3, dna_entropy_k3, quality_entropy, quality_context, block_codec,
             colorspace_decode, colorspace_encode, primer_strip,
             tag_fields, tag_project, tag_mixed, tag_field_stats, tag_deltas, tag_runs, tag_scheme, tag_char_hist, tag_ham_mask,
             tag_symbol_hist,

@@ -236,3 +236,61 @@ def test_options():
     for bad in ({"dna_level": 4}, {"quality_level": 3}, {"buffer_mb": 0}, {"quality_offset": 20}, {"threads": 65}, {"fields": (0,)}):
         with pytest.raises(ValueError):
             Options(**bad)
+
+
+# --- codecs ------------------------------------------------------------------------------------
+
+
+def test_codecs_round_trip():
+    import numpy as np
+
+    from readmill.operators import codecs as C
+
+    rng = np.random.default_rng(4)
+    for n, k in ((0, 1), (1, 1), (50, 1), (1000, 2), (5000, 40), (3000, 250)):
+        x = rng.integers(0, k, n)
+        y, at = C.huffman_decode(C.huffman_encode(x))
+        assert (x == y).all() and at == len(C.huffman_encode(x))
+    counts = np.array([2**i for i in range(40)])
+    assert C.code_lengths(counts).max() <= C.LONGEST
+    counts = rng.integers(1, 100, 20)
+    heap, cost = sorted(counts.tolist()), 0  # the size of a Huffman code is the sum of the merges
+    while len(heap) > 1:
+        cost += heap[0] + heap[1]
+        heap = sorted([heap[0] + heap[1], *heap[2:]])
+    lengths = C.code_lengths(counts)
+    assert (lengths * counts).sum() == cost and abs(sum(2.0**-lengths) - 1) < 1e-12
+    for make in (lambda: "I" * 30, lambda: "".join(R.choice("#+5:?I") for _ in range(30)), lambda: "I?" * 6 + "#" * 18):
+        quals = [make() for _ in range(40)] + [""]
+        seqs = ["".join(R.choice("ACGTN-R") for _ in q) for q in quals]
+        tags = [f"@R.{i} é" for i in range(len(quals))]
+        coded = C.encode_block(tags, seqs, quals, 33)
+        assert C.decode_block(*coded, 33) == (tags, seqs, quals)
+    assert C.decode_block(*C.encode_block([], [], [], 33), 33) == ([], [], [])
+
+
+def test_all_core_queries_run(spark, small):
+    from readmill.queries import oracle_sql, queries
+
+    names = queries()
+    assert set(oracle_sql()) <= set(names)
+    for name in ("block_codec", "block_crc", "quality_position_hist", "block_meta_check", "chunk_records", "p2_found", "p3_found", "p4_found"):
+        assert names[name](spark, small).count() > 0
+    assert names["block_codec"](spark, small).filter("not round_trip").count() == 0
+
+
+def test_oracles_agree(spark, small):
+    import glob
+    import os
+
+    import duckdb
+
+    from readmill.queries import oracle_sql, queries
+
+    con = duckdb.connect()
+    for p in glob.glob(f"{small}/*.parquet"):
+        con.execute(f"create view {os.path.basename(p)[:-8]} as select * from '{p}'")
+    for name in ("quality_scheme", "tag_scheme", "quality_runs", "lossy_reads", "p2_found", "p4_found"):
+        a, b = queries()[name](spark, small).toPandas(), con.execute(oracle_sql()[name]).fetchdf()
+        rows = lambda f: sorted(map(str, f[sorted(f.columns)].astype(object).where(f[sorted(f.columns)].notna(), None).itertuples(index=False, name=None)))
+        assert rows(a) == rows(b), name

@@ -1,14 +1,18 @@
-"""Command line: python -m readmill compress IN OUT, python -m readmill decompress IN OUT."""
+"""Command line: python -m readmill compress IN OUT, python -m readmill decompress IN OUT; - is stdin or stdout."""
 
 from __future__ import annotations
 
 import argparse
+import os
+import shutil
 import sys
+import tempfile
 
+from readmill import api
 from readmill.plans.options import PRESETS, Options
 from readmill.plans.runtime import session
-from readmill.sources.archive import corrupt_blocks, read_archive, write_archive
-from readmill.sources.fastq import read_fastq, write_fastq
+
+EXTENSIONS = (".fastq", ".fq")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -47,14 +51,32 @@ def main(argv: list[str] | None = None) -> int:
         print(e, file=sys.stderr)
         return 2
     spark = session("readmill", options.threads)
-    if a.verb[0] == "c":
-        write_archive(read_fastq(spark, a.source), a.target, options)
-    else:
-        bad = corrupt_blocks(spark, a.source).count()
-        if bad:
-            print(f"{bad} blocks are corrupt", file=sys.stderr)
-            return 1
-        write_fastq(read_archive(spark, a.source), a.target)
+    spool = None
+    try:
+        if a.verb[0] == "c":
+            source = a.source
+            if source == "-":  # a pipe cannot be split: it becomes a file first
+                spool, source = tempfile.mkstemp(suffix=".fastq")
+                with os.fdopen(spool, "wb") as f:
+                    shutil.copyfileobj(sys.stdin.buffer, f)
+                spool = source
+            elif not source.endswith(EXTENSIONS):
+                print(f"the input's name does not end in {' or '.join(EXTENSIONS)}", file=sys.stderr)
+            api.compress(spark, source, a.target, options)
+        elif a.target == "-":
+            for text in api.lines(spark, a.source):
+                sys.stdout.write(text + "\n")
+        else:
+            api.decompress(spark, a.source, a.target)
+        if a.verbose and a.verb[0] == "c":
+            for r in spark.read.parquet(f"{a.target}/blocks").agg({"*": "count", "n_records": "sum"}).collect():
+                print(*r, sep="\t", file=sys.stderr)
+    except ValueError as e:
+        print(e, file=sys.stderr)
+        return 1
+    finally:
+        if spool:
+            os.unlink(spool)
     return 0
 
 

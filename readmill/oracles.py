@@ -206,3 +206,10 @@ f as (select read_id, unnest(range(1, len(v) + 1)) as pos, trim(unnest(v), ' ')
 q as (select read_id, cast(pos as int) as pos, case when regexp_full_match(u, '"(?:[^"]|"")*"') then replace(substr(u, 2, length(u) - 2), '""', '"')
  when regexp_full_match(u, '''(?:[^'']|'''')*''') then replace(substr(u, 2, length(u) - 2), '''''', '''') else u end as field_text from f)
 select * from q where field_text <> ''"""
+SQL["run_sets"] = f"""with {_RUNS}, ks as (select distinct block_id, 'symbol' as kind, code as value from pc union all select distinct block_id, 'length', piece_length from pc)
+select block_id, kind, value, row_number() over (partition by block_id, kind order by value) - 1 as dense from ks"""
+SQL["tag_delta_runs"] = f"""with {_TAG}, d as (select read_id, block_id, field_no, num - lag(num) over (partition by block_id, field_no order by read_id) as delta from f),
+g as (select *, case when delta is distinct from lag(delta) over w or row_number() over w = 1 then 1 else 0 end as nw from d where delta is not null window w as (partition by block_id, field_no order by read_id)),
+h as (select *, sum(nw) over (partition by block_id, field_no order by read_id rows unbounded preceding) as rn from g),
+r as (select block_id, field_no, rn, count(*) as c from h group by all), pc as (select block_id, field_no, c, unnest(range(1, (c + 255) // 256 + 1)) as k from r)
+select block_id, field_no, least(256, c - (k - 1) * 256) as piece_length, count(*) as n from pc group by all"""

@@ -277,6 +277,14 @@ def run_transitions(spark: SparkSession, d: str) -> DataFrame:
     return ordered.transitions(ordered.runs(_codes(spark, d), ["block_id"], ["read_id", "pos"], "code", 255), ["block_id"], "code")
 
 
+def run_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Run symbols and run lengths that occur in a block, each with its dense index."""
+    p = ordered.runs(_codes(spark, d), ["block_id"], ["read_id", "pos"], "code", 255)
+    kinds = p.select("block_id", F.explode(F.map_from_arrays(F.array(F.lit("symbol"), F.lit("length")), F.array(F.col("code").cast("long"), "piece_length"))).alias("kind", "value")).distinct()
+    w = W.partitionBy("block_id", "kind").orderBy("value")
+    return kinds.withColumn("dense", (F.row_number().over(w) - 1).cast("long"))
+
+
 def run_expand(spark: SparkSession, d: str) -> DataFrame:
     pieces = ordered.runs(_codes(spark, d), ["block_id"], ["read_id", "pos"], "code", 255)
     return ordered.expand(pieces, ["block_id"], "code").groupBy("block_id").agg(
@@ -364,6 +372,12 @@ def tag_runs(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("block_id", F.col("field_no").cast("long").alias("field_no"), "piece_length").agg(F.count("*").alias("n"))
 
 
+def tag_delta_runs(spark: SparkSession, d: str) -> DataFrame:
+    steps = titles.deltas(_fields(spark, d)).filter("delta is not null")
+    out = ordered.runs(steps, ["block_id", "field_no"], ["read_id"], "delta", 256)
+    return out.groupBy("block_id", F.col("field_no").cast("long").alias("field_no"), "piece_length").agg(F.count("*").alias("n"))
+
+
 def tag_scheme(spark: SparkSession, d: str) -> DataFrame:
     return titles.number_scheme(_fields(spark, d)).withColumn("field_no", F.col("field_no").cast("long"))
 
@@ -390,9 +404,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             chunk_records, stream_sizes, block_stats, block_meta_check, block_digest, block_crc,
             quality_position_hist, quality_hist, base_hist, base_hist_rollup, symbol_index, dna_scheme, iupac_index, lossy_bin,
             lossy_reads, ambiguity_transfer, ambiguity_restore, truncated_len, quality_scheme, quality_model, quality_runs,
-            run_transitions, run_expand, dna_context_k3, dna_entropy_k3, quality_entropy, quality_context, block_codec,
+            run_transitions, run_sets, run_expand, dna_context_k3, dna_entropy_k3, quality_entropy, quality_context, block_codec,
             colorspace_decode, colorspace_encode, primer_strip,
-            tag_fields, tag_project, tag_mixed, tag_field_stats, tag_deltas, tag_runs, tag_scheme, tag_char_hist, tag_ham_mask,
+            tag_fields, tag_project, tag_mixed, tag_field_stats, tag_deltas, tag_runs, tag_delta_runs, tag_scheme, tag_char_hist, tag_ham_mask,
             tag_symbol_hist,
         )
     }

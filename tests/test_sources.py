@@ -126,3 +126,19 @@ def test_streaming(spark, tmp_path, small):
     assert spark.read.parquet(str(tmp_path / "o2")).count() == raw.select("read_id").distinct().count()
     ingest.run_available(ingest.arrivals(stream, "produced_at", "1 day", "1 day", "run_id"), str(tmp_path / "o3"), str(tmp_path / "c3"))
     assert spark.read.parquet(str(tmp_path / "o3")).agg(F.sum("n")).first()[0] > 0
+
+
+def test_records_and_stdout(spark, tmp_path, capsys):
+    from readmill import __main__ as cli
+    from readmill import api
+
+    want, text = records(15)
+    (tmp_path / "a.fq").write_text(text)
+    api.compress(spark, str(tmp_path / "a.fq"), str(tmp_path / "arc"), Options(crc32=True))
+    assert [tuple(r) for r in api.records(spark, str(tmp_path / "arc"), archive=True)] == want
+    assert [tuple(r) for r in api.records(spark, str(tmp_path / "a.fq"))] == want
+    capsys.readouterr()
+    assert cli.main(["d", str(tmp_path / "arc"), "-"]) == 0
+    assert capsys.readouterr().out == text
+    (tmp_path / "bad.fq").write_text("@a\nAC\n+\nI\n@b\nAC\n+\nII\n")
+    assert cli.main(["c", str(tmp_path / "bad.fq"), str(tmp_path / "no")]) == 1

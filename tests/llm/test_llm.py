@@ -176,6 +176,20 @@ def test_large_class_is_named_by_its_representative(spark, monkeypatch):
     assert got == {(0, i) for i in range(1, 30)} | {(0, 100)}
 
 
+def test_hot_grams_do_not_lose_pairs(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "HOT", 5)
+    adapter = dna(30)
+    base = [dna(60) + adapter for _ in range(30)]
+    texts = dict(enumerate(base + [mutate(b, 4) for b in base[:10]] + ["A" * n for n in range(70, 84)]))
+    df = frame(spark, list(texts.items()), "id long, t string")
+    got = {tuple(r) for r in near_duplicates.near_pairs(df, "id", "t").collect()}
+    true = {
+        (i, j) for i in texts for j in texts
+        if i < j and distance(texts[i], texts[j]) * 10 <= max(len(texts[i]), len(texts[j]))
+    }
+    assert got <= true and len(got) >= 0.97 * len(true)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (None, 3), (1, 0)]
     got = {r.id: r.component for r in components.connected_components(frame(spark, edges, "x long, y long"), "x", "y").collect()}

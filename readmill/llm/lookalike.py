@@ -30,11 +30,11 @@ GREEK = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo νv ϲc ϳj
 CYRILLIC = "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ҮY ХX ԚQ ԜW ӀI аa еe оo рp сc уy үy хx ѕs іi јj һh ӏl ԁd ԛq ԝw"
 ARMENIAN = "ՕO օo ՏS"
 # Blanks of other kinds or widths, hyphens, and characters that are not drawn.
-BLANKS = [" ", " ", " ", *map(chr, range(0x2000, 0x200B)), " ", " ", "　"]
-HYPHENS = ["-", "‐", "‑", "﹣", "－"]
+BLANKS = [" ", "\u00a0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u202f", "\u205f", "\u3000"]
+HYPHENS = ["-", "\u2010", "\u2011", "\ufe63", "\uff0d"]
 INVISIBLE = [
-    "­", "͏", "؜", "᠎", *map(chr, range(0x200B, 0x2010)), *map(chr, range(0x202A, 0x202F)),
-    *map(chr, range(0x2060, 0x2065)), *map(chr, range(0x2066, 0x2070)), *map(chr, range(0xFE00, 0xFE10)), "﻿",
+    "\u00ad", "\u034f", "\u061c", "\u180e", *map(chr, range(0x200B, 0x2010)), *map(chr, range(0x202A, 0x202F)),
+    *map(chr, range(0x2060, 0x2065)), *map(chr, range(0x2066, 0x2070)), *map(chr, range(0xFE00, 0xFE10)), "\ufeff",
 ]
 #: Ranges whose compatibility decomposition only changes width or resolves a ligature.
 WIDTHS_AND_LIGATURES = [(0xFB00, 0xFB07), (0xFF01, 0xFFE7)]

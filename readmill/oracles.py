@@ -98,8 +98,8 @@ starts_with(x[4 * record_no - 3], '@') and length(x[4 * record_no - 1]) > 0 and
 cast(sum(strlen(quality)) as bigint) as quality_bytes from reads group by run_id""",
     "block_stats": f"""with {_READS} select block_id, count(*) as n_records, cast(sum({_BYTES}) as bigint) as size_bytes, min(length(quality)) as min_length,
 max(length(quality)) as max_length, min(length(quality)) <> max(length(quality)) as variable_length,
-count(distinct substr(sequence, 1, 1)) = 1 as primer_const_, case when count(distinct substr(sequence, 1, 1)) = 1 then min(substr(sequence, 1, 1)) end as primer_base
-from reads group by block_id""".replace("count(distinct substr(sequence, 1, 1)) = 1 as primer_const_", "min(substr(sequence, 1, 1)) = max(substr(sequence, 1, 1)) as primer_const"),
+min(substr(sequence, 1, 1)) = max(substr(sequence, 1, 1)) as primer_const, case when count(distinct substr(sequence, 1, 1)) = 1 then min(substr(sequence, 1, 1)) end as primer_base
+from reads group by block_id""",
     "block_meta_check": f"""with {_READS}, s as (select block_id, count(*) as c, min(length(quality)) as lo, max(length(quality)) as hi from reads group by block_id)
 select m.block_id, m.records_count, coalesce(c, 0) as n_seen, coalesce(c, 0) - m.records_count as n_missing,
 m.min_len is not distinct from lo and m.max_len is not distinct from hi as lengths_agree from block_meta m left join s using (block_id)""",

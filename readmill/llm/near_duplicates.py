@@ -10,10 +10,10 @@
 5. Links of a link: two records linked to the same third one are verified too, which finds pairs whose
    own signatures happened to differ everywhere.
 
-q-grams that are frequent in a bounded sample (`SAMPLE` records at most), such as an adapter that a third of
-all records share, are hot: a minimum falls on one only where a record has no other q-gram.  Records
-near each other agree in their other q-grams, too, so hot ones would only fill buckets.  Rows whose minimum is hot
-all the same go into finer buckets, named by that minimum and a second one.
+A q-gram that many records hold, such as an adapter, the core of a large family of edited copies or a low-complexity stretch,
+makes over-full buckets.  Those are not thinned: the members of a bucket of more than `HOT` records are dealt into blocks of `SIDE`, every
+pair of blocks is worked off in a task of its own, and of its pairs only those are left out that a lower bound of
+the edit distance refuses.
 """
 
 from __future__ import annotations
@@ -29,12 +29,17 @@ from readmill.functions.flat import NONE, Rolling, flat, mix, symbol_values
 from readmill.llm.components import connected_components
 from readmill.plans.runtime import cut_lineage, digest, written
 
-#: Records at most from which hot q-grams are estimated, and how many of them hold a hot one.
-SAMPLE, HOT = 100_000, 40
+#: Records at most from which hot q-grams are estimated.
+SAMPLE = 100_000
+#: Records of a bucket beyond which its pairs are made in blocks; it decides where pairs are made, never which.
+HOT = 40
 #: Bits of a bucket key.
 KEY_BITS = 44
-#: Finer buckets that a row with a hot key is put into.
-FINER = 3
+#: Records of a block that an over-full bucket is dealt into.
+SIDE = 512
+#: Short q-grams, and bits of a record's profile of them, for the lower bound of the edit distance.
+SHORT = 5
+BITS = 4**SHORT
 #: Pairs that a task makes at a time.
 BLOCK = 1 << 20
 
@@ -61,8 +66,8 @@ def record_grams(codes: np.ndarray, off: np.ndarray, q: int) -> tuple[np.ndarray
     return gram, inside
 
 
-def signatures(codes: np.ndarray, off: np.ndarray, q: int, hashes: int, hot: np.ndarray | None = None) -> np.ndarray:
-    """(hashes x records) minima; the highest bit is set where all q-grams of a record are hot."""
+def signatures(codes: np.ndarray, off: np.ndarray, q: int, hashes: int) -> np.ndarray:
+    """(hashes x records) minima."""
     length = np.diff(off)
     out = np.zeros((hashes, len(length)), np.uint64)
     full = np.flatnonzero(length > 0)
@@ -71,9 +76,6 @@ def signatures(codes: np.ndarray, off: np.ndarray, q: int, hashes: int, hot: np.
     gram, inside = record_grams(codes, off, q)
     head = off[:-1][full]
     late = np.zeros(len(gram), np.uint64)
-    if hot is not None and len(hot):
-        at = np.minimum(np.searchsorted(hot, gram), len(hot) - 1)
-        late[hot[at] == gram] = np.uint64(1 << 63)
     late[~inside] = NONE
     rng = np.random.default_rng(20240229)
     high = gram >> np.uint64(32)
@@ -92,64 +94,131 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return mix(sig + band) >> np.uint64(64 - KEY_BITS)
 
 
-def _buckets(q: int, hashes: int, hot: np.ndarray | None):
+def _buckets(q: int, hashes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            sig = signatures(*flat(b.column(1)), q, hashes, hot)
-            keys = band_keys(sig)
-            record = np.broadcast_to(np.arange(len(ids)), keys.shape)
-            is_hot = sig >> np.uint64(63) == 1
-            if is_hot.any():
-                finer = [
-                    (mix(keys + np.roll(keys, -s, axis=0) * np.uint64(5)) >> np.uint64(64 - KEY_BITS))[is_hot]
-                    for s in range(1, FINER + 1)
-                ]
-                keys, record = np.concatenate([keys[~is_hot], *finer]), np.concatenate(
-                    [record[~is_hot], *[record[is_hot]] * FINER]
-                )
+            keys = band_keys(signatures(*flat(b.column(1)), q, hashes))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.ravel().astype(np.int64)), pa.array(ids[record.ravel()])], names=["key", "id"]
+                [pa.array(keys.ravel().astype(np.int64)), pa.array(np.tile(ids, hashes))], names=["key", "id"]
             )
 
     return run
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of one partition, which holds whole buckets."""
-    keys, ids = [], []
-    for b in batches:
-        keys.append(b.column(0).to_numpy(zero_copy_only=False))
-        ids.append(b.column(1).to_numpy(zero_copy_only=False))
-    if not keys:
-        return
-    key, rid = np.concatenate(keys), np.concatenate(ids)
-    del keys, ids
-    order = np.argsort(key, kind="stable")
-    key, rid = key[order], rid[order]
-    head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    size = np.diff(head, append=len(key))
-    several = size > 1
-    head, size = head[several], size[several]
-    if not len(head):
-        return
-    member = np.repeat(head, size)
-    at = member + (np.arange(len(member)) - np.repeat(np.cumsum(size) - size, size))
-    later = np.repeat(head + size, size) - at - 1  # members of the bucket behind this one
-    at, later = at[later > 0], later[later > 0]
-    done = 0
-    ends = np.cumsum(later)
-    while done < len(at):
-        base = ends[done - 1] if done else 0
-        to = max(done + 1, int(np.searchsorted(ends, base + BLOCK, side="right")))
-        c = later[done:to]
-        left = np.repeat(at[done:to], c)
-        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(c) - c, c)
-        a, b = rid[left], rid[right]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"]
+MADE = ["a", "b", "block", "blocks"]
+
+
+def _pairs(hot: int, side: int):
+    """Of one partition, which holds whole buckets: the pairs (a, b), and the members (a) of every over-full bucket (b) with their blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ids = [], []
+        for b in batches:
+            keys.append(b.column(0).to_numpy(zero_copy_only=False))
+            ids.append(b.column(1).to_numpy(zero_copy_only=False))
+        if not keys:
+            return
+        key, rid = np.concatenate(keys), np.concatenate(ids)
+        del keys, ids
+        order = np.argsort(key, kind="stable")
+        key, rid = key[order], rid[order]
+        head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(head, append=len(key))
+        for h, n in zip(head[size > hot].tolist(), size[size > hot].tolist()):
+            block = (np.arange(n) // side).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rid[h : h + n]), pa.array(key[h : h + n]), pa.array(block), pa.array(np.full(n, block[-1] + 1, np.int32))],
+                names=MADE,
+            )
+        several = (size > 1) & (size <= hot)
+        head, size = head[several], size[several]
+        if not len(head):
+            return
+        member = np.repeat(head, size)
+        at = member + (np.arange(len(member)) - np.repeat(np.cumsum(size) - size, size))
+        later = np.repeat(head + size, size) - at - 1  # members of the bucket behind this one
+        at, later = at[later > 0], later[later > 0]
+        done = 0
+        ends = np.cumsum(later)
+        while done < len(at):
+            base = ends[done - 1] if done else 0
+            to = max(done + 1, int(np.searchsorted(ends, base + BLOCK, side="right")))
+            c = later[done:to]
+            left = np.repeat(at[done:to], c)
+            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(c) - c, c)
+            a, b = rid[left], rid[right]
+            none = pa.nulls(len(a), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none, none], names=MADE)
+            done = to
+
+    return run
+
+
+def profiles(codes: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """(BITS / 64 x records) words: which short q-grams a record holds.  An edit changes 2 * SHORT bits at most."""
+    out = np.zeros((len(off) - 1, BITS), bool)
+    if len(codes) >= SHORT:
+        # two bits a symbol, which tell the four bases apart; other symbols that fall together only loosen the bound
+        two = (codes >> 1 & 3).astype(np.int64)
+        at = np.zeros(len(codes) - SHORT + 1, np.int64)
+        for k in range(SHORT):
+            at = at * 4 + two[k : k + len(at)]
+        owner = np.repeat(np.arange(len(off) - 1), np.diff(off))[: len(at)]
+        inside = np.arange(len(at)) + SHORT <= off[1:][owner]
+        out[owner[inside], at[inside]] = True
+    return np.ascontiguousarray(np.packbits(out, axis=1).view(np.uint64).T)
+
+
+def _cell(percent: int, q: int, hashes: int, once: bool):
+    """Pairs of two blocks of an over-full bucket, or of one block, that the lower bound lets through.
+
+    `once`: a pair that shares several buckets comes from the one with the smallest key only.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        ids = table["id"].to_numpy()
+        block = table["block"].to_numpy()
+        key = np.uint64(table["key"][0].as_py())
+        codes, off = flat(table["text"])
+        length = np.diff(off)
+        held = profiles(codes, off)
+        x = np.flatnonzero(block == block.min())
+        y = np.flatnonzero(block == block.max())
+        differ = np.zeros((len(x), len(y)), np.uint16)
+        for word in held:
+            differ += np.bitwise_count(word[x][:, None] ^ word[y][None, :])
+        most = np.maximum(length[x][:, None], length[y][None, :]) * percent // 100
+        near = (differ <= 2 * SHORT * most) & (np.abs(length[x][:, None] - length[y][None, :]) <= most)
+        near &= table["one"][0].as_py() is False or ids[x][:, None] < ids[y][None, :]
+        left, right = np.nonzero(near)
+        left, right = x[left], y[right]
+        if once and len(left):
+            used, place = np.unique(np.concatenate((left, right)), return_inverse=True)
+            keys = band_keys(signatures(*flat(table["text"].take(pa.array(used))), q, hashes))
+            i, j = place[: len(left)], place[len(left) :]
+            before = np.zeros(len(left), bool)
+            for band in keys:
+                before |= (band[i] == band[j]) & (band[i] < key)
+            left, right = left[~before], right[~before]
+        a, b = ids[left], ids[right]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return run
+
+
+def _block_pairs(members: DataFrame, reps: DataFrame, percent: int, q: int, hashes: int, once: bool) -> DataFrame:
+    """Candidates of the over-full buckets: every two blocks of a bucket meet in one group of 2 * SIDE records at most."""
+    return (
+        members.join(reps.hint("merge"), "id")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(
+            "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
+            "block", (F.col("block") == F.col("other")).alias("one"), "id", "text",
         )
-        done = to
+        .groupBy("key", "lo", "hi")
+        .applyInArrow(_cell(percent, q, hashes, once), "a long, b long")
+    )
 
 
 def _sample_grams(q: int):
@@ -230,13 +299,17 @@ def near_links(
     n = df.count()
     reps, members = classes(df, id_col, text_col)
     reps = written(reps)
-    hot = hot_grams(reps, n, q)
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * hashes // 2_000_000))
-    candidates = (
-        reps.filter(F.length("text") * percent >= 100)
-        .mapInArrow(_buckets(q, hashes, hot), "key long, id long")
+    long_enough = reps.filter(F.length("text") * percent >= 100)
+    made = written(
+        long_enough.mapInArrow(_buckets(q, hashes), "key long, id long")
         .repartition(parts, "key")
-        .mapInArrow(_pairs, "a long, b long")
+        .mapInArrow(_pairs(HOT, SIDE), "a long, b long, block int, blocks int")
+    )
+    pairs = made.filter("block is null").select("a", "b")
+    full = made.filter("block is not null").select(F.col("a").alias("id"), F.col("b").alias("key"), "block", "blocks")
+    candidates = (
+        pairs.unionByName(_block_pairs(full, reps, percent, q, hashes, once=min_equal == 1))
         .filter("a < b")
         .groupBy("a", "b")
         .count()

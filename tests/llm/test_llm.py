@@ -190,6 +190,19 @@ def test_hot_grams_do_not_lose_pairs(spark, monkeypatch):
     assert got <= true and len(got) >= 0.97 * len(true)
 
 
+@pytest.mark.parametrize("side", [512, 64])
+def test_family_of_edited_copies(spark, monkeypatch, side):
+    monkeypatch.setattr(near_duplicates, "SIDE", side, raising=False)
+    master = dna(100)
+    # two edits each: at most four between any two, where ten are allowed
+    texts = [mutate(master, 2) for _ in range(200)]
+    assert all(distance(texts[0], x) <= 4 for x in texts)
+    df = frame(spark, list(enumerate(texts)), "id long, t string")
+    got = [tuple(r) for r in near_duplicates.near_pairs(df, "id", "t").collect()]
+    assert len(got) == len(set(got)) and all(a < b for a, b in got)
+    assert len(got) >= 0.97 * (200 * 199 // 2)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (None, 3), (1, 0)]
     got = {r.id: r.component for r in components.connected_components(frame(spark, edges, "x long, y long"), "x", "y").collect()}

@@ -29,8 +29,6 @@ from readmill.functions.flat import NONE, Rolling, flat, mix, symbol_values
 from readmill.llm.components import connected_components
 from readmill.plans.runtime import cut_lineage, digest, written
 
-#: Records at most from which hot q-grams are estimated.
-SAMPLE = 100_000
 #: Records of a bucket beyond which its pairs are made in blocks; it decides where pairs are made, never which.
 HOT = 40
 #: Bits of a bucket key.
@@ -221,34 +219,6 @@ def _block_pairs(members: DataFrame, reps: DataFrame, percent: int, q: int, hash
     )
 
 
-def _sample_grams(q: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            codes, off = flat(b.column(1))
-            gram, inside = record_grams(codes, off, q)
-            owner = np.repeat(np.arange(len(off) - 1, dtype=np.uint64), np.diff(off))[inside]
-            gram = gram[inside]
-            _, first = np.unique(mix(gram + mix(owner + np.uint64(1))), return_index=True)  # once per record
-            yield pa.RecordBatch.from_arrays([pa.array(gram[first].view(np.int64))], names=["gram"])
-
-    return run
-
-
-def hot_grams(reps: DataFrame, n: int, q: int) -> np.ndarray:
-    """Sorted q-grams that at least HOT records of a bounded sample hold: at most SAMPLE / HOT per position of a record."""
-    step = max(1, -(-n // SAMPLE))
-    rows = (
-        reps.filter(F.expr(f"pmod(xxhash64(id, 991), {step}) = 0"))
-        .mapInArrow(_sample_grams(q), "gram long")
-        .groupBy("gram")
-        .count()
-        .filter(F.col("count") >= HOT)
-        .select("gram")
-        .toPandas()
-    )
-    return np.sort(rows["gram"].to_numpy().astype(np.int64).view(np.uint64))
-
-
 def within(a: Column, b: Column, percent: int) -> Column:
     """The edit distance of two texts is at most `percent` of the longer one's length."""
     most = (F.greatest(F.length(a), F.length(b)) * percent / 100).cast("int")

@@ -203,6 +203,19 @@ def test_family_of_edited_copies(spark, monkeypatch, side):
     assert len(got) >= 0.97 * (200 * 199 // 2)
 
 
+def test_family_is_found_alike_in_tables_of_every_size(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "SAMPLE", 100, raising=False)
+    master = dna(100)
+    family = list(enumerate(mutate(master, 2) for _ in range(60)))
+    others = [(1000 + i, dna(100)) for i in range(300)]
+    copies = [(2000 + i, others[0][1]) for i in range(300)]
+    got = []
+    for rows in (family, family + others, family + others + copies):
+        found = near_duplicates.near_pairs(frame(spark, rows, "id long, t string"), "id", "t").collect()
+        got.append({tuple(r) for r in found if r.b < 1000})
+    assert got[0] == got[1] == got[2] and len(got[0]) >= 0.97 * (60 * 59 // 2)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (None, 3), (1, 0)]
     got = {r.id: r.component for r in components.connected_components(frame(spark, edges, "x long, y long"), "x", "y").collect()}

@@ -3,7 +3,7 @@
 Documents are spread over groups of bounded token mass by a hash of the document; every group is packed on its own, so
 that the work per task is bounded and nothing global is collected.  A group starts from best fit decreasing and is
 improved by a swap-based local search: documents move between underfull bins, or change places one for one and two for
-one, whenever that raises the sum of squared fills; a bin that becomes empty is dropped.
+one, whenever that raises the sum of squared fills, until nothing raises it; a bin that becomes empty is dropped.
 """
 
 from __future__ import annotations
@@ -32,8 +32,6 @@ GROUP_TOKENS = 2_000_000
 REMEMBERED = 400_000
 #: Documents that are counted together.
 BATCH = 2_000
-#: Rounds of the local search at most, and bins that one underfull bin is compared with.
-ROUNDS, NEAR = 6, 64
 
 
 @functools.lru_cache(2)
@@ -134,74 +132,101 @@ def first_bins(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
+def _sums(items: list[int], sizes: list[int], capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct sizes of a bin's items, and sums of two of them."""
+    v = np.array([sizes[i] for i in items], np.int64)
+    one, n = np.unique(v, return_counts=True)
+    two = np.add.outer(one, one)
+    two = np.concatenate((two[np.triu_indices(len(one), 1)], 2 * one[n > 1]))
+    return one, np.unique(two[two <= capacity])
+
+
+def _chosen(items: list[int], sizes: list[int], value: int, several: int) -> list[int]:
+    """`several` items (none, one or two) of a bin whose sizes add up to the value."""
+    if several == 0:
+        return []
+    if several == 1:
+        return [next(i for i in items if sizes[i] == value)]
+    seen: dict[int, int] = {}
+    for i in items:
+        if value - sizes[i] in seen:
+            return [seen[value - sizes[i]], i]
+        seen.setdefault(sizes[i], i)
+    raise ValueError("no such pair")
+
+
+class Underfull:
+    """What every underfull bin could give back for an exchange, side by side: none, one or two of its items."""
+
+    def __init__(self, bins: list[list[int]], sizes: list[int], capacity: int):
+        self.bins, self.sizes, self.capacity = bins, sizes, capacity
+        self.fill = np.array([sum(sizes[i] for i in b) for b in bins], np.int64)
+        self.sums = [_sums(b, sizes, capacity) if 0 < f < capacity else None for b, f in zip(bins, self.fill.tolist())]
+        self.flat: tuple[np.ndarray, ...] | None = None
+
+    def backs(self) -> tuple[np.ndarray, ...]:
+        """(bin, what comes back, of how many items), for all underfull bins."""
+        if self.flat is None:
+            zero = np.zeros(1, np.int64)
+            there = [(b, s) for b, s in enumerate(self.sums) if s is not None]
+            parts = [(b, several, v) for b, s in there for several, v in enumerate((zero, *s))]
+            count = np.array([len(v) for _, _, v in parts])
+            self.flat = (
+                np.repeat(np.array([b for b, _, _ in parts]), count),
+                np.concatenate([v for _, _, v in parts]),
+                np.repeat(np.array([k for _, k, _ in parts]), count),
+            )
+        return self.flat
+
+    def best(self, x: int):
+        """The exchange with any underfull bin that raises the sum of squared fills most, or None.
+
+        Moving d tokens from x to y changes the sum by 2 d (fy - fx + d), which grows with d as soon as it is
+        positive: for all that y could give back, the largest that x can give within y's room is looked up.
+        """
+        y, back, several = self.backs()
+        one, two = self.sums[x]
+        both = np.union1d(one, two)
+        most = back + self.capacity - self.fill[y]
+        out = np.where(several == 2, *(
+            np.where(at >= 0, v[at], 0) for v in (one, both) for at in [np.searchsorted(v, most, side="right") - 1]
+        ))
+        d = out - back
+        gain = d * (self.fill[y] - self.fill[x] + d)
+        gain[(d <= 0) | (y == x)] = 0
+        k = int(np.argmax(gain))
+        if gain[k] <= 0:
+            return None
+        i = np.searchsorted(one, out[k])
+        return int(y[k]), int(out[k]), 1 if i < len(one) and one[i] == out[k] else 2, int(back[k]), int(several[k])
+
+    def exchange(self, x: int, y: int, out: int, n_out: int, back: int, n_back: int) -> None:
+        give, take = _chosen(self.bins[x], self.sizes, out, n_out), _chosen(self.bins[y], self.sizes, back, n_back)
+        for b, less, more, d in ((x, give, take, back - out), (y, take, give, out - back)):
+            self.bins[b] = [i for i in self.bins[b] if i not in less] + more
+            self.fill[b] += d
+            self.sums[b] = _sums(self.bins[b], self.sizes, self.capacity) if 0 < self.fill[b] < self.capacity else None
+        self.flat = None
+
+
 def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
     """Local search over the underfull bins; every step raises the sum of squared fills.
 
-    It ends when no more bins are used than the tokens need.  As many of the emptiest bins give as could be
-    saved, and two more.
+    Every underfull bin gives, the emptiest first, to any other one.  It ends when no step raises the sum, or
+    when no more bins are used than the tokens need.
     """
-    fill = [sum(sizes[i] for i in b) for b in bins]
-    least = -(-sum(fill) // capacity)
-    for _ in range(ROUNDS):
-        spare = sum(1 for b in bins if b) - least
-        if spare <= 0:
-            break
+    state = Underfull([list(b) for b in bins], sizes, capacity)
+    least = -(-int(state.fill.sum()) // capacity)
+    used = int((state.fill > 0).sum())
+    changed = True
+    while changed and used > least:
         changed = False
-        under = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: -fill[b])
-        for x in under[: -spare - 3 : -1]:  # the emptiest bins give first
-            if not bins[x]:
-                continue
-            near = [y for y in under if y != x and bins[y] and fill[y] < capacity][:NEAR]
-            for y in near:
-                if not bins[x]:
-                    break
-                step = _step(bins[x], bins[y], fill[x], fill[y], sizes, capacity)
-                if step:
-                    out, back = step
-                    for i in out:
-                        bins[x].remove(i)
-                        bins[y].append(i)
-                    for i in back:
-                        bins[y].remove(i)
-                        bins[x].append(i)
-                    d = sum(sizes[i] for i in out) - sum(sizes[i] for i in back)
-                    fill[x] -= d
-                    fill[y] += d
-                    changed = True
-        if not changed:
-            break
-    return [b for b in bins if b]
-
-
-def _step(xs: list[int], ys: list[int], fx: int, fy: int, sizes: list[int], capacity: int):
-    """The exchange between two bins that raises fx**2 + fy**2 most, or None.
-
-    Moving d tokens from x to y changes the sum by 2 d (fy - fx + d); a change counts if it is positive.
-    """
-    room = capacity - fy
-    best, gain = None, 0
-
-    def offer(d: int, out: tuple, back: tuple) -> None:
-        nonlocal best, gain
-        g = 2 * d * (fy - fx + d)
-        if g > gain and d <= room and d >= fx - capacity:
-            best, gain = (out, back), g
-
-    for i in xs:
-        offer(sizes[i], (i,), ())
-        for j in ys:
-            offer(sizes[i] - sizes[j], (i,), (j,))
-    if len(xs) * len(xs) * len(ys) <= 400:
-        for a in range(len(xs)):
-            for b in range(a):
-                for j in ys:
-                    offer(sizes[xs[a]] + sizes[xs[b]] - sizes[j], (xs[a], xs[b]), (j,))
-    if len(ys) * len(ys) * len(xs) <= 400:
-        for a in range(len(ys)):
-            for b in range(a):
-                for i in xs:
-                    offer(sizes[i] - sizes[ys[a]] - sizes[ys[b]], (i,), (ys[a], ys[b]))
-    return best
+        for x in np.argsort(state.fill, kind="stable").tolist():
+            while state.sums[x] is not None and used > least and (step := state.best(x)):
+                state.exchange(x, *step)
+                used -= int(state.fill[x] == 0)
+                changed = True
+    return [b for b in state.bins if b]
 
 
 def _pack(capacity: int):

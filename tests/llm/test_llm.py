@@ -248,6 +248,20 @@ def test_exchange_empties_a_bin():
     assert len(out) == 2
 
 
+def test_search_reaches_every_underfull_bin():
+    # best fit leaves room in most bins, the fullest ones have none to offer
+    sizes = np.random.default_rng(3).integers(500, 901, 400)
+    bins = packing.first_bins(sizes, 2048)
+    better = packing.improve([list(b) for b in bins], sizes.tolist(), 2048)
+    assert sorted(i for b in better for i in b) == list(range(400)) and max(sum(sizes[b]) for b in better) <= 2048
+    assert len(better) <= 0.96 * len(bins)
+    fill = [sum(sizes[b]) for b in better]
+    for x, bx in enumerate(better):
+        for y, by in enumerate(better):
+            for d in (sizes[i] - sizes[j] for i in bx for j in by):
+                assert x == y or not 0 < d <= 2048 - fill[y] or fill[y] - fill[x] + d <= 0
+
+
 def test_fill_containers(spark):
     rows = [(1, "word " * 40, 1), (1, "word " * 40, 1), (2, "", 2), (3, None, 3), (None, "x y z", 4)] + [(10 + i, "lorem ipsum " * R.randrange(1, 9), i) for i in range(60)]
     df = frame(spark, rows, "id long, text string, container_id int")

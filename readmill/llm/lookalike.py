@@ -220,32 +220,51 @@ def consistent_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return src.mapInArrow(_rewrite(items, True), "id long, text string, changed boolean")
 
 
-#: A set of documents with the same text up to this size is listed member by member, a larger one by its smallest id.
+#: A set of documents with the same text up to this size is paired member by member, a larger one as look_alike_pairs says.
 LISTED = 1000
 
 
+def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, look, raw): two digests of every document, written once, so that every text is rewritten a single time."""
+    items = tuple(sorted(member_counts(df, text_col).items()))
+    src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull())
+    return written(src.mapInArrow(_rewrite(items, False), "id long, look binary, raw binary"))
+
+
 def look_alike_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(a, b), a < b: pairs of ids whose texts are not identical but look identical.
 
-    Rows with a null id or text take no part; rows that repeat an id and text count once.  Documents of one
-    wording are copies: more than LISTED of them stand in the pairs by their smallest id only.
+    Rows with a null id or text take no part; rows that repeat an id and text count once.  Two wordings of at most
+    LISTED documents each are paired member by member.  Otherwise every document of either one is paired with the
+    smallest id of the other, so that the rows grow with the documents and none of them is lost.
     """
-    items = tuple(sorted(member_counts(df, text_col).items()))
-    src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull())
-    # two digests a document, written once: every text is rewritten a single time
-    keyed = written(src.mapInArrow(_rewrite(items, False), "id long, look binary, raw binary"))
+    keyed = _keyed(df, id_col, text_col).distinct()
     variants = keyed.groupBy("look", "raw").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     several = variants.groupBy("look").agg(F.min("raw").alias("_lo"), F.max("raw").alias("_hi")).filter("_lo < _hi").select("look")
-    some = variants.join(several.hint("merge"), "look", "left_semi")
-    listed = cut_lineage(
-        keyed.join(some.hint("merge"), ["look", "raw"])
-        .filter(F.expr(f"n <= {LISTED} or id = rep"))
-        .select("look", "raw", "id")
-        .distinct()
+    some = cut_lineage(variants.join(several.hint("merge"), "look", "left_semi"))
+    listed = cut_lineage(keyed.join(some.hint("merge"), ["look", "raw"]).select("look", "raw", "id", "n"))
+    small = listed.filter(F.col("n") <= LISTED)
+    inner = (
+        small.alias("x")
+        .join(small.alias("y").hint("merge"), F.expr("x.look = y.look and x.raw <> y.raw and x.id < y.id"))
+        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     )
+    # only classes with a large wording: its documents and those of the other wordings go with each other's smallest ids
+    large = some.filter(F.col("n") > LISTED).select("look").distinct()
+    outer = (
+        listed.join(large.hint("merge"), "look", "left_semi").alias("x")
+        .join(some.alias("y").hint("merge"), F.expr(f"x.look = y.look and x.raw <> y.raw and (x.n > {LISTED} or y.n > {LISTED})"))
+        .select(F.least("x.id", "y.rep").alias("a"), F.greatest("x.id", "y.rep").alias("b"))
+        .filter("a < b")
+    )
+    return inner.unionByName(outer).distinct()
+
+
+def look_alike_members(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, wording, look_class): every document with an id and text; the smallest id of its wording and of its look-alike class."""
+    keyed = _keyed(df, id_col, text_col).distinct()
+    wording = keyed.groupBy("look", "raw").agg(F.min("id").alias("wording"))
+    look = wording.groupBy("look").agg(F.min("wording").alias("look_class"))
     return (
-        listed.alias("x")
-        .join(listed.alias("y").hint("merge"), F.expr("x.look = y.look and x.raw <> y.raw and x.id < y.id"))
-        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        .distinct()
+        keyed.join(wording.hint("merge"), ["look", "raw"]).join(look.hint("merge"), "look").select("id", "wording", "look_class")
     )

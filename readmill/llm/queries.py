@@ -57,6 +57,10 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
+def p10_members(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.look_alike_members(load(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 def p10_texts(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.consistent_text(load(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
@@ -65,7 +69,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p5_found, p5_balanced, p6_found, p7_found, p7_groups, p8_containers, p9_found, p10_found, p10_texts,
+            p1_found, p5_found, p5_balanced, p6_found, p7_found, p7_groups, p8_containers, p9_found, p10_found, p10_members,
+            p10_texts,
         )
     }
 

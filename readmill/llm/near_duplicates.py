@@ -4,8 +4,8 @@
 2. A record's signature holds, for each of `hashes` universal hash functions, the minimum over its
    q-grams.  Every minimum is a band of one row: with edits spread over a short record few q-grams
    survive, so wider bands would lose links.
-3. Representatives that share a band become a candidate pair; the number of equal minima is the
-   estimate of their similarity (signature verification).
+3. Representatives that share a band become a candidate pair: one equal minimum suffices, and the
+   edit distance alone verifies.
 4. Candidates are verified by the edit distance with a bound, inside generated JVM code.
 5. Links of a link: two records linked to the same third one are verified too, which finds pairs whose
    own signatures happened to differ everywhere.

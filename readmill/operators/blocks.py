@@ -108,6 +108,20 @@ def context_counts(pos: DataFrame, k: int) -> DataFrame:
     return histogram(kept.select("block_id", ctx.alias("context"), "base"), ["block_id", "context", "base"])
 
 
+def quality_contexts(codes: DataFrame, order: int, parts: int = 8, lossy: bool = False) -> DataFrame:
+    """(part, context, code, n): counts of a code by the `order` codes before it in its read, joined by commas, and its part of the read.
+
+    Before the first code stand 0s.  `lossy` counts the 8 symbols of lossy storage in place of the codes: 0 for an
+    ambiguous base, 1 to 7 otherwise.
+    """
+    w = W.partitionBy("read_id").orderBy("pos")
+    symbol = F.when(F.col("idx") > 3, 0).otherwise(F.greatest(B.lossy_bin(F.col("q")), F.lit(1))) if lossy else F.col("code")
+    c = codes.withColumn("code", symbol.cast("int"))
+    before = [F.coalesce(F.lag("code", i).over(w), F.lit(0)) for i in range(order, 0, -1)]
+    c = c.withColumn("context", F.concat_ws(",", *[x.cast("string") for x in before]))
+    return histogram(c.withColumn("part", B.position_context(F.col("pos"), F.col("n"), parts)), ["part", "context", "code"])
+
+
 def entropy_bits(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
     """Ideal size in bits of a stream coded with its own static statistics, per first key."""
     total = F.sum(n).over(W.partitionBy(*keys))

@@ -311,6 +311,14 @@ def quality_context(spark: SparkSession, d: str) -> DataFrame:
     return c.withColumn("part", B.position_context(F.col("pos"), F.col("n"), 8)).groupBy("part", "previous", "code").agg(F.count("*").alias("n"))
 
 
+def quality_context_k2(spark: SparkSession, d: str) -> DataFrame:
+    return blocks.quality_contexts(_codes(spark, d), 2)
+
+
+def quality_context_lossy_k3(spark: SparkSession, d: str) -> DataFrame:
+    return blocks.quality_contexts(_codes(spark, d), 3, lossy=True)
+
+
 def block_codec(spark: SparkSession, d: str) -> DataFrame:
     """Sizes of the coded streams of each block with their round trip; without an SQL twin, the codes are built step by step."""
     r = _reads(spark, d, "block_id", "run_id", "tag", "sequence", "quality")
@@ -404,7 +412,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             chunk_records, stream_sizes, block_stats, block_meta_check, block_digest, block_crc,
             quality_position_hist, quality_hist, base_hist, base_hist_rollup, symbol_index, dna_scheme, iupac_index, lossy_bin,
             lossy_reads, ambiguity_transfer, ambiguity_restore, truncated_len, quality_scheme, quality_model, quality_runs,
-            run_transitions, run_sets, run_expand, dna_context_k3, dna_entropy_k3, quality_entropy, quality_context, block_codec,
+            run_transitions, run_sets, run_expand, dna_context_k3, dna_entropy_k3, quality_entropy, quality_context,
+            quality_context_k2, quality_context_lossy_k3, block_codec,
             colorspace_decode, colorspace_encode, primer_strip,
             tag_fields, tag_project, tag_mixed, tag_field_stats, tag_deltas, tag_runs, tag_delta_runs, tag_scheme, tag_char_hist, tag_ham_mask,
             tag_symbol_hist,

@@ -293,3 +293,20 @@ def test_oracles_agree(spark, small):
         a, b = queries()[name](spark, small).toPandas(), con.execute(oracle_sql()[name]).fetchdf()
         rows = lambda f: sorted(map(str, f[sorted(f.columns)].astype(object).where(f[sorted(f.columns)].notna(), None).itertuples(index=False, name=None)))
         assert rows(a) == rows(b), name
+
+
+@pytest.mark.parametrize("order, lossy", [(1, False), (2, False), (4, False), (3, True), (9, True)])
+def test_quality_contexts_of_any_order(spark, order, lossy):
+    reads = [(1, "ACGTACGTACGT", [0, 1, 2, 9, 10, 19, 20, 25, 30, 35, 40, 41]), (2, "NACA", [0, 40, 40, 2]), (3, "A", [7])]
+    rows = [(i, p + 1, len(s), s[p], q[p]) for i, s, q in reads for p in range(len(s))]
+    df = spark.createDataFrame(rows, "read_id long, pos int, n int, base string, q int")
+    got = {(r.part, r.context, r.code): r.n for r in blocks.quality_contexts(blocks.with_transfer(df), order, lossy=lossy).collect()}
+    codes = {(r.read_id, r.pos): r.code for r in blocks.with_transfer(df).collect()}
+    low, want = [0, 2, 10, 20, 25, 30, 35, 40], {}
+    for i, s, q in reads:
+        bins = [0 if s[p] == "N" else max(1, max(k for k in range(8) if low[k] <= q[p])) for p in range(len(s))]
+        of = bins if lossy else [codes[i, p + 1] for p in range(len(s))]
+        for p in range(len(s)):
+            key = (p * 8 // len(s), ",".join(str(of[p - k] if p >= k else 0) for k in range(order, 0, -1)), of[p])
+            want[key] = want.get(key, 0) + 1
+    assert got == want

@@ -76,6 +76,22 @@ class Rolling:
         return mix((self.prefix[starts + length] - self.prefix[starts]) * self.back[starts])
 
 
+def doubled_names(values: np.ndarray, length: int) -> np.ndarray:
+    """A name of values[i : i + length] for every i at which it fits.
+
+    Names of stretches of 1, 2, 4, ... values are put together from names of their halves by a mixing step, so, other than with a
+    polynomial hash, no pair of different stretches has equal names for any choice of symbol values.
+    """
+    if len(values) < length:
+        return values[:0]
+    have, out = 1, values
+    while have < length:
+        step = min(have, length - have)
+        out = mix(out[: len(out) - step] * np.uint64(3) + mix(out[step:] + np.uint64(step)))
+        have += step
+    return out
+
+
 def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     """Minimum of a[i : i + width] for every i at which it fits."""
     if len(a) < width:

@@ -1,161 +1,250 @@
-"""Long exact spans shared between records, by restricted recompression.
-
-Each record is parsed bottom-up: a round first names maximal runs of equal symbols, then
-names neighbouring pairs (left symbol, right symbol), where a universal hash of a name
-says on which side it may stand.  Names are content hashes, so they are global without
-any exchange: equal substrings get equal symbols on every executor except near their
-ends.  A round only touches symbols up to a length limit and leaves very long runs as
-they are, so whether a boundary survives depends on `reach` symbols of either side only.
-Every window of `min_len` symbols therefore holds a boundary whose whole neighbourhood
-lies inside the window; the smallest name of such a neighbourhood is the window's phrase.
-
-Shared windows have the same phrase.  So phrases (a few per record) are aggregated first,
-and only windows whose phrase stands in two records are compared, by a 128-bit name of
-their content.  No group is ever listed: both steps are count-like aggregates with
-map-side combine followed by a semi join that adaptive execution splits where a key is hot.
+"""Long exact spans shared between records, by recompression.
+
+Every record is parsed bottom-up.  A round first names maximal runs of equal symbols, then pairs of a left and a right
+symbol, where a universal hash of a symbol says which of both it is.  Names are content hashes, global without an exchange.
+A symbol carries the stretch of text that fixes it (its own text and the neighbours that a round looked at):
+wherever that stretch stands, the symbol stands, so equal substrings have the same interior symbols.
+
+Two Spark rounds follow.
+
+1. Reveal.  Each record gives the names of its long symbols and, for each window of `min_len` symbols, the smallest
+   context (the names of a symbol and of what fixes it) among the high-level symbols that are fixed inside the window.
+   What stands in two records goes on.  A long symbol in two records is itself a shared span, as its 128-bit name says.
+2. Verify.  The remaining windows whose context is shared are compared by 128-bit names of their content.  Windows
+   inside a shared long symbol are left to the record with the smallest id that holds it, so text that stands in many
+   records is written once and not once per position and record.
+
+No group is ever listed: both rounds are count-like aggregates with map-side combine followed by a join that
+adaptive execution splits where a key is hot.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readmill.functions.flat import NONE, Rolling, flat, mix, sliding_min, symbol_values
+from readmill.functions.flat import NONE, doubled_names, flat, mix, symbol_values
 
+#: Rounds after which a record that is not yet one symbol is left as it is.
+MOST_ROUNDS = 60
 
-def schedule(min_len: int) -> tuple[list[tuple[int, int]], int, int]:
-    """(rounds as (symbol limit, run limit), reach, longest gap) that fit in min_len.
 
-    One round adds to the reach what it looks at: for runs the run limit and one symbol,
-    for pairs one symbol.
-    """
-    rounds, reach, gap, limit = [], 0, 1, 1
-    while True:
-        run = max(3, 2 * limit)
-        more = reach + run + 2 * limit
-        if 2 * more + 3 * run > min_len:
-            return rounds, reach, gap
-        rounds.append((limit, run))
-        reach, gap, limit = more, run, limit * 2
-
-
-def boundaries(codes: np.ndarray, off: np.ndarray, rounds: list[tuple[int, int]]) -> np.ndarray:
-    """True where a symbol of the last round begins."""
-    n = len(codes)
-    start = np.arange(n, dtype=np.int64)
-    name = symbol_values(codes)
-    wall = np.zeros(n + 1, bool)
-    wall[off] = True
-    wall = wall[:n]
-    for t, (limit, run_limit) in enumerate(rounds):
-        length = np.diff(start, append=n)
-        joined = np.zeros(len(name), bool)
-        joined[1:] = (name[1:] == name[:-1]) & (length[:-1] <= limit) & ~wall[1:]
-        head = np.flatnonzero(~joined)
-        count = np.diff(head, append=len(name))
-        merge = (count > 1) & (count * length[head] <= run_limit)
-        keep = ~joined | np.repeat(~merge, count)
-        at = head[merge]
-        name[at] = mix(name[at] + count[merge].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        start, name, wall = start[keep], name[keep], wall[keep]
-        small = np.diff(start, append=n) <= limit
-        left = (mix(name + np.uint64(104729 * (t + 1))) >> np.uint64(63)).astype(bool)
-        pair = np.zeros(len(name), bool)
-        pair[1:] = left[:-1] & ~left[1:] & small[:-1] & small[1:] & ~wall[1:]
-        second = np.flatnonzero(pair)
-        name[second - 1] = mix(name[second - 1] * np.uint64(3) + mix(name[second]))
-        start, name, wall = start[~pair], name[~pair], wall[~pair]
-    out = np.zeros(n, bool)
-    out[start] = True
+class Level(NamedTuple):
+    """The symbols after a round, one after the other."""
+
+    start: np.ndarray
+    end: np.ndarray
+    name: np.ndarray
+    twin: np.ndarray  # a second name: both together have 128 bits
+    left: np.ndarray  # the stretch that fixes the symbol; it reaches beyond the record if its end was looked at
+    right: np.ndarray
+    context: np.ndarray  # name of that stretch
+    first: np.ndarray  # the record's first symbol, and its last
+    last: np.ndarray
+
+
+def _join(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
+    return mix(a * np.uint64(3) + mix(b + np.uint64(salt)))
+
+
+def _runs(s: Level, low: np.ndarray, high: np.ndarray) -> Level:
+    """Maximal runs of equal symbols become one; both neighbours fix where a run ends."""
+    same = np.zeros(len(s.name), bool)
+    same[1:] = (s.name[1:] == s.name[:-1]) & (s.twin[1:] == s.twin[:-1]) & ~s.first[1:]
+    head = np.flatnonzero(~same)
+    count = np.diff(head, append=len(same))
+    tail = head + count - 1
+    many = count > 1
+    name, twin = s.name[head], s.twin[head]
+    times = count[many].astype(np.uint64)
+    name[many], twin[many] = _join(name[many], times, 11), _join(twin[many], times, 13)
+    first, last = s.first[head], s.last[tail]
+    before, after = np.where(first, head, head - 1), np.where(last, tail, tail + 1)
+    left = np.where(first, low[s.start[head]], s.left[before])
+    right = np.where(last, high[s.start[head]], s.right[after])
+    context = _join(_join(s.context[before], name, 17), s.context[after], 19)
+    return Level(s.start[head], s.end[tail], name, twin, left, right, context, first, last)
+
+
+def _pairs(s: Level, low: np.ndarray, high: np.ndarray, salt: int) -> Level:
+    """A left symbol and the right symbol behind it become one; the neighbour that a symbol does not join fixes it."""
+    is_left = (mix(s.name + np.uint64(104729 * salt)) >> np.uint64(63)).astype(bool)
+    second = np.zeros(len(s.name), bool)
+    second[1:] = is_left[:-1] & ~is_left[1:] & ~s.first[1:]
+    head = np.flatnonzero(~second)
+    tail = np.append(head[1:], len(second)) - 1
+    paired = tail > head
+    name, twin = s.name[head], s.twin[head]
+    a, b = head[paired], tail[paired]
+    name[paired], twin[paired] = _join(s.name[a], s.name[b], 23), _join(s.twin[a], s.twin[b], 29)
+    first, last = s.first[head], s.last[tail]
+    back, ahead = ~paired & ~is_left[head], ~paired & is_left[head]
+    before, after = np.where(back & ~first, head - 1, head), np.where(paired | ahead & ~last, head + 1, head)
+    left = np.where(back & first, low[s.start[head]], s.left[before])
+    right = np.where(ahead & last, high[s.start[head]], s.right[after])
+    context = np.where(before == after, s.context[head], _join(s.context[before], s.context[np.minimum(after, len(second) - 1)], 31))
+    return Level(s.start[head], s.end[tail], name, twin, left, right, context, first, last)
+
+
+def parse(codes: np.ndarray, off: np.ndarray) -> list[Level]:
+    """The levels of all records; level 0 holds the symbols themselves."""
+    n, length = len(codes), np.diff(off)
+    i = np.arange(n)
+    low, high = np.repeat(off[:-1] - 1, length), np.repeat(off[1:] + 1, length)
+    first, last = np.zeros(n, bool), np.zeros(n, bool)
+    first[off[:-1][length > 0]] = True
+    last[off[1:][length > 0] - 1] = True
+    name = symbol_values(codes, 1)
+    out = [Level(i, i + 1, name, symbol_values(codes, 2), i, i + 1, name, first, last)]
+    while len(out[-1].name) > int((length > 0).sum()) and len(out) <= MOST_ROUNDS:
+        out.append(_pairs(_runs(out[-1], low, high), low, high, len(out)))
     return out
 
 
-def window_phrases(codes: np.ndarray, off: np.ndarray, min_len: int) -> np.ndarray:
-    """For each position that starts a window of min_len symbols inside its record, the window's phrase; NONE elsewhere."""
-    n = len(codes)
-    out = np.full(n, NONE)
-    if n < min_len:
-        return out
-    rounds, reach, _ = schedule(min_len)
-    reach = max(reach, 1)
-    mark = boundaries(codes, off, rounds)
-    first = np.repeat(off[:-1], np.diff(off))
+def top_round(min_len: int) -> int:
+    """Round whose symbols are expected to be fixed by half a window: it adds three symbols to the stretch and makes symbols a third longer."""
+    rounds, size, fixed = 0, 1.0, 1.0
+    while 2 * (fixed + 3 * size) <= min_len:
+        fixed += 3 * size
+        size *= 4 / 3 if rounds else 5 / 3
+        rounds += 1
+    return rounds
+
+
+def window_phrases(levels: list[Level], off: np.ndarray, min_len: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts of the windows of min_len symbols, their phrases): equal windows have equal phrases.
+
+    The phrase is the smallest context of the symbols that are fixed inside the window, in the highest round that has one; where
+    there are only plain symbols, as in a long run, it names all of them.
+    """
+    n = int(off[-1])
     last = np.repeat(off[1:], np.diff(off))
-    x = np.flatnonzero(mark & (np.arange(n) - reach >= first) & (np.arange(n) + reach <= last))
-    score = np.full(n, NONE)
-    score[x] = np.minimum(Rolling(symbol_values(codes)).at(x - reach, 2 * reach), NONE - np.uint64(1))
-    w = np.flatnonzero(np.arange(n) + min_len <= last)
-    low = sliding_min(score[reach:], min_len - 2 * reach + 1)
-    out[w] = low[w]
-    return out
+    start = np.flatnonzero(np.arange(n) + min_len <= last)
+    phrase = np.full(len(start), NONE)
+    todo = np.arange(len(start))
+    for level in levels[min(top_round(min_len), len(levels) - 1) : 0 : -1]:
+        if not len(todo):
+            break
+        w = start[todo]
+        # stretches are in order: those inside a window are the symbols a to b - 1
+        a = np.concatenate(([0], np.cumsum(np.bincount(level.left + 1, minlength=n + 2))))[w + 1]
+        b = np.concatenate(([0], np.cumsum(np.bincount(level.right, minlength=n + 2))))[w + min_len + 1]
+        has = b > a
+        a, b = a[has], b[has]
+        if len(a):
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            ends = np.stack([a[new], b[new]], 1).ravel()
+            least = np.minimum.reduceat(np.append(level.context, NONE), ends)[::2]
+            phrase[todo[has]] = np.minimum(least, NONE - np.uint64(1))[np.cumsum(new) - 1]
+        todo = todo[~has]
+    if len(todo):
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(levels[0].name)))
+        phrase[todo] = np.minimum(mix(sums[start[todo] + min_len] - sums[start[todo]]), NONE - np.uint64(1))
+    return start, phrase
+
+
+def long_symbols(levels: list[Level], least: int) -> tuple[np.ndarray, ...]:
+    """(start, end, name, twin) of the symbols of at least `least` positions, each once."""
+    parts = []
+    for k, s in enumerate(levels):
+        at = np.flatnonzero(s.end - s.start >= least)
+        if k and len(at):
+            before = levels[k - 1]
+            at = at[before.end[np.searchsorted(before.start, s.start[at])] != s.end[at]]
+        parts.append((s.start[at], s.end[at], s.name[at], s.twin[at]))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
 
 
-def _phrases(min_len: int):
+def _reveal(min_len: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             codes, off = flat(b.column(1))
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            phrase = window_phrases(codes, off, min_len)
-            w = np.flatnonzero(phrase != NONE)
-            if not len(w):
-                continue
+            levels = parse(codes, off)
+            w, phrase = window_phrases(levels, off, min_len)
             record = np.searchsorted(off, w, side="right") - 1
-            key = phrase[w]
             # neighbouring windows mostly have the same phrase
             new = np.ones(len(w), bool)
-            new[1:] = (key[1:] != key[:-1]) | (record[1:] != record[:-1])
+            new[1:] = (phrase[1:] != phrase[:-1]) | (record[1:] != record[:-1])
+            start, _, name, twin = long_symbols(levels, 2 * min_len)
+            owner = np.concatenate((record[new], np.searchsorted(off, start, side="right") - 1))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key[new].view(np.int64)), pa.array(ids[record[new]])], names=["phrase", "id"]
+                [
+                    _signed(np.concatenate((phrase[new], name))),
+                    _signed(np.concatenate((np.zeros(int(new.sum()), np.uint64), twin | np.uint64(1)))),
+                    pa.array(ids[owner]),
+                ],
+                names=["h1", "h2", "id"],
             )
 
     return run
 
 
-def _windows(min_len: int):
+def _covered(starts: np.ndarray, stops: np.ndarray, n: int) -> np.ndarray:
+    """True at the positions of [start, stop) of any span."""
+    step = np.bincount(starts, minlength=n + 1) - np.bincount(np.maximum(stops, starts), minlength=n + 1)
+    return np.cumsum(step)[:n] > 0
+
+
+def _verify(min_len: int):
+    """Of records with their shared phrases and long symbols: shared spans (h1 null), and windows that are to be compared."""
+
+    def key(record: np.ndarray, *names: np.ndarray) -> np.ndarray:
+        """(record, name) as one number; both sides of a lookup use it."""
+        out = mix(record.astype(np.uint64) + np.uint64(1))
+        for x in names:
+            out = mix(out + x)
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             codes, off = flat(b.column(1))
             ids = b.column(0).to_numpy(zero_copy_only=False)
             wanted = b.column(2)
-            flags = wanted.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            owner = np.repeat(np.arange(len(b)), np.diff(wanted.offsets.to_numpy()))
-            phrase = window_phrases(codes, off, min_len)
-            w = np.flatnonzero(phrase != NONE)
+            each = wanted.flatten()
+            h1, h2 = (each.field(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (0, 1))
+            mine = each.field(2).to_numpy(zero_copy_only=False).astype(bool)
+            have = key(np.repeat(np.arange(len(b)), np.diff(wanted.offsets.to_numpy())), h1, h2)
+            levels = parse(codes, off)
+            start, end, name, twin = long_symbols(levels, 2 * min_len)
+            owner = np.searchsorted(off, start, side="right") - 1
+            ask = key(owner, name, twin | np.uint64(1))
+            shared = np.isin(ask, have)
+            others = shared & ~np.isin(ask, have[mine])
+            # positions from which a window lies inside a shared long symbol, and inside one that another record writes
+            sure, left_out = (_covered(start[x], end[x] - min_len + 1, len(codes)) for x in (shared, others))
+            w, phrase = window_phrases(levels, off, min_len)
             record = np.searchsorted(off, w, side="right") - 1
-            # (record, phrase) is looked up as one key; both sides use the same mixing
-            have = mix(flags + mix(owner.astype(np.uint64) + np.uint64(1)))
-            ask = mix(phrase[w] + mix(record.astype(np.uint64) + np.uint64(1)))
-            hit = np.isin(ask, have)
+            hit = np.isin(key(record, phrase, np.zeros(len(w), np.uint64)), have) & ~left_out[w]
             w, record = w[hit], record[hit]
-            if not len(w):
-                continue
-            h1 = Rolling(symbol_values(codes, 2), 2).at(w, min_len)
-            h2 = Rolling(symbol_values(codes, 3), 3).at(w, min_len)
+            start, size, owner = start[shared], (end - start)[shared], owner[shared]
+            none = pa.nulls(len(start), pa.int64())
+            names = [_signed(doubled_names(symbol_values(codes, seed), min_len)[w]) if len(w) else pa.array([], pa.int64()) for seed in (2, 3)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(h1.view(np.int64)),
-                    pa.array(h2.view(np.int64)),
-                    pa.array(ids[record]),
-                    pa.array((w - off[record]).astype(np.int32)),
+                    pa.concat_arrays([names[0], none]),
+                    pa.concat_arrays([names[1], none]),
+                    pa.array(np.concatenate((ids[record], ids[owner]))),
+                    pa.array(np.concatenate((w - off[record], start - off[owner])).astype(np.int32)),
+                    pa.array(np.concatenate((np.full(len(w), min_len), size)).astype(np.int32)),
+                    pa.array(np.concatenate((sure[w], np.ones(len(start), bool)))),
                 ],
-                names=["h1", "h2", "id", "at"],
+                names=["h1", "h2", "id", "at", "size", "sure"],
             )
 
     return run
 
 
-def _in_two_records(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of df whose keys stand with two different ids."""
-    several = (
-        df.groupBy(*keys).agg(F.min("id").alias("_lo"), F.max("id").alias("_hi")).filter("_lo < _hi").select(*keys)
-    )
-    return df.join(several.hint("merge"), keys, "left_semi")
-
-
 def shared_spans(df: DataFrame, id_col: str, text_col: str, min_len: int = 40) -> DataFrame:
     """(id, shared): for each record with a stretch of at least min_len symbols that also stands in
     another record's text, the number of its positions inside such stretches.
@@ -170,13 +259,33 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, min_len: int = 40) -
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(
         F.col("id").isNotNull() & (F.length("text") >= min_len)
     )
-    phrases = src.mapInArrow(_phrases(min_len), "phrase long, id long")
-    flagged = _in_two_records(phrases, ["phrase"]).groupBy("id").agg(F.collect_set("phrase").alias("wanted"))
-    windows = src.join(flagged.hint("merge"), "id").mapInArrow(
-        _windows(min_len), "h1 long, h2 long, id long, at int"
+    names = src.mapInArrow(_reveal(min_len), "h1 long, h2 long, id long")
+    several = names.groupBy("h1", "h2").agg(F.min("id").alias("lo"), F.max("id").alias("_hi")).filter("lo < _hi").drop("_hi")
+    wanted = (
+        names.join(several.hint("merge"), ["h1", "h2"])
+        .groupBy("id")
+        .agg(F.collect_set(F.struct("h1", "h2", (F.col("id") == F.col("lo")).alias("mine"))).alias("wanted"))
+    )
+    spans = src.join(wanted.hint("merge"), "id").mapInArrow(
+        _verify(min_len), "h1 long, h2 long, id long, at int, size int, sure boolean"
+    )
+    windows = spans.filter("h1 is not null")
+    # a window inside a shared long symbol is shared, whoever else has it
+    shared = (
+        windows.groupBy("h1", "h2")
+        .agg(F.min("id").alias("_lo"), F.max("id").alias("_hi"), F.bool_or("sure").alias("_sure"))
+        .filter("_sure or _lo < _hi")
+        .select("h1", "h2")
+    )
+    found = (
+        windows.filter("not sure").join(shared.hint("merge"), ["h1", "h2"], "left_semi").select("id", "at", "size")
+        .unionByName(spans.filter("h1 is null").select("id", "at", "size"))
+    )
+    each = found.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("at", "size"))).alias("s"))
+    # spans in order: each adds what reaches beyond those before it
+    start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
+    add = lambda t, x: F.struct(
+        F.greatest(t["end"], x["at"] + x["size"]).alias("end"),
+        (t["n"] + F.greatest(x["at"] + x["size"] - F.greatest(x["at"], t["end"]), F.lit(0))).alias("n"),
     )
-    starts = _in_two_records(windows, ["h1", "h2"]).groupBy("id").agg(F.array_sort(F.collect_set("at")).alias("s"))
-    # each start covers min_len positions, less where the next one begins earlier
-    gaps = F.expr(f"zip_with(slice(s, 2, size(s)), slice(s, 1, size(s) - 1), (b, a) -> least(b - a, {min_len}))")
-    covered = F.aggregate(gaps, F.lit(min_len).cast("long"), lambda t, g: t + g)
-    return starts.select("id", covered.alias("shared"))
+    return each.select("id", F.aggregate("s", start, add, lambda t: t["n"]).alias("shared"))

@@ -40,26 +40,50 @@ def brute_spans(texts, k):
     return out
 
 
+SPANS = [dna(200), "A" * 300, "AC" * 150, "ACG" * 90, "ACGTT" * 50, dna(30) + "T" * 90 + dna(40), "", dna(500), "N" * 9 + "é" * 80]
+
+
 @pytest.mark.parametrize("k", [3, 16, 40, 70])
-def test_every_window_has_a_phrase(k):
-    texts = [dna(200), "A" * 300, "AC" * 150, "ACG" * 90, "ACGTT" * 50, dna(30) + "T" * 90 + dna(40), "", dna(k), "N" * 9 + "é" * 80]
+def test_equal_windows_have_equal_phrases(k):
+    texts = [*SPANS, dna(k), dna(7) + SPANS[0][20:], SPANS[4][3:] + dna(9), "A" * 90]
     codes, off = flat(pa.array(texts))
-    phrase = long_repeats.window_phrases(codes, off, k)
-    for r, x in enumerate(texts):
-        for w in range(len(x) - k + 1):
-            assert phrase[off[r] + w] != NONE
-    # equal windows have equal phrases wherever they stand
-    seen = {}
-    for r, x in enumerate(texts):
-        for w in range(len(x) - k + 1):
-            assert seen.setdefault(x[w : w + k], phrase[off[r] + w]) == phrase[off[r] + w]
+    start, phrase = long_repeats.window_phrases(long_repeats.parse(codes, off), off, k)
+    assert start.tolist() == [int(off[r]) + w for r, x in enumerate(texts) for w in range(len(x) - k + 1)] and (phrase != NONE).all()
+    seen, whole = {}, "".join(texts)
+    for w, p in zip(start.tolist(), phrase.tolist()):
+        assert seen.setdefault(whole[w : w + k], p) == p
+
+
+def test_symbols_are_fixed_by_their_stretches():
+    texts = [*SPANS, dna(11) + SPANS[0][5:150] + dna(20), SPANS[2][5:] + "G"]
+    codes, off = flat(pa.array(texts))
+    whole, owner = "".join(texts), np.repeat(np.arange(len(texts)), np.diff(off))
+    for k, s in enumerate(long_repeats.parse(codes, off)):
+        if k:
+            assert (s.left[1:] >= s.left[:-1]).all() and (s.right[1:] >= s.right[:-1]).all()
+        assert s.start[0] == 0 and s.end[-1] == len(whole) and (s.start[1:] == s.end[:-1]).all()
+        text, symbol = {}, {}
+        for a, b, lo, hi, name in zip(s.start.tolist(), s.end.tolist(), s.left.tolist(), s.right.tolist(), s.name.tolist()):
+            assert text.setdefault(name, whole[a:b]) == whole[a:b]
+            r = owner[a]
+            if off[r] <= lo and hi <= off[r + 1]:
+                assert symbol.setdefault((whole[lo:hi], a - lo), (name, b - a)) == (name, b - a)
+
+
+def test_symbols_grow():
+    codes, off = flat(pa.array([dna(100) for _ in range(50)]))
+    levels = long_repeats.parse(codes, off)
+    assert len(levels[-1].name) == 50 and len(levels[3].name) < 0.5 * len(codes)
+    assert len(long_repeats.long_symbols(levels, 80)[0]) >= 50
 
 
 @pytest.mark.parametrize("k", [12, 40])
 def test_shared_spans(spark, k):
-    core, hot = dna(60), dna(45)
+    core, hot, copied = dna(60), dna(45), dna(300)
     texts = {0: dna(80) + core, 1: core + dna(30), 2: "A" * 100, 3: "A" * 77 + "C", 4: dna(200), 5: "", 6: dna(k - 1), 7: "ACG" * 40, 8: "GAC" * 30}
     texts |= {100 + i: dna(i % 7) + hot + dna(5) for i in range(60)}
+    # copies of long texts: only one of them writes its windows, parts of it stand elsewhere and twice in one record
+    texts |= {200 + i: copied for i in range(9)} | {199: copied[50:180], 300: copied[40:200], 301: copied + dna(9) + copied[60:150], 302: dna(50) + copied}
     rows = [(i, x, "y") for i, x in texts.items()] + [(0, texts[0], "z"), (None, texts[0], "z"), (50, None, "z")]
     df = frame(spark, rows, "id long, shared string, phrase string")
     got = {r.id: r.shared for r in long_repeats.shared_spans(df, "id", "shared", k).collect()}
@@ -67,6 +91,23 @@ def test_shared_spans(spark, k):
     assert long_repeats.shared_spans(df.limit(0), "id", "shared", k).count() == 0
 
 
+def test_span_that_stands_once_more_in_the_record_that_writes_it(spark):
+    copied = dna(200)
+    texts = {1: copied + dna(30) + copied[10:80], 2: copied, 3: dna(5) + copied[10:80]}
+    df = frame(spark, list(texts.items()), "id long, t string")
+    assert {r.id: r.shared for r in long_repeats.shared_spans(df, "id", "t", 40).collect()} == brute_spans(texts, 40)
+
+
+def test_no_wrong_agreement_of_names(spark):
+    # a sequence and its complement on which polynomial hashes modulo 2**64 agree
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    head, tail = dna(6000), dna(6000)
+    texts = [(k, head + "".join("AC"[b ^ k] for b in bits) + tail) for k in (0, 1)]
+    df = frame(spark, texts, "id long, t string")
+    assert long_repeats.shared_spans(df, "id", "t", len(texts[0][1])).count() == 0
+    assert {r.shared for r in long_repeats.shared_spans(df, "id", "t", 6000).collect()} == {12000}
+
+
 # --- 5: splitting ------------------------------------------------------------------------------
 
 

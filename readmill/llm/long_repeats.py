@@ -32,6 +32,8 @@ from readmill.functions.flat import NONE, doubled_names, flat, mix, symbol_value
 
 #: Rounds after which a record that is not yet one symbol is left as it is.
 MOST_ROUNDS = 60
+#: Symbols that are parsed together, few enough for a processor's cache.
+TOGETHER = 150_000
 
 
 class Level(NamedTuple):
@@ -48,12 +50,15 @@ class Level(NamedTuple):
     last: np.ndarray
 
 
+NOT_TOLD = np.zeros(0, np.int64)
+
+
 def _join(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
     return mix(a * np.uint64(3) + mix(b + np.uint64(salt)))
 
 
-def _runs(s: Level, low: np.ndarray, high: np.ndarray) -> Level:
-    """Maximal runs of equal symbols become one; both neighbours fix where a run ends."""
+def _runs(s: Level, low: np.ndarray, high: np.ndarray, fixed: bool) -> Level:
+    """Maximal runs of equal symbols become one; both neighbours fix where a run ends (told if `fixed`)."""
     same = np.zeros(len(s.name), bool)
     same[1:] = (s.name[1:] == s.name[:-1]) & (s.twin[1:] == s.twin[:-1]) & ~s.first[1:]
     head = np.flatnonzero(~same)
@@ -64,6 +69,8 @@ def _runs(s: Level, low: np.ndarray, high: np.ndarray) -> Level:
     times = count[many].astype(np.uint64)
     name[many], twin[many] = _join(name[many], times, 11), _join(twin[many], times, 13)
     first, last = s.first[head], s.last[tail]
+    if not fixed:
+        return Level(s.start[head], s.end[tail], name, twin, NOT_TOLD, NOT_TOLD, NOT_TOLD, first, last)
     before, after = np.where(first, head, head - 1), np.where(last, tail, tail + 1)
     left = np.where(first, low[s.start[head]], s.left[before])
     right = np.where(last, high[s.start[head]], s.right[after])
@@ -71,7 +78,7 @@ def _runs(s: Level, low: np.ndarray, high: np.ndarray) -> Level:
     return Level(s.start[head], s.end[tail], name, twin, left, right, context, first, last)
 
 
-def _pairs(s: Level, low: np.ndarray, high: np.ndarray, salt: int) -> Level:
+def _pairs(s: Level, low: np.ndarray, high: np.ndarray, salt: int, fixed: bool) -> Level:
     """A left symbol and the right symbol behind it become one; the neighbour that a symbol does not join fixes it."""
     is_left = (mix(s.name + np.uint64(104729 * salt)) >> np.uint64(63)).astype(bool)
     second = np.zeros(len(s.name), bool)
@@ -83,6 +90,8 @@ def _pairs(s: Level, low: np.ndarray, high: np.ndarray, salt: int) -> Level:
     a, b = head[paired], tail[paired]
     name[paired], twin[paired] = _join(s.name[a], s.name[b], 23), _join(s.twin[a], s.twin[b], 29)
     first, last = s.first[head], s.last[tail]
+    if not fixed:
+        return Level(s.start[head], s.end[tail], name, twin, NOT_TOLD, NOT_TOLD, NOT_TOLD, first, last)
     back, ahead = ~paired & ~is_left[head], ~paired & is_left[head]
     before, after = np.where(back & ~first, head - 1, head), np.where(paired | ahead & ~last, head + 1, head)
     left = np.where(back & first, low[s.start[head]], s.left[before])
@@ -91,8 +100,8 @@ def _pairs(s: Level, low: np.ndarray, high: np.ndarray, salt: int) -> Level:
     return Level(s.start[head], s.end[tail], name, twin, left, right, context, first, last)
 
 
-def parse(codes: np.ndarray, off: np.ndarray) -> list[Level]:
-    """The levels of all records; level 0 holds the symbols themselves."""
+def parse(codes: np.ndarray, off: np.ndarray, top: int = MOST_ROUNDS) -> list[Level]:
+    """The levels of all records; level 0 holds the symbols themselves.  What fixes a symbol is told up to round `top`."""
     n, length = len(codes), np.diff(off)
     i = np.arange(n)
     low, high = np.repeat(off[:-1] - 1, length), np.repeat(off[1:] + 1, length)
@@ -102,7 +111,8 @@ def parse(codes: np.ndarray, off: np.ndarray) -> list[Level]:
     name = symbol_values(codes, 1)
     out = [Level(i, i + 1, name, symbol_values(codes, 2), i, i + 1, name, first, last)]
     while len(out[-1].name) > int((length > 0).sum()) and len(out) <= MOST_ROUNDS:
-        out.append(_pairs(_runs(out[-1], low, high), low, high, len(out)))
+        fixed = len(out) <= top
+        out.append(_pairs(_runs(out[-1], low, high, fixed), low, high, len(out), fixed))
     return out
 
 
@@ -161,16 +171,27 @@ def long_symbols(levels: list[Level], least: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of batches with the code points and offsets of their texts (second column)."""
+    for b in batches:
+        _, off = flat(b.column(1))
+        a = 0
+        while a < len(b):
+            z = max(a + 1, int(np.searchsorted(off, off[a] + TOGETHER, side="right")) - 1)
+            part = b.slice(a, z - a)
+            yield part, *flat(part.column(1))
+            a = z
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
 def _reveal(min_len: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            codes, off = flat(b.column(1))
+        for b, codes, off in _cut(batches):
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            levels = parse(codes, off)
+            levels = parse(codes, off, top_round(min_len))
             w, phrase = window_phrases(levels, off, min_len)
             record = np.searchsorted(off, w, side="right") - 1
             # neighbouring windows mostly have the same phrase
@@ -207,15 +228,14 @@ def _verify(min_len: int):
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            codes, off = flat(b.column(1))
+        for b, codes, off in _cut(batches):
             ids = b.column(0).to_numpy(zero_copy_only=False)
             wanted = b.column(2)
             each = wanted.flatten()
             h1, h2 = (each.field(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (0, 1))
             mine = each.field(2).to_numpy(zero_copy_only=False).astype(bool)
             have = key(np.repeat(np.arange(len(b)), np.diff(wanted.offsets.to_numpy())), h1, h2)
-            levels = parse(codes, off)
+            levels = parse(codes, off, top_round(min_len))
             start, end, name, twin = long_symbols(levels, 2 * min_len)
             owner = np.searchsorted(off, start, side="right") - 1
             ask = key(owner, name, twin | np.uint64(1))

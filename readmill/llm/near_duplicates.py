@@ -1,19 +1,19 @@
 """Near-duplicate records with small edits: many universal hash minima, banding, verification.
 
 1. Exact copies are put into classes by a 128-bit digest; only one representative goes on.
-2. A record's signature holds, for each of `hashes` universal hash functions, the minimum over its
-   q-grams.  Every minimum is a band of one row: with edits spread over a short record few q-grams
-   survive, so wider bands would lose links.
-3. Representatives that share a band become a candidate pair: one equal minimum suffices, and the
-   edit distance alone verifies.
-4. Candidates are verified by the edit distance with a bound, inside generated JVM code.
-5. Links of a link: two records linked to the same third one are verified too, which finds pairs whose
-   own signatures happened to differ everywhere.
+2. A record's signature holds, for each of `hashes` universal hash functions, the minimum over its q-grams with the
+   place where it stands.  Every minimum is a band of one row: with edits spread over a short record few q-grams
+   survive, so wider bands would lose links.  The shorter a record, the shorter its q-grams (`GRAMS`), so that a pair
+   at the limit still shares some; a record a little above a step gives the minima of both lengths.
+3. Representatives that share a band become a candidate pair, unless the places of the minimum or the lengths differ by
+   more than the edits that are allowed: then the q-gram is not one that the edits left in place.
+4. Candidates of over-full buckets must pass a signature of short q-grams, whose bound refuses no near pair.
+5. Candidates are verified by the edit distance with a bound, inside generated JVM code.
 
 A q-gram that many records hold, such as an adapter, the core of a large family of edited copies or a low-complexity stretch,
-makes over-full buckets.  Those are not thinned: the members of a bucket of more than `HOT` records are dealt into blocks of `SIDE`, every
-pair of blocks is worked off in a task of its own, and of its pairs only those are left out that a lower bound of
-the edit distance refuses.
+makes over-full buckets.  Those are not thinned: buckets arrive sorted by place and are read as a stream, a bucket of more
+than HOT records is dealt into blocks of SIDE, and every two blocks whose places come near enough are worked off in a task
+of their own.
 """
 
 from __future__ import annotations
@@ -29,194 +29,256 @@ from readmill.functions.flat import NONE, Rolling, flat, mix, symbol_values
 from readmill.llm.components import connected_components
 from readmill.plans.runtime import cut_lineage, digest, written
 
+#: (least length, q) of records; the steps lie between the usual lengths of reads.
+GRAMS = ((10, 5), (16, 7), (24, 9), (32, 10), (43, 11), (54, 12), (82, 13))
 #: Records of a bucket beyond which its pairs are made in blocks; it decides where pairs are made, never which.
 HOT = 40
-#: Bits of a bucket key.
-KEY_BITS = 44
 #: Records of a block that an over-full bucket is dealt into.
-SIDE = 512
-#: Short q-grams, and bits of a record's profile of them, for the lower bound of the edit distance.
-SHORT = 5
-BITS = 4**SHORT
+SIDE = 2048
+#: Bits of a bucket's key; the place of the minimum and the length of the record follow it, each up to TOP.
+KEY_BITS, FIELD_BITS = 44, 10
+TOP = (1 << FIELD_BITS) - 1
+#: Lengths of the short q-grams for the lower bounds of the edit distance: a quick one first.
+SHORT = (4, 5)
 #: Pairs that a task makes at a time.
 BLOCK = 1 << 20
 
 
 def record_grams(codes: np.ndarray, off: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
-    """(a q-gram's hash per position, whether one begins there); a shorter record counts as one q-gram."""
+    """(a q-gram's hash per position, whether one begins there)."""
     n, length = len(codes), np.diff(off)
     gram = np.zeros(n, np.uint64)
-    inside = np.zeros(n, bool)
-    if not n:
-        return gram, inside
-    values = symbol_values(codes)
     if n >= q:
-        gram[: n - q + 1] = Rolling(values).of(q)
-    i = np.arange(n)
-    inside = i + q <= np.repeat(off[1:], length)
-    few = (length > 0) & (length < q)
-    if few.any():
-        place = (i - np.repeat(off[:-1], length) + 1).astype(np.uint64)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(values) * place)))
-        start = off[:-1][few]
-        inside[start] = True
-        gram[start] = mix(sums[off[1:][few]] - sums[start])
-    return gram, inside
+        gram[: n - q + 1] = Rolling(symbol_values(codes)).of(q)
+    return gram, np.arange(n) + q <= np.repeat(off[1:], length)
 
 
 def signatures(codes: np.ndarray, off: np.ndarray, q: int, hashes: int) -> np.ndarray:
-    """(hashes x records) minima."""
-    length = np.diff(off)
-    out = np.zeros((hashes, len(length)), np.uint64)
-    full = np.flatnonzero(length > 0)
-    if not len(full):
+    """(hashes x records) minima over the q-grams, with the place of the minimum in the low bits; all records must have a q-gram."""
+    out = np.zeros((hashes, len(off) - 1), np.uint64)
+    if not len(codes):
         return out
     gram, inside = record_grams(codes, off, q)
-    head = off[:-1][full]
-    late = np.zeros(len(gram), np.uint64)
-    late[~inside] = NONE
+    place = np.minimum(np.arange(len(codes)) - np.repeat(off[:-1], np.diff(off)), TOP).astype(np.uint64)
+    late = np.where(inside, place, NONE)
     rng = np.random.default_rng(20240229)
     high = gram >> np.uint64(32)
     for j in range(hashes):
         a, b = (int(x) | 1 for x in rng.integers(1, 1 << 62, 2))
         h = high * np.uint64(a) + np.uint64(b)
-        h >>= np.uint64(1)
+        h >>= np.uint64(FIELD_BITS)
+        h <<= np.uint64(FIELD_BITS)
         h |= late
-        out[j, full] = np.minimum.reduceat(h, head)
+        out[j] = np.minimum.reduceat(h, off[:-1])
     return out
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    """One key per minimum, different between bands."""
-    band = (np.arange(len(sig), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
-    return mix(sig + band) >> np.uint64(64 - KEY_BITS)
+def gram_classes(length: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(q, records with q-grams of that length): two records within the limit always have a class together."""
+    for k, (least, q) in enumerate(GRAMS):
+        in_class = length >= least
+        if k + 1 < len(GRAMS):
+            # the longer one of a near pair may be beyond the step, as far as the shorter one allows
+            in_class &= length * (100 - percent) < GRAMS[k + 1][0] * 100
+        yield q, np.flatnonzero(in_class)
 
 
-def _buckets(q: int, hashes: int):
+def bucket_keys(col: pa.Array, percent: int, hashes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(records, hashes x records of key, place and length) for every length of q-grams; keys differ between bands."""
+    length = np.diff(flat(col)[1])
+    for q, at in gram_classes(length, percent):
+        if not len(at):
+            continue
+        sig = signatures(*flat(col.take(pa.array(at))), q, hashes)
+        band = ((np.arange(hashes, dtype=np.uint64) + np.uint64(1000 * q)) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+        key = mix((sig >> np.uint64(FIELD_BITS)) + band) >> np.uint64(64 - KEY_BITS)
+        low = (sig & np.uint64(TOP)) << np.uint64(FIELD_BITS) | np.minimum(length[at], TOP).astype(np.uint64)
+        yield at, key << np.uint64(2 * FIELD_BITS) | low
+
+
+def _buckets(percent: int, hashes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            keys = band_keys(signatures(*flat(b.column(1)), q, hashes))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.ravel().astype(np.int64)), pa.array(np.tile(ids, hashes))], names=["key", "id"]
-            )
+            for at, keys in bucket_keys(b.column(1), percent, hashes):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(ids[at], hashes))], names=["key", "id"]
+                )
 
     return run
 
 
-MADE = ["a", "b", "block", "blocks"]
+def _reach(packed: np.ndarray, percent: int) -> np.ndarray:
+    """How far behind its own the place of a near record's minimum may lie; everything for a length or place that is cut off."""
+    length, place = packed & np.uint64(TOP), packed >> np.uint64(FIELD_BITS) & np.uint64(TOP)
+    far = length * np.uint64(percent) // np.uint64(100 - percent)
+    return np.where((length * np.uint64(100) >= TOP * (100 - percent)) | (place + far >= TOP), np.uint64(TOP), place + far)
 
 
-def _pairs(hot: int, side: int):
-    """Of one partition, which holds whole buckets: the pairs (a, b), and the members (a) of every over-full bucket (b) with their blocks."""
+def _near_enough(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Places and lengths differ by no more than the edits that are allowed."""
+    lx, ly = (v & np.uint64(TOP) for v in (x, y))
+    px, py = ((v >> np.uint64(FIELD_BITS) & np.uint64(TOP)).astype(np.int64) for v in (x, y))
+    most = (np.maximum(lx, ly) * np.uint64(percent) // np.uint64(100)).astype(np.int64)
+    open_ = (np.maximum(lx, ly) == TOP) & (np.minimum(lx, ly) * np.uint64(100) >= TOP * (100 - percent))
+    return open_ | (np.abs(px - py) <= most) & (np.abs(lx.astype(np.int64) - ly.astype(np.int64)) <= most)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids = [], []
-        for b in batches:
-            keys.append(b.column(0).to_numpy(zero_copy_only=False))
-            ids.append(b.column(1).to_numpy(zero_copy_only=False))
-        if not keys:
-            return
-        key, rid = np.concatenate(keys), np.concatenate(ids)
-        del keys, ids
-        order = np.argsort(key, kind="stable")
-        key, rid = key[order], rid[order]
+
+MADE = ["a", "b", "block", "lo", "hi"]
+MADE_SCHEMA = "a long, b long, block int, lo int, hi int"
+
+
+def _made(a, b, block=None, lo=None, hi=None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.nulls(len(b), pa.int64()) if a is None else pa.array(a), pa.array(b),
+            *(pa.nulls(len(b), pa.int32()) if x is None else pa.array(np.full(len(b), x, np.int32)) for x in (block, lo, hi)),
+        ],
+        names=MADE,
+    )
+
+
+def _pairs(percent: int, hot: int, side: int):
+    """Of sorted buckets: pairs (a, b); and of over-full ones members (a = id, b = key, block) and blocks (b = key, block, lo, hi)."""
+    shift = np.uint64(2 * FIELD_BITS)
+
+    def block_of(packed: np.ndarray, ids: np.ndarray, number: int) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(ids), side):
+            part = packed[a : a + side]
+            key = np.full(len(part), part[0] >> shift, np.uint64).astype(np.int64)
+            yield _made(ids[a : a + side], key, number)
+            lo = int(part[0] >> np.uint64(FIELD_BITS) & np.uint64(TOP))
+            yield _made(None, key[:1], number, lo, int(_reach(part, percent).max()))
+            number += 1
+
+    def small(packed: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Pairs of whole buckets."""
+        key = packed >> shift
         head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(head, append=len(key))
         for h, n in zip(head[size > hot].tolist(), size[size > hot].tolist()):
-            block = (np.arange(n) // side).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rid[h : h + n]), pa.array(key[h : h + n]), pa.array(block), pa.array(np.full(n, block[-1] + 1, np.int32))],
-                names=MADE,
-            )
-        several = (size > 1) & (size <= hot)
-        head, size = head[several], size[several]
-        if not len(head):
-            return
-        member = np.repeat(head, size)
-        at = member + (np.arange(len(member)) - np.repeat(np.cumsum(size) - size, size))
-        later = np.repeat(head + size, size) - at - 1  # members of the bucket behind this one
+            yield from block_of(packed[h : h + n], ids[h : h + n], 0)
+        member = np.repeat((size > 1) & (size <= hot), size)
+        at = np.flatnonzero(member)
+        end = np.searchsorted(packed, key[at] << shift | _reach(packed[at], percent) << np.uint64(FIELD_BITS) | np.uint64(TOP), side="right")
+        later = end - at - 1
         at, later = at[later > 0], later[later > 0]
-        done = 0
-        ends = np.cumsum(later)
+        ends, done = np.cumsum(later), 0
         while done < len(at):
             base = ends[done - 1] if done else 0
             to = max(done + 1, int(np.searchsorted(ends, base + BLOCK, side="right")))
             c = later[done:to]
             left = np.repeat(at[done:to], c)
             right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(c) - c, c)
-            a, b = rid[left], rid[right]
-            none = pa.nulls(len(a), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none, none], names=MADE)
+            near = _near_enough(packed[left], packed[right], percent)
+            a, b = ids[left[near]], ids[right[near]]
+            yield _made(np.minimum(a, b), np.maximum(a, b))
             done = to
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed, ids, number = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        for b in batches:
+            packed = np.concatenate((packed, b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))
+            ids = np.concatenate((ids, b.column(1).to_numpy(zero_copy_only=False)))
+            cut = int(np.searchsorted(packed, packed[-1] >> shift << shift)) if len(packed) else 0  # the last bucket may go on
+            if cut:
+                first = 0
+                if number:  # the end of a bucket whose first blocks are out
+                    first = int(np.searchsorted(packed, packed[0] | np.uint64((1 << 2 * FIELD_BITS) - 1), side="right"))
+                    yield from block_of(packed[:first], ids[:first], number)
+                    number = 0
+                if cut > first:
+                    yield from small(packed[first:cut], ids[first:cut])
+                packed, ids = packed[cut:], ids[cut:]
+            while len(packed) > side:
+                yield from block_of(packed[:side], ids[:side], number)
+                packed, ids, number = packed[side:], ids[side:], number + 1
+        if len(packed) and number:
+            yield from block_of(packed, ids, number)
+        elif len(packed):
+            yield from small(packed, ids)
+
     return run
 
 
-def profiles(codes: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """(BITS / 64 x records) words: which short q-grams a record holds.  An edit changes 2 * SHORT bits at most."""
-    out = np.zeros((len(off) - 1, BITS), bool)
-    if len(codes) >= SHORT:
+def profiles(codes: np.ndarray, off: np.ndarray, short: int) -> np.ndarray:
+    """(words x records): which short q-grams a record holds.  An edit changes 2 * short bits at most."""
+    out = np.zeros((len(off) - 1, 4**short), bool)
+    if len(codes) >= short:
         # two bits a symbol, which tell the four bases apart; other symbols that fall together only loosen the bound
         two = (codes >> 1 & 3).astype(np.int64)
-        at = np.zeros(len(codes) - SHORT + 1, np.int64)
-        for k in range(SHORT):
+        at = np.zeros(len(codes) - short + 1, np.int64)
+        for k in range(short):
             at = at * 4 + two[k : k + len(at)]
         owner = np.repeat(np.arange(len(off) - 1), np.diff(off))[: len(at)]
-        inside = np.arange(len(at)) + SHORT <= off[1:][owner]
+        inside = np.arange(len(at)) + short <= off[1:][owner]
         out[owner[inside], at[inside]] = True
     return np.ascontiguousarray(np.packbits(out, axis=1).view(np.uint64).T)
 
 
-def _cell(percent: int, q: int, hashes: int, once: bool):
-    """Pairs of two blocks of an over-full bucket, or of one block, that the lower bound lets through.
+def _cell(percent: int, hashes: int):
+    """Pairs of two blocks of an over-full bucket, or of one block, that the lower bounds let through.
 
-    `once`: a pair that shares several buckets comes from the one with the smallest key only.
+    A pair that shares several buckets comes from the one with the smallest key only.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        ids = table["id"].to_numpy()
-        block = table["block"].to_numpy()
+        ids, block, text = table["id"].to_numpy(), table["block"].to_numpy(), table["text"].combine_chunks()
         key = np.uint64(table["key"][0].as_py())
-        codes, off = flat(table["text"])
+        codes, off = flat(text)
         length = np.diff(off)
-        held = profiles(codes, off)
-        x = np.flatnonzero(block == block.min())
-        y = np.flatnonzero(block == block.max())
-        differ = np.zeros((len(x), len(y)), np.uint16)
-        for word in held:
-            differ += np.bitwise_count(word[x][:, None] ^ word[y][None, :])
-        most = np.maximum(length[x][:, None], length[y][None, :]) * percent // 100
-        near = (differ <= 2 * SHORT * most) & (np.abs(length[x][:, None] - length[y][None, :]) <= most)
-        near &= table["one"][0].as_py() is False or ids[x][:, None] < ids[y][None, :]
-        left, right = np.nonzero(near)
-        left, right = x[left], y[right]
-        if once and len(left):
-            used, place = np.unique(np.concatenate((left, right)), return_inverse=True)
-            keys = band_keys(signatures(*flat(table["text"].take(pa.array(used))), q, hashes))
-            i, j = place[: len(left)], place[len(left) :]
-            before = np.zeros(len(left), bool)
-            for band in keys:
-                before |= (band[i] == band[j]) & (band[i] < key)
-            left, right = left[~before], right[~before]
-        a, b = ids[left], ids[right]
+        x, y = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+        alone = block.min() == block.max()
+        quick, full = (profiles(codes, off, s) for s in SHORT)
+        left, right = [], []
+        for a in range(0, len(x), 256):
+            rows = x[a : a + 256]
+            differ = np.zeros((len(rows), len(y)), np.uint16)
+            for word in quick:
+                differ += np.bitwise_count(word[rows][:, None] ^ word[y][None, :])
+            most = np.maximum(length[rows][:, None], length[y][None, :]) * percent // 100
+            near = (differ <= 2 * SHORT[0] * most) & (np.abs(length[rows][:, None] - length[y][None, :]) <= most)
+            i, j = np.nonzero(near)
+            i, j = rows[i], y[j]
+            near = np.bitwise_count(full[:, i] ^ full[:, j]).sum(0) <= 2 * SHORT[1] * (np.maximum(length[i], length[j]) * percent // 100)
+            if alone:
+                near &= ids[i] < ids[j]
+            left.append(i[near])
+            right.append(j[near])
+        i, j = np.concatenate(left), np.concatenate(right)
+        if len(i):
+            used, place = np.unique(np.concatenate((i, j)), return_inverse=True)
+            i, j = place[: len(i)], place[len(i) :]
+            before = np.zeros(len(i), bool)
+            for at, keys in bucket_keys(text.take(pa.array(used)), percent, hashes):
+                where = np.full(len(used), -1)
+                where[at] = np.arange(len(at))
+                both = np.flatnonzero((where[i] >= 0) & (where[j] >= 0))
+                for packed in keys:
+                    u, v = packed[where[i[both]]], packed[where[j[both]]]
+                    same = (u ^ v) >> np.uint64(2 * FIELD_BITS) == 0
+                    before[both] |= same & (u >> np.uint64(2 * FIELD_BITS) < key) & _near_enough(u, v, percent)
+            i, j = used[i[~before]], used[j[~before]]
+        a, b = ids[i], ids[j]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return run
 
 
-def _block_pairs(members: DataFrame, reps: DataFrame, percent: int, q: int, hashes: int, once: bool) -> DataFrame:
-    """Candidates of the over-full buckets: every two blocks of a bucket meet in one group of 2 * SIDE records at most."""
+def _block_pairs(made: DataFrame, reps: DataFrame, percent: int, hashes: int) -> DataFrame:
+    """Candidates of the over-full buckets: blocks of a bucket whose places come near enough meet in one group of 2 * SIDE records at most."""
+    members = made.filter("a is not null and block is not null").select(F.col("a").alias("id"), F.col("b").alias("key"), "block")
+    blocks = made.filter("a is null").select(F.col("b").alias("key"), "block", "lo", "hi")
+    other = blocks.select("key", F.col("block").alias("later"), F.col("lo").alias("lo_later"))
+    cells = blocks.join(other.hint("merge"), "key").filter("block <= later and lo_later <= hi").select("key", F.col("block").alias("x"), F.col("later").alias("y"))
+    sides = cells.select("key", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
     return (
-        members.join(reps.hint("merge"), "id")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
-            "block", (F.col("block") == F.col("other")).alias("one"), "id", "text",
-        )
-        .groupBy("key", "lo", "hi")
-        .applyInArrow(_cell(percent, q, hashes, once), "a long, b long")
-    )
+        members.join(sides.hint("merge"), ["key", "block"])
+        .join(reps.hint("merge"), "id")
+        .select("key", "x", "y", "block", "id", "text")
+        .groupBy("key", "x", "y")
+        .applyInArrow(_cell(percent, hashes), "a long, b long")
+    )
 
 
 def within(a: Column, b: Column, percent: int) -> Column:
@@ -256,64 +318,49 @@ def classes(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataF
     return reps.select("id", "text"), members
 
 
-def near_links(
-    df: DataFrame, id_col: str, text_col: str, percent: int = 10, q: int = 16, hashes: int = 24, min_equal: int = 1
-) -> tuple[DataFrame, DataFrame]:
+def near_links(df: DataFrame, id_col: str, text_col: str, percent: int = 10, hashes: int = 24) -> tuple[DataFrame, DataFrame]:
     """(links between representatives a < b of different texts, members (id, rep) of classes of equal texts).
 
     Two texts are linked if their edit distance is at most `percent` of the longer one's length, found with
     the recall of the hash minima (measured in the README), and never wrongly.  Rows with a null id or text
     take no part; rows that repeat an id and text count once.  Empty texts form a class of their own and
-    have no link to others.  Texts shorter than 100 / percent symbols can only have equal partners.
+    have no link to others.  Texts shorter than 100 / percent symbols can only have equal partners; the lengths of the
+    q-grams (GRAMS) are chosen for a limit of 10 %, for texts from 10 symbols on.
     """
+    spark = df.sparkSession
     n = df.count()
     reps, members = classes(df, id_col, text_col)
     reps = written(reps)
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * hashes // 2_000_000))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * hashes // 2_000_000))
     long_enough = reps.filter(F.length("text") * percent >= 100)
+    buckets = long_enough.mapInArrow(_buckets(percent, hashes), "key long, id long")
+    # a bucket is in one partition, which is read as a sorted stream
+    whole = F.shiftrightunsigned("key", 2 * FIELD_BITS)
     made = written(
-        long_enough.mapInArrow(_buckets(q, hashes), "key long, id long")
-        .repartition(parts, "key")
-        .mapInArrow(_pairs(HOT, SIDE), "a long, b long, block int, blocks int")
+        buckets.repartition(parts, whole)
+        .sortWithinPartitions(whole, F.col("key").bitwiseAND((1 << 2 * FIELD_BITS) - 1))
+        .mapInArrow(_pairs(percent, HOT, SIDE), MADE_SCHEMA)
     )
     pairs = made.filter("block is null").select("a", "b")
-    full = made.filter("block is not null").select(F.col("a").alias("id"), F.col("b").alias("key"), "block", "blocks")
-    candidates = (
-        pairs.unionByName(_block_pairs(full, reps, percent, q, hashes, once=min_equal == 1))
-        .filter("a < b")
-        .groupBy("a", "b")
-        .count()
-        .filter(F.col("count") >= min_equal)
-        .select("a", "b")
-    )
-    links = cut_lineage(_verified(candidates, reps, percent))
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    again = (
-        both.select(F.col("a").alias("mid"), F.col("b").alias("a"))
-        .join(both.select(F.col("a").alias("mid"), "b").hint("merge"), "mid")
-        .filter("a < b")
-        .select("a", "b")
-        .distinct()
-        .join(links.hint("merge"), ["a", "b"], "left_anti")
-    )
-    return links.unionByName(_verified(again, reps, percent)), members
+    candidates = pairs.unionByName(_block_pairs(made, reps, percent, hashes)).filter("a < b").distinct()
+    return _verified(candidates, reps, percent), members
 
 
 #: Classes of equal texts up to this size are listed pair by pair; a larger one as pairs with its representative.
 LISTED = 1000
 
 
-def near_pairs(df: DataFrame, id_col: str, text_col: str, **kw: int) -> DataFrame:
+def near_pairs(df: DataFrame, id_col: str, text_col: str, listed: int = LISTED, **kw: int) -> DataFrame:
     """(a, b), a < b: all pairs of ids whose texts are equal or near (see near_links).
 
     Links between representatives are carried over to all members of both classes.  Inside a class of more
-    than LISTED equal texts, and for its links, the pairs go through the representative only: every member
+    than `listed` equal texts, and for its links, the pairs go through the representative only: every member
     is paired with it, which names the class without listing its square.
     """
     links, members = near_links(df, id_col, text_col, **kw)
-    members = cut_lineage(members)
+    links, members = cut_lineage(links), cut_lineage(members)
     size = members.groupBy("rep").count()
-    small = members.join(size.filter(F.col("count") < LISTED).select("rep").hint("merge"), "rep", "left_semi")
+    small = members.join(size.filter(F.col("count") < listed).select("rep").hint("merge"), "rep", "left_semi")
     rest = small.select(F.col("rep").alias("a"), F.col("id").alias("a2"))
     own = members.select(F.col("rep").alias("a"), F.col("id").alias("b"))
     inner = (

@@ -209,11 +209,10 @@ def test_near_pairs_and_groups(spark):
     assert near_duplicates.near_groups(df.limit(0), "a", "text").count() == 0
 
 
-def test_large_class_is_named_by_its_representative(spark, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "LISTED", 10)
+def test_large_class_is_named_by_its_representative(spark):
     x = dna(80)
     df = frame(spark, [(i, x) for i in range(30)] + [(100, x[:40] + "A" + x[40:])], "id long, t string")
-    got = {tuple(r) for r in near_duplicates.near_pairs(df, "id", "t").collect()}
+    got = {tuple(r) for r in near_duplicates.near_pairs(df, "id", "t", listed=10).collect()}
     assert got == {(0, i) for i in range(1, 30)} | {(0, 100)}
 
 
@@ -231,9 +230,9 @@ def test_hot_grams_do_not_lose_pairs(spark, monkeypatch):
     assert got <= true and len(got) >= 0.97 * len(true)
 
 
-@pytest.mark.parametrize("side", [512, 64])
+@pytest.mark.parametrize("side", [512, 64, 7])
 def test_family_of_edited_copies(spark, monkeypatch, side):
-    monkeypatch.setattr(near_duplicates, "SIDE", side, raising=False)
+    monkeypatch.setattr(near_duplicates, "SIDE", side)
     master = dna(100)
     # two edits each: at most four between any two, where ten are allowed
     texts = [mutate(master, 2) for _ in range(200)]
@@ -244,8 +243,85 @@ def test_family_of_edited_copies(spark, monkeypatch, side):
     assert len(got) >= 0.97 * (200 * 199 // 2)
 
 
-def test_family_is_found_alike_in_tables_of_every_size(spark, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "SAMPLE", 100, raising=False)
+def spread_edits(s, k):
+    """Exactly k single edits at different places."""
+    out = list(s)
+    for i in sorted(R.sample(range(len(s)), k), reverse=True):
+        what = R.random()
+        if what < 0.6:
+            out[i] = R.choice([c for c in "ACGT" if c != s[i]])
+        elif what < 0.8:
+            del out[i]
+        else:
+            out.insert(i, R.choice("ACGT"))
+    return "".join(out)
+
+
+def test_recall_at_the_limit_in_every_length_band(spark):
+    pairs = {}
+    for size in (20, 30, 40, 50, 60, 70, 80, 90, 100):
+        for _ in range(150):
+            a = dna(size)
+            b = spread_edits(a, size // 10)
+            if distance(a, b) == size // 10 and len(b) <= size:  # 10 % of the longer one
+                pairs.setdefault(size, []).append((a, b))
+    rows, want = [], defaultdict(set)
+    for size, ab in pairs.items():
+        for a, b in ab:
+            want[size].add((len(rows), len(rows) + 1))
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    got = {tuple(r) for r in near_duplicates.near_pairs(frame(spark, rows, "id long, t string"), "id", "t").collect()}
+    for size, true in want.items():
+        assert len(true & got) >= 0.87 * len(true), (size, len(true & got), len(true))  # 0.9 and more in large samples
+    assert sum(len(x & got) for x in want.values()) >= 0.93 * sum(map(len, want.values()))
+
+
+@pytest.mark.parametrize("percent", [5, 10, 30])
+def test_near_lengths_share_a_gram_length(percent):
+    length = np.arange(1, 400)
+    of = [set() for _ in range(401)]
+    for q, at in near_duplicates.gram_classes(length, percent):
+        for i in length[at].tolist():
+            of[i].add(q)
+            assert q <= i
+    for a in range(10, 400):
+        for b in range(a, 400):
+            if b - a <= b * percent // 100:
+                assert of[a] & of[b]
+
+
+@pytest.mark.parametrize("hot, side", [(3, 8), (10, 4), (40, 2048)])
+def test_streamed_buckets_give_every_pair(hot, side):
+    rng = np.random.default_rng(8)
+    one = np.uint64(1)
+    key = np.sort(np.concatenate((rng.integers(0, 12, 60), np.full(90, 5), np.full(7, 13)))).astype(np.uint64)
+    place, length = rng.integers(0, 60, len(key)).astype(np.uint64), rng.integers(50, 70, len(key)).astype(np.uint64)
+    length[::17] = near_duplicates.TOP
+    packed = np.sort((key << np.uint64(20)) | (place << np.uint64(10)) | length)
+    ids = np.arange(len(packed))
+    want = {
+        (i, j) for i in range(len(packed)) for j in range(i + 1, len(packed))
+        if packed[i] >> np.uint64(20) == packed[j] >> np.uint64(20) and near_duplicates._near_enough(packed[i : i + 1], packed[j : j + 1], 10)[0]
+    }
+    batches = [pa.RecordBatch.from_arrays([pa.array(packed[a : a + 11].view(np.int64)), pa.array(ids[a : a + 11])], names=["key", "id"]) for a in range(0, len(ids), 11)]
+    rows = [r for b in near_duplicates._pairs(10, hot, side)(iter(batches)) for r in b.to_pylist()]
+    got = {(r["a"], r["b"]) for r in rows if r["block"] is None}
+    assert len(got) == sum(r["block"] is None for r in rows) and got <= want
+    members, blocks = defaultdict(list), {}
+    for r in rows:
+        if r["block"] is not None and r["a"] is not None:
+            members[r["b"], r["block"]].append(r["a"])
+        elif r["a"] is None:
+            blocks[r["b"], r["block"]] = (r["lo"], r["hi"])
+    assert set(members) == set(blocks) and all(len(v) <= side for v in members.values())
+    for (k, x), (_, hi) in blocks.items():
+        for (m, y), (lo, _) in blocks.items():
+            if k == m and x <= y and lo <= hi:
+                got |= {(min(i, j), max(i, j)) for i in members[k, x] for j in members[k, y] if i != j}
+    assert want <= got and one
+
+
+def test_family_is_found_alike_in_tables_of_every_size(spark):
     master = dna(100)
     family = list(enumerate(mutate(master, 2) for _ in range(60)))
     others = [(1000 + i, dna(100)) for i in range(300)]

@@ -59,45 +59,58 @@ def _join(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
 
 def _runs(s: Level, low: np.ndarray, high: np.ndarray, fixed: bool) -> Level:
     """Maximal runs of equal symbols become one; both neighbours fix where a run ends (told if `fixed`)."""
-    same = np.zeros(len(s.name), bool)
-    same[1:] = (s.name[1:] == s.name[:-1]) & (s.twin[1:] == s.twin[:-1]) & ~s.first[1:]
+    n = len(s.name)
+    same = np.zeros(n, bool)
+    np.equal(s.name[1:], s.name[:-1], out=same[1:])
+    at = np.flatnonzero(same)
+    same[at] = (s.twin[at] == s.twin[at - 1]) & ~s.first[at]
     head = np.flatnonzero(~same)
-    count = np.diff(head, append=len(same))
-    tail = head + count - 1
-    many = count > 1
+    tail = np.append(head[1:], n) - 1
+    many = np.flatnonzero(tail > head)
     name, twin = s.name[head], s.twin[head]
-    times = count[many].astype(np.uint64)
+    times = (tail - head + 1)[many].astype(np.uint64)
     name[many], twin[many] = _join(name[many], times, 11), _join(twin[many], times, 13)
     first, last = s.first[head], s.last[tail]
+    start, end = s.start[head], s.end[tail]
     if not fixed:
-        return Level(s.start[head], s.end[tail], name, twin, NOT_TOLD, NOT_TOLD, NOT_TOLD, first, last)
-    before, after = np.where(first, head, head - 1), np.where(last, tail, tail + 1)
-    left = np.where(first, low[s.start[head]], s.left[before])
-    right = np.where(last, high[s.start[head]], s.right[after])
-    context = _join(_join(s.context[before], name, 17), s.context[after], 19)
-    return Level(s.start[head], s.end[tail], name, twin, left, right, context, first, last)
+        return Level(start, end, name, twin, NOT_TOLD, NOT_TOLD, NOT_TOLD, first, last)
+    f, z = np.flatnonzero(first), np.flatnonzero(last)
+    before, after = head - 1, tail + 1
+    before[f], after[z] = head[f], tail[z]
+    left, right = s.left[before], s.right[after]
+    left[f], right[z] = low[start[f]], high[start[z]]
+    context = mix(s.context[before] * np.uint64(3) + s.context[after] * np.uint64(5) + name)
+    return Level(start, end, name, twin, left, right, context, first, last)
 
 
 def _pairs(s: Level, low: np.ndarray, high: np.ndarray, salt: int, fixed: bool) -> Level:
     """A left symbol and the right symbol behind it become one; the neighbour that a symbol does not join fixes it."""
-    is_left = (mix(s.name + np.uint64(104729 * salt)) >> np.uint64(63)).astype(bool)
-    second = np.zeros(len(s.name), bool)
+    n = len(s.name)
+    # one bit of a universal hash of the name
+    factor = mix(np.array([salt], np.uint64))[0] | np.uint64(1)
+    is_left = ((s.name ^ (s.name >> np.uint64(29))) * factor) >> np.uint64(63) == 1
+    second = np.zeros(n, bool)
     second[1:] = is_left[:-1] & ~is_left[1:] & ~s.first[1:]
     head = np.flatnonzero(~second)
-    tail = np.append(head[1:], len(second)) - 1
+    tail = np.append(head[1:], n) - 1
     paired = tail > head
     name, twin = s.name[head], s.twin[head]
-    a, b = head[paired], tail[paired]
-    name[paired], twin[paired] = _join(s.name[a], s.name[b], 23), _join(s.twin[a], s.twin[b], 29)
+    p = np.flatnonzero(paired)
+    a = head[p]
+    name[p], twin[p] = _join(s.name[a], s.name[a + 1], 23), _join(s.twin[a], s.twin[a + 1], 29)
     first, last = s.first[head], s.last[tail]
+    start, end = s.start[head], s.end[tail]
     if not fixed:
-        return Level(s.start[head], s.end[tail], name, twin, NOT_TOLD, NOT_TOLD, NOT_TOLD, first, last)
-    back, ahead = ~paired & ~is_left[head], ~paired & is_left[head]
-    before, after = np.where(back & ~first, head - 1, head), np.where(paired | ahead & ~last, head + 1, head)
-    left = np.where(back & first, low[s.start[head]], s.left[before])
-    right = np.where(ahead & last, high[s.start[head]], s.right[after])
-    context = np.where(before == after, s.context[head], _join(s.context[before], s.context[np.minimum(after, len(second) - 1)], 31))
-    return Level(s.start[head], s.end[tail], name, twin, left, right, context, first, last)
+        return Level(start, end, name, twin, NOT_TOLD, NOT_TOLD, NOT_TOLD, first, last)
+    lefts = is_left[head]
+    back, ahead = ~paired & ~lefts, ~paired & lefts
+    f, z = np.flatnonzero(back & first), np.flatnonzero(ahead & last)
+    before, after = head - back, tail + ahead
+    before[f], after[z] = head[f], tail[z]
+    left, right = s.left[before], s.right[after]
+    left[f], right[z] = low[start[f]], high[start[z]]
+    context = mix(s.context[before] * np.uint64(3) + s.context[after] * np.uint64(5))
+    return Level(start, end, name, twin, left, right, context, first, last)
 
 
 def parse(codes: np.ndarray, off: np.ndarray, top: int = MOST_ROUNDS) -> list[Level]:

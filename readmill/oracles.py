@@ -213,3 +213,7 @@ g as (select *, case when delta is distinct from lag(delta) over w or row_number
 h as (select *, sum(nw) over (partition by block_id, field_no order by read_id rows unbounded preceding) as rn from g),
 r as (select block_id, field_no, rn, count(*) as c from h group by all), pc as (select block_id, field_no, c, unnest(range(1, (c + 255) // 256 + 1)) as k from r)
 select block_id, field_no, least(256, c - (k - 1) * 256) as piece_length, count(*) as n from pc group by all"""
+# every record as it stands, but for the third of a chunk, whose quality line is lost
+SQL["fastq_scan_damaged"] = SQL["chunk_records"].split("\nselect chunk_id")[0] + """
+select x[4 * record_no - 3] as tag, x[4 * record_no - 2] as sequence, x[4 * record_no - 1] as plus, case when record_no <> 3 then x[4 * record_no] end as quality,
+record_no <> 3 as valid from r"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -32,13 +33,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; only a session without it (tests) gets one of its own."""
+    """The folder the cluster names in spark.checkpoint.dir; only a local session without it (tests) gets one of its own."""
     sc = spark.sparkContext
     named = sc._jsc.sc().getCheckpointDir()
     if not named.isDefined():
-        sc.setCheckpointDir(
-            sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "readmill-checkpoint")
-        )
+        at = sc.getConf().get("spark.checkpoint.dir")
+        if not at and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(at or os.path.join(tempfile.gettempdir(), "readmill-checkpoint"))
         named = sc._jsc.sc().getCheckpointDir()
     return named.get()
 
@@ -49,10 +51,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def new_folder(spark: SparkSession, what: str) -> str:
+    """A folder of its own in the shared folder."""
+    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """Writes wide rows as a compressed table in the shared folder and reads them back: lineage ends there."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = new_folder(spark, "table")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 

@@ -120,6 +120,18 @@ def chunk_records(spark: SparkSession, d: str) -> DataFrame:
     return chunk_rows(load(spark, d, "fastq_chunks"), "chunk_id", "chunk_text")
 
 
+def fastq_scan_damaged(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks as FASTQ files in the shared folder, each with the quality line of its third record lost, scanned in small splits."""
+    from readmill.plans.runtime import new_folder
+    from readmill.sources.fastq import read_fastq
+
+    at = new_folder(spark, "fastq")
+    lines = F.split(F.regexp_replace("chunk_text", "\r?\n$", ""), "\n")
+    damaged = F.array_join(F.filter(lines, lambda x, i: i != 11), "\n")
+    load(spark, d, "fastq_chunks").filter("chunk_text is not null").select(damaged.alias("value")).write.text(at)
+    return read_fastq(spark, at, 1 << 18).select("tag", "sequence", "plus", "quality", "valid")
+
+
 def stream_sizes(spark: SparkSession, d: str) -> DataFrame:
     return _reads(spark, d, "run_id", "tag", "sequence", "quality").groupBy("run_id").agg(
         *(F.sum(F.octet_length(c)).alias(f"{c}_bytes") for c in ("tag", "sequence", "quality"))
@@ -409,7 +421,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             p2_found, p3_found, p3_records, p4_found,
             reads_scan, quality_offset_infer, record_validity, plus_regenerate, fastq_text, record_bytes, block_assemble,
-            chunk_records, stream_sizes, block_stats, block_meta_check, block_digest, block_crc,
+            chunk_records, fastq_scan_damaged, stream_sizes, block_stats, block_meta_check, block_digest, block_crc,
             quality_position_hist, quality_hist, base_hist, base_hist_rollup, symbol_index, dna_scheme, iupac_index, lossy_bin,
             lossy_reads, ambiguity_transfer, ambiguity_restore, truncated_len, quality_scheme, quality_model, quality_runs,
             run_transitions, run_sets, run_expand, dna_context_k3, dna_entropy_k3, quality_entropy, quality_context,

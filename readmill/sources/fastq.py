@@ -2,113 +2,181 @@
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from readmill.functions.flat import ranges
+
 SCHEMA = "file_no int, start_byte long, tag string, sequence string, plus string, quality string, valid boolean"
-#: Bytes that are looked at to find a record's start, grown as long as needed.
+#: Bytes before and behind a split that are read first to find a record's start and end; more if they do not suffice.
 PEEK = 1 << 16
 BATCH = 20_000
 
 
 class ByteRange(InputPartition):
-    def __init__(self, file_no: int, path: str, start: int, stop: int):
-        self.file_no, self.path, self.start, self.stop = file_no, path, start, stop
-
-
-def resync(buf: bytes, at_line_start: bool) -> int | None:
-    """Offset of the first record start in buf, or None if it cannot be told yet.
-
-    A line that begins with @ is a title if the line two below begins with + and the next one does not
-    begin with @; two lines with @ mean that the first one was a quality line.
+    def __init__(self, file_no: int, path: str, start: int, stop: int, size: int):
+        self.file_no, self.path, self.start, self.stop, self.size = file_no, path, start, stop, size
+
+
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path (any that Arrow knows by its scheme) and the path in it."""
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    if "://" in path:
+        return pafs.FileSystem.from_uri(path)
+    return pafs.LocalFileSystem(), os.path.abspath(path)
+
+
+def files_of(path: str) -> list[tuple[str, int]]:
+    """(path, size) of a file, of the files in a folder, or of those that a pattern matches."""
+    system, base = file_system(path)
+    head = path[: len(path) - len(base)] if path.endswith(base) else "file://" if path.startswith("file:") else ""
+    if any(c in base for c in "*?["):
+        fixed = base[: min(base.index(c) for c in "*?[" if c in base)].rpartition("/")[0]
+        found = [i for i in system.get_file_info(pafs.FileSelector(fixed, recursive=True)) if fnmatch.fnmatch(i.path, base)]
+    else:
+        info = system.get_file_info(base)
+        found = system.get_file_info(pafs.FileSelector(base)) if info.type == pafs.FileType.Directory else [info]
+    return sorted(
+        (head + i.path, i.size) for i in found if i.type == pafs.FileType.File and not i.base_name.startswith(("_", "."))
+    )
+
+
+class Lines:
+    """The lines of a buffer and what the record rules ask of them."""
+
+    def __init__(self, buf: bytes, ended: bool):
+        self.data = data = np.frombuffer(buf, np.uint8)
+        ends = np.flatnonzero(data == 10)
+        starts = np.concatenate(([0], ends + 1))
+        if ended and starts[-1] < len(data):
+            ends = np.append(ends, len(data))
+        self.start = starts[: len(ends)]
+        #: where the line behind each line begins
+        self.behind = np.append(starts, len(data))[1 : len(ends) + 1]
+        self.end = ends - ((ends > self.start) & (data[np.maximum(ends - 1, 0)] == 13))
+        self.size = self.end - self.start
+        first = np.where(self.size > 0, data[np.minimum(self.start, max(len(data) - 1, 0))], 0) if len(ends) else np.zeros(0, np.uint8)
+        self.title = first == ord("@")
+        n = len(ends)
+        plus = first == ord("+")
+        #: a line from which on a record begins beyond doubt: a sequence never begins like a title
+        self.likely = np.zeros(n, bool)
+        self.likely[: max(n - 2, 0)] = self.title[: n - 2] & ~self.title[1 : n - 1] & plus[2:] if n > 2 else False
+        certain = self.likely[: max(n - 3, 0)] & (self.size[1 : n - 2] == self.size[3:]) if n > 3 else np.zeros(0, bool)
+        self.certain = np.flatnonzero(certain)
+
+    def valid(self, at: np.ndarray) -> np.ndarray:
+        return self.title[at] & (self.size[at + 2] > 0) & (self.size[at + 1] == self.size[at + 3])
+
+
+def scan(lines: Lines, at: int, ended: bool) -> tuple[np.ndarray, list[tuple[int, int]], int]:
+    """(first lines of the valid records from line `at` on, (first line, line behind) of what is none, line where the text ends too early).
+
+    After a record that breaks a rule the scan goes on at the next line from which on a record begins beyond doubt.
     """
-    pos = 0 if at_line_start else buf.find(b"\n") + 1
-    if not at_line_start and pos == 0:
-        return None
-    lines = []
-    while pos < len(buf):
-        end = buf.find(b"\n", pos)
-        if end < 0:
+    n = len(lines.start)
+    good, bad = [], []
+    while at < n:
+        k = at + 4 * np.arange(min((n - at) // 4, 4096))
+        ok = lines.valid(k)
+        stop = len(k) if ok.all() else int(np.argmin(ok))
+        good.append(k[:stop])
+        at += 4 * stop
+        if stop == len(k) and len(k) and n - at >= 4:
+            continue
+        if n - at < 4 and not ended:
+            break
+        if at >= n:
             break
-        lines.append(pos)
-        pos = end + 1
-    lines.append(pos)
-    first = lambda k: buf[lines[k] : lines[k] + 1]
-    for k in range(len(lines) - 3):
-        if first(k) == b"@":
-            if first(k + 1) == b"@":
-                return lines[k + 1]
-            if first(k + 2) == b"+":
-                return lines[k]
-    return None
+        later = np.searchsorted(lines.certain, at, side="right")
+        if later == len(lines.certain) and not ended:
+            break
+        to = int(lines.certain[later]) if later < len(lines.certain) else n
+        cuts = [at, *(at + 1 + np.flatnonzero(lines.likely[at + 1 : to])).tolist(), to]
+        bad += zip(cuts[:-1], cuts[1:])
+        at = to
+    return np.concatenate(good) if good else np.zeros(0, np.int64), bad, at
+
+
+def _text(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    size = end - start
+    raw = data[ranges(start, size)]
+    if len(raw) and raw.max() >= 128:
+        return pa.array([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start.tolist(), end.tolist())], pa.string())
+    off = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+    return pa.StringArray.from_buffers(len(size), pa.py_buffer(off), pa.py_buffer(raw.astype(np.uint8)))
 
 
 class FastqReader(DataSourceReader):
     def __init__(self, options: dict):
-        path = options.get("path", "")
         self.split = int(options.get("splitBytes", 64 << 20))
-        self.paths = sorted(
-            p for q in path.split(",") for p in (glob.glob(os.path.join(q, "*")) if os.path.isdir(q) else glob.glob(q))
-            if os.path.isfile(p) and not os.path.basename(p).startswith(("_", "."))
-        )
+        self.files = sorted(f for p in options.get("path", "").split(",") for f in files_of(p))
 
     def partitions(self) -> list[ByteRange]:
         return [
-            ByteRange(k, p, a, min(a + self.split, size))
-            for k, p in enumerate(self.paths)
-            if (size := os.path.getsize(p))
+            ByteRange(k, p, a, min(a + self.split, size), size)
+            for k, (p, size) in enumerate(self.files)
             for a in range(0, size, self.split)
         ]
 
-    def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
-        with open(part.path, "rb") as f:
-            start = part.start
-            if start:
-                f.seek(start - 1)
-                size, buf = PEEK, f.read(PEEK)
-                while (at := resync(buf, False)) is None:
-                    more = f.read(size)
-                    if not more:
-                        return
-                    buf, size = buf + more, size * 2
-                start = start - 1 + at
-            if start >= part.stop:
-                return
-            f.seek(start)
-            rows: list[tuple] = []
-            while start < part.stop:
-                lines = [f.readline() for _ in range(4)]
-                if not lines[0]:
-                    break
-                text = [x.rstrip(b"\r\n").decode("utf-8", "replace") for x in lines]
-                if any(text):
-                    ok = text[0].startswith("@") and bool(text[2]) and len(text[1]) == len(text[3])
-                    rows.append((part.file_no, start, *text, ok))
-                start += sum(map(len, lines))
-                if len(rows) == BATCH:
-                    yield self.batch(rows)
-                    rows = []
-            if rows:
-                yield self.batch(rows)
+    def read(self, part: ByteRange | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # there is no file
+            return
+        system, path = file_system(part.path)
+        back = ahead = PEEK
+        with system.open_input_file(path) as f:
+            while True:
+                low, high = max(0, part.start - back), min(part.size, part.stop + ahead)
+                f.seek(low)
+                lines = Lines(f.read(high - low), high == part.size)
+                # a scan that begins a little before the split is in step with one from the file's start
+                at = 0
+                if low:
+                    # the first lines are cut off or may be a quality whose record is not in sight
+                    sure = lines.certain[lines.certain > 3]
+                    sure = sure[~lines.likely[sure - 3]]
+                    if not len(sure) or low + lines.start[sure[0]] >= part.start:
+                        back *= 4
+                        continue
+                    at = int(sure[0])
+                good, bad, stopped = scan(lines, at, high == part.size)
+                if high < part.size and (stopped >= len(lines.start) or low + lines.start[stopped] < part.stop):
+                    ahead *= 4
+                    continue
+                break
+        begin = low + lines.start
+        good = good[(begin[good] >= part.start) & (begin[good] < part.stop)]
+        for a in range(0, len(good), BATCH):
+            k = good[a : a + BATCH]
+            yield self.batch(part, begin[k], [_text(lines.data, lines.start[k + i], lines.end[k + i]) for i in range(4)], True)
+        bad = [(a, b) for a, b in bad if part.start <= begin[a] < part.stop and lines.size[a:b].any()]
+        if bad:
+            line = lambda k: lines.data[lines.start[k] : lines.end[k]].tobytes().decode("utf-8", "replace")
+            texts = [pa.array([line(a + i) if a + i < b else None for a, b in bad], pa.string()) for i in range(4)]
+            yield self.batch(part, begin[[a for a, _ in bad]], texts, False)
 
     @staticmethod
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int32(), pa.int64(), *[pa.string()] * 4, pa.bool_()]
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names=names)
+    def batch(part: ByteRange, start: np.ndarray, texts: list[pa.Array], valid: bool) -> pa.RecordBatch:
+        n = len(start)
+        head = [pa.array(np.full(n, part.file_no, np.int32)), pa.array(start.astype(np.int64))]
+        return pa.RecordBatch.from_arrays([*head, *texts, pa.array(np.full(n, valid))], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
 
 class FastqDataSource(DataSource):
-    """`spark.read.format("fastq").option("splitBytes", n).load(path)`: a file, a folder or a pattern.
+    """`spark.read.format("fastq").option("splitBytes", n).load(path)`: a file, a folder or a pattern, on any file system Arrow knows.
 
     Every split finds its first record itself, so any split count gives the same rows.  CR is dropped, a last
-    record without a line end is kept, malformed records come out with valid = false.
+    record without a line end is kept.  Text that is no record comes out with valid = false, its first four lines in the
+    columns (null where it has fewer), and does not touch the records behind it; blank lines between records are passed over.
     """
 
     @classmethod
@@ -126,10 +194,17 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(FastqDataSource)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme of the cluster's default file system where it has none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 def read_fastq(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> DataFrame:
     """Reads of FASTQ files, with a read_id that follows the order of files and records."""
     register(spark)
-    df = spark.read.format("fastq").option("splitBytes", split_bytes).load(path)
+    paths = ",".join(qualified(spark, p) for p in path.split(","))
+    df = spark.read.format("fastq").option("splitBytes", split_bytes).load(paths)
     # a byte offset orders the records of a file; 2**48 bytes a file are enough
     return df.withColumn("read_id", F.col("file_no").cast("long") * (1 << 48) + F.col("start_byte"))
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from readmill.plans.options import Options
 from readmill.sources import archive
-from readmill.sources.fastq import chunk_rows, read_fastq, resync, write_fastq
+from readmill.sources import fastq
+from readmill.sources.fastq import chunk_rows, read_fastq, write_fastq
 
 R = random.Random(9)
 
@@ -37,7 +38,51 @@ def test_malformed_records_are_kept(spark, tmp_path):
     (tmp_path / "a.fastq").write_text("@a\nAC\n+\nI\n@b\nAC\n+\nII\n@c\nAC\n")
     got = read_fastq(spark, str(tmp_path)).orderBy("read_id").collect()
     assert [(r.tag, r.valid) for r in got] == [("@a", False), ("@b", True), ("@c", False)]
-    assert resync(b"II\n@t\nAC\n+\n@I\n", False) == 3 and resync(b"@q\n@t\nAC\n+\n", True) == 3 and resync(b"abc", False) is None
+
+
+def rows_of(path, split):
+    reader = fastq.FastqReader({"path": path, "splitBytes": split})
+    return sorted(tuple(r.values()) for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist())
+
+
+def test_a_damaged_record_does_not_touch_the_others(spark, tmp_path):
+    want, text = records(200)
+    lines = text.split("\n")
+    size = len(lines[4 * 50 + 1])
+    lines[4 * 51] = "@" + "t" * (size + 5)  # the next title is longer than the sequence: it cannot be its quality
+    want[51] = (lines[4 * 51], *want[51][1:])
+    text = "\n".join(x for i, x in enumerate(lines) if i != 4 * 50 + 3)
+    (tmp_path / "a.fastq").write_text(text)
+    for split in (300, 1000, 1 << 20):
+        got = read_fastq(spark, str(tmp_path), split).orderBy("read_id").collect()
+        assert [(r.tag, r.sequence, r.plus, r.quality) for r in got if r.valid] == want[:50] + want[51:]
+        assert [(r.tag, r.sequence, r.plus, r.quality) for r in got if not r.valid] == [(*want[50][:3], None)]
+
+
+@pytest.mark.parametrize("peek", [1024, 1 << 16])
+def test_damaged_files_give_the_same_rows_for_every_split(tmp_path, monkeypatch, peek):
+    monkeypatch.setattr(fastq, "PEEK", peek)
+    for trial in range(25):
+        want, text = records(120, R.choice(["\n", "\r\n"]))
+        lines = text.splitlines(keepends=True)
+        gone = {4 * R.randrange(120) + R.randrange(4) for _ in range(R.randrange(6))}
+        lines = ["" if i in gone else x for i, x in enumerate(lines)]
+        lines.insert(4 * R.randrange(100), R.choice(["", "\n", "no record\n"]))
+        (tmp_path / "a.fastq").write_bytes("".join(lines).encode())
+        whole = rows_of(str(tmp_path), 1 << 20)
+        assert sum(r[-1] for r in whole) >= 120 - 2 * len(gone) - 1
+        for split in (41, 300, 2000):
+            assert rows_of(str(tmp_path), split) == whole
+
+
+def test_paths(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    for n in ("a.fastq", "b.fq", "_c.fastq"):
+        (tmp_path / "d" / n).write_text("@é\nAC\n+\nII\n")
+    at = str(tmp_path / "d")
+    assert [len(fastq.files_of(p)) for p in (at, at + "/*.fastq", at + "/a.*", f"file://{at}", f"file:{at}/*.f*", at + "/none")] == [2, 1, 1, 2, 2, 0]
+    assert [r.tag for r in read_fastq(spark, f"{at}/a.fastq,{at}/b.fq").collect()] == ["@é", "@é"]
+    assert read_fastq(spark, at + "/none").count() == 0
 
 
 def test_chunks(spark):

@@ -111,6 +111,11 @@ def test_rejects(spark):
     for i, x in enumerate(lines):
         assert got[i].reason == reference_reason(x), (x, got[i])
         assert got[i].raw_line == x
+    # most of the reasons come from the reader's reject table
+    said = [(r.reason, r.reader_error) for r in got.values()]
+    assert {e for w, e in said if w == "columns"} == {"MISSING COLUMNS", "TOO MANY COLUMNS"}
+    broken = [e for w, e in said if w == "quoting"]
+    assert 3 * broken.count("UNQUOTED VALUE") > len(broken) and all(w == "quoting" for w, e in said if e == "UNQUOTED VALUE")
     assert got[1].title == "@a, b" and got[1].quality == 'I"I,' and got[2].title == "@a\nb"
     twice = rejects.load_records(df.unionByName(df.filter("raw_id = 0")).withColumn("raw_id", F.expr("nullif(raw_id, 1)")), "raw_id", "raw_line")
     assert twice.count() == len(lines) + 1

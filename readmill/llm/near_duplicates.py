@@ -35,8 +35,8 @@ GRAMS = ((10, 5), (16, 7), (24, 9), (32, 10), (43, 11), (54, 12), (112, 13))
 HOT = 40
 #: Records of a block that an over-full bucket is dealt into.
 SIDE = 2048
-#: Bits of a bucket's key; the place of the minimum and the length of the record follow it, each up to TOP.
-KEY_BITS, FIELD_BITS = 44, 10
+#: Bits of a bucket's key; the place of the minimum and the length of the record follow it, each up to TOP.  All three are a positive number.
+KEY_BITS, FIELD_BITS = 43, 10
 TOP = (1 << FIELD_BITS) - 1
 #: Lengths of the short q-grams for the lower bounds of the edit distance: a quick one first.
 SHORT = (4, 5)
@@ -335,10 +335,9 @@ def near_links(df: DataFrame, id_col: str, text_col: str, percent: int = 10, has
     long_enough = reps.filter(F.length("text") * percent >= 100)
     buckets = long_enough.mapInArrow(_buckets(percent, hashes), "key long, id long")
     # a bucket is in one partition, which is read as a sorted stream
-    whole = F.shiftrightunsigned("key", 2 * FIELD_BITS)
     made = written(
-        buckets.repartition(parts, whole)
-        .sortWithinPartitions(whole, F.col("key").bitwiseAND((1 << 2 * FIELD_BITS) - 1))
+        buckets.repartition(parts, F.shiftright("key", 2 * FIELD_BITS))
+        .sortWithinPartitions("key")
         .mapInArrow(_pairs(percent, HOT, SIDE), MADE_SCHEMA)
     )
     pairs = made.filter("block is null").select("a", "b")

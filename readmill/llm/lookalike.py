@@ -1,10 +1,10 @@
 """Visually identical text with different characters: look-alike classes and their rewriting.
 
 Strings that are drawn alike (composed and decomposed letters, full-width forms, ligatures, blanks, hyphens,
-letters of other alphabets, invisible characters as the empty string) are nodes; union-find makes the classes
-transitive, so that e.g. Cyrillic IO, Cyrillic IE + diaeresis and Latin E + diaeresis fall together.  The
-representative of a class is its most frequent member in the corpus.  Texts are rewritten by a multi-pattern
-automaton, longest match first, until nothing changes.
+letters of other alphabets and of mathematical alphabets, invisible characters as the empty string) are nodes; union-find makes
+the classes transitive, so that e.g. Cyrillic IO, Cyrillic IE + diaeresis and Latin E + diaeresis fall together.  The
+representative of a class is its most frequent composed member in the corpus.  Texts are brought to canonical composition, which
+also orders combining marks, and rewritten by a multi-pattern automaton, longest match first, until nothing changes.
 """
 
 from __future__ import annotations
@@ -26,9 +26,14 @@ from readmill.functions.flat import flat
 from readmill.plans.runtime import cut_lineage, written
 
 # Letters of other alphabets drawn like a Latin letter.
-GREEK = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo νv ϲc ϳj ϹC ͿJ"
-CYRILLIC = "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ҮY ХX ԚQ ԜW ӀI аa еe оo рp сc уy үy хx ѕs іi јj һh ӏl ԁd ԛq ԝw"
-ARMENIAN = "ՕO օo ՏS"
+GREEK = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo νv ρp ϲc ϳj ϹC ͿJ"
+CYRILLIC = "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ҮY ХX ԚQ ԜW ӀI ѴV аa еe оo рp сc уy үy хx ѕs іi јj һh ӏl ԁd ԛq ԝw ѵv"
+ARMENIAN = "ՕO ՍU ՏS օo ոn սu հh զq յj ցg"
+COPTIC = "ⲀA ⲂB ⲌZ ⲎH ⲒI ⲔK ⲘM ⲚN ⲞO ⲢP ⲤC ⲦT ⲨY ⲬX ⲟo ⲣp ⲥc"
+CHEROKEE = "ᎪA ᏴB ᏟC ᎠD ᎬE ᏀG ᎻH ᎫJ ᏦK ᏞL ᎷM ᏢP ᎡR ᏚS ᎢT ᏙV ᎳW ᏃZ"
+LISU = "ꓮA ꓐB ꓚC ꓓD ꓰE ꓝF ꓖG ꓧH ꓲI ꓙJ ꓗK ꓡL ꓟM ꓠN ꓳO ꓑP ꓣR ꓢS ꓔT ꓴU ꓦV ꓪW ꓫX ꓬY ꓜZ"
+LATIN = "ɑa ɡg"
+DRAWN_ALIKE = f"{GREEK} {CYRILLIC} {ARMENIAN} {COPTIC} {CHEROKEE} {LISU} {LATIN}".split()
 # Blanks of other kinds or widths, hyphens, and characters that are not drawn.
 BLANKS = [" ", "\u00a0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u202f", "\u205f", "\u3000"]
 HYPHENS = ["-", "\u2010", "\u2011", "\ufe63", "\uff0d"]
@@ -38,10 +43,16 @@ INVISIBLE = [
 ]
 #: Ranges whose compatibility decomposition only changes width or resolves a ligature.
 WIDTHS_AND_LIGATURES = [(0xFB00, 0xFB07), (0xFF01, 0xFFE7)]
+#: Ranges with the letters of other fonts (mathematical alphabets), and the Roman numerals that are written as letters.
+FONTS, NUMERALS = [(0x2100, 0x2150), (0x1D400, 0x1D800)], (0x2160, 0x2180)
 #: Ranges of letters whose composed and decomposed forms are classes.
 COMPOSED = [(0x00C0, 0x0250), (0x0370, 0x0530), (0x1E00, 0x2000), (0x212A, 0x212C)]
 
 
+#: Passes of rewriting after which classes that feed each other are an error; two or three are usual.
+MOST_PASSES = 50
+
+
 class UnionFind:
     def __init__(self) -> None:
         self.parent: dict[str, str] = {}
@@ -68,8 +79,15 @@ class UnionFind:
 @functools.lru_cache(1)
 def look_alike_classes() -> tuple[tuple[str, ...], ...]:
     uf = UnionFind()
-    for pair in f"{GREEK} {CYRILLIC} {ARMENIAN}".split():
+    for pair in DRAWN_ALIKE:
         uf.union(pair[0], pair[1])
+    for lo, hi in FONTS:
+        for c in map(chr, range(lo, hi)):
+            kind, _, plain = unicodedata.decomposition(c).partition(" ")
+            if kind == "<font>" and chr(int(plain, 16)).isalpha():
+                uf.union(c, chr(int(plain, 16)))
+    for c in map(chr, range(*NUMERALS)):
+        uf.union(c, unicodedata.normalize("NFKC", c))
     for group in (BLANKS, HYPHENS):
         for x in group[1:]:
             uf.union(group[0], x)
@@ -80,7 +98,7 @@ def look_alike_classes() -> tuple[tuple[str, ...], ...]:
             plain = unicodedata.normalize("NFKC", c)
             if plain != c and not plain.isspace():
                 uf.union(c, plain)
-    latin = {p[0]: p[1] for p in f"{GREEK} {CYRILLIC} {ARMENIAN}".split()}
+    latin = {p[0]: p[1] for p in DRAWN_ALIKE}
     for lo, hi in COMPOSED:
         for c in map(chr, range(lo, hi)):
             parts = unicodedata.normalize("NFD", c)
@@ -108,39 +126,46 @@ class Rewriter:
         counts = counts or {}
         to = {}
         for members in look_alike_classes():
+            # texts are composed before they are searched, so only composed members can be met or stand for the class
+            members = [x for x in members if unicodedata.is_normalized("NFC", x)]
             best = "" if "" in members else min(members, key=lambda x: (-counts.get(x, 0), preferred(x)))
             to |= {x: best for x in members if x != best}
-        # a representative may itself hold parts that another class rewrites
         self.machine = ahocorasick.Automaton()
         for x, y in to.items():
             self.machine.add_word(x, (len(x), y))
         self.machine.make_automaton()
-        single = {x for x in to if len(x) == 1}
-        longer = {x for x in to if len(x) > 1}
-        marks = {x[-1] for x in longer if unicodedata.combining(x[-1])}
-        plain = sorted(x for x in longer if not unicodedata.combining(x[-1]))
-        self.odd = re.compile("|".join(["[" + "".join(map(re.escape, sorted(single | marks))) + "]", *map(re.escape, plain)]))
+        # a quick look for what may be rewritten: single characters, marks that stay alone, other strings
+        marks = {x[-1] for x in to if len(x) > 1 and unicodedata.combining(x[-1])}
+        single = sorted({x for x in to if len(x) == 1} | marks)
+        longer = sorted(x for x in to if len(x) > 1 and x[-1] not in marks)
+        near, far = ([x for x in single if (x > "\uffff") is k] for k in (False, True))
+        self.looks = [re.compile("|".join(["[" + "".join(map(re.escape, near)) + "]", *map(re.escape, longer)]))]
+        if far:  # a class with characters of both kinds is searched one by one, a range is not
+            self.looks.append(re.compile(f"[{far[0]}-{far[-1]}]"))
+
+    def odd(self, text: str) -> bool:
+        return any(x.search(text) for x in self.looks)
 
     def __call__(self, text: str) -> str:
-        if text.isascii() and not self.rewrites_ascii or not self.odd.search(text):
+        if text.isascii() and not self.rewrites_ascii:
             return text
-        for _ in range(4):
+        text = unicodedata.normalize("NFC", text)
+        for _ in range(MOST_PASSES):
+            if not self.odd(text):
+                return text
             out, done = [], 0
             for end, (n, to) in self.machine.iter_long(text):
-                start = end + 1 - n
-                out += (text[done:start], to)
+                out += (text[done : end + 1 - n], to)
                 done = end + 1
-            if not done:
-                return text
-            new = "".join(out) + text[done:]
+            new = unicodedata.normalize("NFC", "".join(out) + text[done:])
             if new == text:
-                return new
+                return text
             text = new
-        return text
+        raise RuntimeError("the classes of look-alikes do not settle")
 
     @functools.cached_property
     def rewrites_ascii(self) -> bool:
-        return bool(self.odd.search("".join(map(chr, range(128)))))
+        return self.odd("".join(map(chr, range(128))))
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

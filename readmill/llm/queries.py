@@ -75,9 +75,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def folded_sql(column: str) -> str:
+    """A text in one form per look-alike class, by composition, replacements of ligatures and a translation of single characters."""
+    to = {}
+    for members in lookalike.look_alike_classes():
+        best = "" if "" in members else min(members, key=lookalike.preferred)
+        to |= {x: best for x in members if len(x) == 1 and x != best}
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    # a translation deletes what has no counterpart, so those come last
+    one = sorted((x for x in to if len(to[x]) < 2), key=lambda x: (to[x] == "", x))
+    out = f"nfc_normalize({column})"
+    for x in sorted(x for x in to if len(to[x]) > 1):
+        out = f"replace({out}, {quoted(x)}, {quoted(to[x])})"
+    for _ in range(2):
+        out = f"nfc_normalize(translate({out}, {quoted(''.join(one))}, {quoted(''.join(to[x] for x in one))}))"
+    return out
+
+
 def oracle_sql() -> dict[str, str]:
     """Twins of the queries that SQL can work off on whole tables; the others are tested against brute force."""
+    looks = f"f as (select doc_id, text, {folded_sql('text')} as look from documents where text is not null)"
     return {
+        "p10_found": f"""with {looks} select a.doc_id as doc_id_a, b.doc_id as doc_id_b from f a join f b on a.look = b.look and a.text <> b.text and a.doc_id < b.doc_id""",
+        "p10_members": f"""with {looks} select doc_id, min(doc_id) over (partition by text) as wording, min(doc_id) over (partition by look) as look_class from f""",
+        "p9_found": f"""with d as (select doc_id, regexp_extract_all(lower({folded_sql("text")}), '[\\pL\\pN]+') as w from documents),
+i as (select item_id, regexp_extract_all(lower({folded_sql("item_text")}), '[\\pL\\pN]+') as w from eval_items),
+x as (select doc_id, unnest(list_transform(range(1, len(w) - 11), lambda k: array_to_string(w[k:k + 12], ' '))) as g from d),
+y as (select item_id, unnest(list_transform(range(1, len(w) - 11), lambda k: array_to_string(w[k:k + 12], ' '))) as g from i)
+select distinct doc_id, item_id from x join y using (g)""",
         "p1_found": """with r as (select distinct read_id, sequence as s from fastq_reads where length(sequence) >= 40),
 k as (select read_id, a, substr(s, a, 40) as x from (select read_id, s, cast(unnest(range(1, length(s) - 38)) as int) as a from r)),
 sh as (select x from k group by x having min(read_id) < max(read_id)),

@@ -453,7 +453,14 @@ def test_rewriting():
         assert f(a) != f(b)
     assert f("е​́") == "é" and f("") == "" and f("plain") == "plain"
     for members in lookalike.look_alike_classes():
+        assert all(f(f(x)) == f(x) for x in members)
         assert len({f(x) for x in members}) == 1, members
+    # any order and composition of marks, Hangul, other alphabets and fonts
+    for same in (
+        "\u1ead \u00e2\u0323 \u1ea1\u0302 a\u0302\u0323 a\u0323\u0302 \u0430\u0302\u0323 a\u200b\u0302\u0323", "q\u0323\u0307 q\u0307\u0323", "\ud55c \u1112\u1161\u11ab",
+        "A \u13aa \ua4ee \u2c80 \uff21 \U0001d400 \u0391 \u0410", "I \u2160 \u0406", "O \u2c9e \u0555", "v \u0475 \u03bd", "n \u0578", "p \u03c1 \u0440", "a \u0251", "II \u2161",
+    ):
+        assert len({f(x) for x in same.split()}) == 1, same
     # the most frequent member represents its class
     g = lookalike.Rewriter({"а": 9, "a": 1})
     assert g("cаt") == g("cat") and "а" in g("cat")

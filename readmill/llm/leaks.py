@@ -1,24 +1,26 @@
 """Evaluation passages inside corpus texts: q-gram lemma filtering and banded alignment.
 
-Both sides are folded (look-alike characters, case) and written as a stream of words with single blanks.  A
-passage of `words` words has a least length n in the items; if it stands in a document with at most k edits,
-the two streams share at least n + 1 - q - k q q-grams along nearly one diagonal.  Shared q-grams are counted in
-overlapping diagonal bands per (document, item), regions that reach the bound are kept, and in those the words
-are aligned within the band.  The items are a stated query set: their q-gram index is sent to the
-workers only after its size was checked; a larger set is worked off in slices of that size.
+Both sides are folded (look-alike characters, case) and written as a stream of words with single blanks.  A run of
+`words` equal words with at most k edited ones among them falls into k + 1 stretches at most, of which one has words / (k + 1) equal words in a
+row.  Its n characters stand on one diagonal and give n + 1 - q shared q-grams, however long the edited words are.
+Shared q-grams are counted in overlapping diagonal bands per (document, item), regions that reach the bound are kept, and
+round those the words are aligned within the band.  q is 16, or less for an item whose words are so short that the bound would
+be lost.  The items are a stated query set: their q-gram index is sent to the workers only after its size was checked; a
+larger set is worked off in slices of that size.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readmill.functions.flat import mix
+from readmill.functions.flat import doubled_names, symbol_values
 from readmill.llm.lookalike import rewriter_for
 
 WORD = re.compile(r"[^\W_]+")
@@ -55,10 +57,12 @@ def stream(folded: str) -> np.ndarray:
     return cls[keep]
 
 
-def grams(s: np.ndarray) -> np.ndarray:
-    """A 64-bit name of the 16 bytes at each position."""
-    if len(s) < 16:
+def grams(s: np.ndarray, q: int = 16) -> np.ndarray:
+    """A 64-bit name of the q bytes at each position."""
+    if len(s) < q:
         return np.zeros(0, np.uint64)
+    if q != 16:
+        return doubled_names(symbol_values(s), q)
     w = s.astype(np.uint16)
     w = w[:-1] | w[1:] << np.uint16(8)
     w = w.astype(np.uint32)
@@ -68,51 +72,62 @@ def grams(s: np.ndarray) -> np.ndarray:
     return w[:-8] * np.uint64(0x9E3779B97F4A7C15) + (w[8:] ^ (w[8:] >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-class Index:
-    """The q-grams of the items with their places."""
-
-    def __init__(self, items: list[tuple[int, str]], words: int, edits: int):
-        self.q = 16
-        keys, owner, place = [], [], []
-        self.words, self.bound, self.ids, self.edits, self.least = [], [], [], edits, words
-        for key, text in items:
-            folded = fold(text)
-            own = WORD.findall(folded)
-            if len(own) < words:
-                continue
-            g = grams(stream(folded))
+class Item(NamedTuple):
+    id: int
+    words: list[str]
+    stream: np.ndarray
+    ends: np.ndarray  # where each word begins in the stream, and one behind the last
+    shortest: int  # least length of a stretch that a run must hold unedited
+
+
+def prepared(items: list[tuple[int, str]], words: int, edits: int) -> list[Item]:
+    """Items of at least `words` words."""
+    row = -(-words // (edits + 1))
+    out = []
+    for key, text in items:
+        folded = fold(text)
+        own = WORD.findall(folded)
+        if len(own) >= words:
             ends = np.cumsum([0, *(len(w) + 1 for w in own)])
-            shortest = int((ends[words:] - ends[:-words]).min()) - 1
-            keys.append(g)
-            owner.append(np.full(len(g), len(self.ids), np.int64))
-            place.append(np.arange(len(g)))
-            self.ids.append(key)
-            self.words.append(own)
-            self.bound.append(max(1, shortest + 1 - self.q - edits * self.q))
+            out.append(Item(key, own, stream(folded).copy(), ends, int((ends[row:] - ends[:-row]).min()) - 1))
+    return out
+
+
+class Index:
+    """The q-grams of items with their places."""
+
+    def __init__(self, items: list[Item], q: int, words: int, edits: int):
+        self.q, self.edits, self.least, self.items = q, edits, words, items
+        #: a band is twice as wide, two bands overlap by half; width is the same in words of one letter
+        self.half = 16
+        self.width = self.half // 2 + 2 + edits
+        self.bound = np.array([x.shortest + 1 - q for x in items], np.int64)
+        each = []
+        for x in items:
+            # the stream may begin with a blank
+            lead = int(len(x.stream) > 0 and x.stream[0] == 32)
+            each.append(grams(x.stream[lead:], q))
         empty = np.zeros(0, np.int64)
-        key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        key = np.concatenate(each) if each else np.zeros(0, np.uint64)
         order = np.argsort(key, kind="stable")
         self.key = key[order]
-        self.owner = (np.concatenate(owner) if owner else empty)[order]
-        self.place = (np.concatenate(place) if place else empty)[order]
+        self.owner = np.repeat(np.arange(len(items)), [len(g) for g in each])[order] if each else empty
+        self.place = np.concatenate([np.arange(len(g)) for g in each])[order] if each else empty
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[self.slot(self.key)] = True
-        self.bound = np.array(self.bound, np.int64)
-        # a band is as wide as an alignment may drift, two bands overlap by half
-        self.half = max(16, 2 * edits)
 
     @staticmethod
     def slot(g: np.ndarray) -> np.ndarray:
         return (g >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
     def regions(self, g: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Rows (doc, item, first place, last place in the document) of bands that reach the item's bound."""
+        """Rows (doc, item, first place, last place in the document, band) of bands that reach the item's bound."""
         lo, hi = np.searchsorted(self.key, g), np.searchsorted(self.key, g, side="right")
         n = hi - lo
         rep = np.repeat(np.arange(len(g)), n)
         src = np.repeat(lo, n) + (np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n))
         if not len(rep):
-            return np.zeros((0, 4), np.int64)
+            return np.zeros((0, 5), np.int64)
         d, item = doc[rep], self.owner[src]
         x = at[rep]
         diagonal = (x - self.place[src]) // self.half
@@ -127,17 +142,20 @@ class Index:
         count = np.diff(head, append=len(rows))
         tail = head + count - 1
         ok = count >= self.bound[rows[head, 1]]
-        return np.stack([rows[head, 0], rows[head, 1], rows[head, 3], rows[tail, 3]], 1)[ok]
+        return np.stack([rows[head, 0], rows[head, 1], rows[head, 3], rows[tail, 3], rows[head, 2]], 1)[ok]
+
+    def aligned(self, part: list[str], item: int, beside: int) -> bool:
+        """Banded alignment of words with the item's, the first of them beside its word number `beside`, give or take the width.
 
-    def aligned(self, part: list[str], item: int) -> bool:
-        """Banded alignment of a region's words with the item's: a run of `least` equal words (or with edits)."""
-        own, least, k = self.words[item], self.least, self.edits
+        True for a run of `least` equal words with at most `edits` words replaced, left out or put in between.
+        """
+        own, least, k = self.items[item].words, self.least, self.edits
         # run[j][e]: longest run that ends at the pair (part word, own word j) with e edited words
         before = [[0] * (k + 1) for _ in range(len(own) + 1)]
-        for w in part:
+        for i, w in enumerate(part):
             now = [[0] * (k + 1) for _ in range(len(own) + 1)]
-            for j, o in enumerate(own, 1):
-                if w == o:
+            for j in range(max(1, beside + i + 1 - self.width), min(len(own), beside + i + 1 + self.width) + 1):
+                if w == own[j - 1]:
                     for e in range(k + 1):
                         now[j][e] = before[j - 1][e] + 1
                         if now[j][e] >= least:
@@ -149,7 +167,15 @@ class Index:
         return False
 
 
-def _search(index: Index):
+def indexes(items: list[tuple[int, str]], words: int, edits: int) -> list[Index]:
+    """One index per q: 16, or the least stretch of the items that have shorter ones."""
+    of: dict[int, list[Item]] = {}
+    for x in prepared(items, words, edits):
+        of.setdefault(min(16, x.shortest), []).append(x)
+    return [Index(x, q, words, edits) for q, x in sorted(of.items())]
+
+
+def _search(found_by: list[Index]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_pylist()
@@ -161,7 +187,7 @@ def _search(index: Index):
                 while hi < len(texts) and (hi == lo or size + len(texts[hi]) < 1_000_000):
                     size += len(texts[hi])
                     hi += 1
-                found += _search_block(index, ids[lo:hi], texts[lo:hi])
+                found += _search_block(found_by, ids[lo:hi], texts[lo:hi])
                 lo = hi
             yield pa.RecordBatch.from_arrays(
                 [pa.array([d for d, _ in found], pa.int64()), pa.array([i for _, i in found], pa.int64())],
@@ -171,28 +197,37 @@ def _search(index: Index):
     return run
 
 
-def _search_block(index: Index, ids: list[int], texts: list[str]) -> list[tuple[int, int]]:
+def _search_block(found_by: list[Index], ids: list[int], texts: list[str]) -> list[tuple[int, int]]:
     folded = [fold(t) for t in texts]
     streams = [stream(t) for t in folded]
     off = np.concatenate(([0], np.cumsum([len(s) + 1 for s in streams])))
     wall = np.full(1, 1, np.uint8)
     whole = np.concatenate([x for s in streams for x in (s, wall)])
-    g = grams(whole)
-    hit = np.flatnonzero(index.table[Index.slot(g)])
-    if not len(hit):
-        return []
-    doc = np.searchsorted(off, hit, side="right") - 1
+    words: dict[int, list[str]] = {}
     out = set()
-    for d, item, first, last in index.regions(g[hit], doc, hit - off[doc]).tolist():
-        if (ids[d], index.ids[item]) in out:
+    for index in found_by:
+        g = grams(whole, index.q)
+        hit = np.flatnonzero(index.table[Index.slot(g)])
+        if not len(hit):
             continue
-        # the region's words; filter bytes and folded text have the same words in the same order
-        s = streams[d]
-        before = int((s[:first] == 32).sum()) - 1
-        count = int((s[first : last + index.q] == 32).sum()) + 3
-        words = WORD.findall(folded[d])
-        if index.aligned(words[max(0, before) : max(0, before) + count + index.edits + 1], item):
-            out.add((ids[d], index.ids[item]))
+        doc = np.searchsorted(off, hit, side="right") - 1
+        for d, item, first, last, band in index.regions(g[hit], doc, hit - off[doc]).tolist():
+            one = index.items[item]
+            if (ids[d], one.id) in out:
+                continue
+            # filter bytes and folded text have the same words in the same order
+            s = streams[d]
+            lead = int(s[0] == 32)
+            at = int((s[lead : first + 1] == 32).sum())
+            count = int((s[first : last + index.q] == 32).sum()) + 1
+            if d not in words:
+                words[d] = WORD.findall(folded[d])
+            # a run reaches that far to both sides of a stretch
+            around = index.least + index.edits
+            begin = max(0, at - around)
+            there = int(np.searchsorted(one.ends, first - band * index.half, side="right")) - 1
+            if index.aligned(words[d][begin : at + count + around], item, there - (at - begin)):
+                out.add((ids[d], one.id))
     return sorted(out)
 
 
@@ -209,7 +244,7 @@ def leaked_items(
     """(id, item): documents whose text holds at least `words` consecutive words of an item.
 
     Words are unbroken strings of letters and digits, compared as they look and without case; with edits > 0
-    that many words of a run may differ.  Null texts and ids, and items shorter than `words` words, take no part;
+    that many words may be replaced, left out or put in between those of a run.  Null texts and ids, and items shorter than `words` words, take no part;
     rows that repeat a document or item count once.  An empty side gives no rows.
     """
     rows = (
@@ -224,7 +259,6 @@ def leaked_items(
     out = None
     for k in range(slices):
         part = rows.filter(F.expr(f"pmod(xxhash64(id), {slices}) = {k}")).orderBy("id").collect()
-        index = Index([(r.id, r.text) for r in part], words, edits)
-        found = src.mapInArrow(_search(index), "id long, item long")
+        found = src.mapInArrow(_search(indexes([(r.id, r.text) for r in part], words, edits)), "id long, item long")
         out = found if out is None else out.unionByName(found)
     return out.distinct()

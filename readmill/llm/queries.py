@@ -52,6 +52,14 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"))
 
 
+def p9_edited(spark: SparkSession, d: str) -> DataFrame:
+    """As p9_found, with one word replaced, left out or put in among the 13."""
+    out = leaks.leaked_items(
+        load(spark, d, "documents"), "doc_id", "text", load(spark, d, "eval_items"), "item_id", "item_text", 13, 1
+    )
+    return out.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     out = lookalike.look_alike_pairs(load(spark, d, "documents"), "doc_id", "text")
     return out.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
@@ -69,7 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p5_found, p5_balanced, p6_found, p7_found, p7_groups, p8_containers, p9_found, p10_found, p10_members,
+            p1_found, p5_found, p5_balanced, p6_found, p7_found, p7_groups, p8_containers, p9_found, p9_edited, p10_found, p10_members,
             p10_texts,
         )
     }

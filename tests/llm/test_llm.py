@@ -443,6 +443,42 @@ def test_leaks_with_edits(spark):
     assert leaks.leaked_items(d, "id", "text", i, "id", "text", 12, 0).count() == 0
 
 
+def longest_run(own, doc, edits):
+    """Longest run of equal words with at most that many edited ones, by the plain alignment of all words."""
+    best = 0
+    run = [[[0] * (edits + 1) for _ in range(len(own) + 1)] for _ in range(len(doc) + 1)]
+    for i, w in enumerate(doc, 1):
+        for j, o in enumerate(own, 1):
+            for e in range(edits + 1):
+                if w == o:
+                    run[i][j][e] = run[i - 1][j - 1][e] + 1
+                elif e:
+                    run[i][j][e] = max(run[i - 1][j - 1][e - 1], run[i - 1][j][e - 1], run[i][j - 1][e - 1])
+            best = max(best, *run[i][j])
+    return best
+
+
+@pytest.mark.parametrize("words, edits", [(13, 0), (12, 1), (9, 2), (5, 0), (2, 1)])
+def test_leaks_against_plain_alignment(spark, words, edits):
+    pool = ["a", "b", "of", "the", "incomprehensibilities", "court", "x1", "décision", "z", "pneumonoultramicroscopic"]
+    texts = [[R.choice(pool) + R.choice(["", "", str(R.randrange(9))]) for _ in range(R.randrange(words, 40))] for _ in range(12)] + [["a"] * 20, list("abcdefghijklmnop")]
+    docs = []
+    for own in texts * 4:
+        a = R.randrange(len(own))
+        part = own[a : a + R.randrange(words - 1, words + 6)]
+        for _ in range(R.randrange(edits + 2)):
+            i = R.randrange(len(part))
+            what = R.randrange(3)
+            part = part[:i] + ([R.choice(pool)] if what == 0 else [] if what == 1 else ["muchlongerthananyotherwordinthetext" * 2, part[i]]) + part[i + 1 :]
+            part = part or ["q"]
+        docs.append([R.choice(["y", "w8", "filler"]) for _ in range(R.randrange(20))] + part + [R.choice(["y", "w8"]) for _ in range(R.randrange(9))])
+    d = frame(spark, [(k, " ".join(x)) for k, x in enumerate(docs)], "id long, text string")
+    i = frame(spark, [(k, " ".join(x)) for k, x in enumerate(texts)], "id long, text string")
+    got = {tuple(r) for r in leaks.leaked_items(d, "id", "text", i, "id", "text", words, edits).collect()}
+    want = {(k, m) for k, x in enumerate(docs) for m, own in enumerate(texts) if len(own) >= words and longest_run(own, x, edits) >= words}
+    assert got == want and len(want) > 10
+
+
 # --- 10: look-alikes ---------------------------------------------------------------------------
 
 

@@ -150,6 +150,20 @@ def test_packed_rows(spark):
     assert [(r.pos, r.field_text) for r in known] == [(1, "x"), (2, "y;z")]
 
 
+def test_dictionary_of_the_corpus(spark):
+    rows = [(1, "'x;y'|z"), (2, 'a;"p,q""r",b'), (3, "'x;y'"), (4, None), (5, "plain; text"), (6, "5'-x;y'"), (7, '"no delimiter"')]
+    df = spark.createDataFrame(rows, "id long, value string").selectExpr("*", "1 as n")
+    got = {r.value: r.n for r in packed_fields.value_dictionary(df, F.col("value")).collect()}
+    assert got == {"'x;y'": 2, '"p,q""r"': 1}
+    assert packed_fields.bounded_values(packed_fields.value_dictionary(df, F.col("value")), 13) == ('"p,q""r"', "'x;y'")
+    assert packed_fields.bounded_values(packed_fields.value_dictionary(df, F.col("value")), 12) is None
+    fields = lambda **kw: sorted(tuple(r) for r in packed_fields.split_values(df, "id", F.col("value"), **kw).collect())
+    assert fields() == fields(dictionary_bytes=0) and (2, 2, 'p,q"r') in fields() and (1, 1, "x;y") in fields()
+    # without the automaton's places the quoted values fall apart
+    without = [r for b in packed_fields._segment((), True)(iter([df.select("id", "value").filter("value is not null").toArrow().to_batches()[0]])) for r in b.to_pylist()]
+    assert {"id": 1, "pos": 1, "field_text": "'x"} in without
+
+
 # --- scalar functions --------------------------------------------------------------------------
 
 

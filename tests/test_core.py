@@ -36,6 +36,37 @@ def test_notes(note, want):
     assert (r and (r.dimension, round(r.scale, 9), r.offset)) == want
 
 
+@pytest.mark.parametrize(
+    "note, want",
+    [
+        ("phred33", ("code", 1.0, 33)), ("Phred+64", ("code", 1.0, 64)), ("ASCII, offset 59", ("code", 1.0, 59)), ("quality = ord(c) - 64 (ascii)", ("code", 1.0, 64)),
+        ("error rate in parts per thousand", ("probability", 1e-3, None)), ("error probability x 10^3", ("probability", 1e-3, None)),
+        ("probabilities in units of 10^-6", ("probability", 1e-6, None)), ("error probability [ppm]", ("probability", 1e-6, None)),
+        ("chances of a wrong call, per mille", ("probability", 1e-3, None)), ("P(error) in %", ("probability", 0.01, None)), ("odds of a wrong call", ("odds", 1.0, None)),
+        ("-10 log10 P", ("score", 1.0, None)), ("log10 of the error probability", ("score", -10.0, None)), ("-log10(p)", ("score", 10.0, None)),
+        ("negative log10 of the error rate", ("score", 10.0, None)), ("natural log of the error probability", ("score", -10 / math.log(10), None)),
+        ("-100 × log10 p", ("score", 0.1, None)), ("decibels", ("score", 1.0, None)), ("centibels", ("bel", 0.01, None)), ("millibel", ("bel", 0.001, None)),
+        ("Phred scores multiplied by 100", ("score", 0.01, None)), ("scores × 10³", ("score", 1e-3, None)), ("quality values divided by 10", ("score", 10.0, None)),
+        ("hundredths of a score", ("score", 0.01, None)), ("scores in steps of 0.5", ("score", 0.5, None)), ("deci-Phred", ("score", 0.1, None)), ("dB", ("score", 1.0, None)),
+        ("Q-scores times ten", ("score", 0.1, None)), ("likelihood of error in per cent", ("probability", 0.01, None)), ("sequenced on lane 4, 2 runs", None), ("kept at -20 degrees", None),
+    ],
+)
+def test_notes_of_other_kinds(note, want):
+    r = units.read_note(note)
+    assert (r and (r.dimension, pytest.approx(r.scale), r.offset)) == want
+
+
+def test_units_are_confirmed_by_the_values():
+    lists = lambda least, most, whole=False: {"rows": 9, "lists": 9, "low": None, "high": None, "least": least, "most": most, "whole": whole}
+    assert units.run_unit(lists(2, 41, True), "error probabilities", None) == ("scaled", 1.0)
+    assert units.run_unit(lists(0.08, 630), "error rate in parts per thousand", None) == ("probability", 0.001)
+    assert units.run_unit(lists(-4.1, -0.2), "log10 of the error probability", None) == ("scaled", -10.0) == units.run_unit(lists(-4.1, -0.2), "", None)
+    assert units.run_unit(lists(0.0001, 1.7), "odds of a wrong call", None) == ("odds", 1.0)
+    assert units.run_unit(lists(20, 410, True), None, 33) == ("scaled", 0.1)
+    codes = lambda low, high: {"rows": 9, "lists": 0, "low": low, "high": high, "least": None, "most": None, "whole": None}
+    assert units.run_unit(codes(66, 104), None, 33) == ("code", 64.0) and units.run_unit(codes(64, 74), "phred64", 33) == ("code", 64.0)
+
+
 def test_phred_sums(spark):
     def lines(run, quals, first):
         return [(first + i, run, q) for i, q in enumerate(quals)]

@@ -38,6 +38,21 @@ def number(text: Column) -> Column:
     return F.when(text.rlike("^(0|[1-9][0-9]{0,17})$"), text.try_cast("long"))
 
 
-def layout(tag: Column) -> Column:
+def separators(tag: Column) -> Column:
     """The separators of a title in order: its template."""
-    return F.regexp_replace(tag, rf"[^{SEPARATORS}]", "")
+    return F.regexp_extract_all(tag, F.lit(rf"([{SEPARATORS}])"), F.lit(1))
+
+
+def by_template(tag: Column, template: Column) -> Column:
+    """Fields of a title cut at the separators of a template, each at its first place behind the one before; null if one is missing.
+
+    A field may hold other separators; the last field is all of the rest.
+    """
+    start = F.struct(tag.alias("rest"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc, sep):
+        at = F.instr(acc["rest"], sep)
+        field = F.array(F.substring(acc["rest"], F.lit(1), at - 1))
+        return F.when(at > 0, F.struct(F.substr(acc["rest"], at + 1).alias("rest"), F.concat(acc["out"], field).alias("out")))
+
+    return F.aggregate(template, start, step, lambda acc: F.concat(acc["out"], F.array(acc["rest"])))

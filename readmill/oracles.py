@@ -18,17 +18,18 @@ i as (select *, case when strpos('AGCTNRWSKMDVHBYXU.-', base) > 0 then strpos('A
 k as (select *, case when idx > 3 and q < 7 then q + 128 + (idx - 4) * 8 else q end as code from i),
 m as (select *, code < 128 as kept from k)"""
 )
+# titles cut step by step at the separators of the first title of their block
 _TAG = (
-    _READS
+    "recursive "
+    + _READS
     + r""",
-tk as (select read_id, block_id, tag, regexp_extract_all(tag, '([^ ._,=:/\-#\x00]*)([ ._,=:/\-#\x00]|$)') as t0 from reads where tag is not null),
-tt as (select read_id, block_id, case when regexp_matches(tag, '[ ._,=:/\-#\x00]$') or tag = '' then t0
-  when t0[-1] = '' and len(t0) > 1 then t0[:-2] else t0 end as t from tk),
-f0 as (select read_id, block_id, unnest(range(1, len(t) + 1)) as field_no, unnest(t) as token from tt),
-f as (select read_id, block_id, field_no, regexp_replace(token, '[ ._,=:/\-#\x00]$', '') as field_text,
-  regexp_extract(token, '[ ._,=:/\-#\x00]$') as sep,
-  case when regexp_matches(regexp_replace(token, '[ ._,=:/\-#\x00]$', ''), '^(0|[1-9][0-9]{0,17})$')
-    then try_cast(regexp_replace(token, '[ ._,=:/\-#\x00]$', '') as bigint) end as num from f0)"""
+tp as (select block_id, regexp_extract_all(arg_min(tag, read_id), '[ ._,=:/\-#\x00]') as seps from reads where tag is not null group by block_id),
+cut as (select read_id, block_id, seps, 0 as k, tag as rest, '' as field_text, '' as sep, true as ok from reads join tp using (block_id) where tag is not null
+  union all select read_id, block_id, seps, k + 1, substr(rest, strpos(rest, seps[k + 1]) + 1), substr(rest, 1, strpos(rest, seps[k + 1]) - 1), seps[k + 1],
+  strpos(rest, seps[k + 1]) > 0 from cut where ok and k < len(seps)),
+mx as (select block_id, not bool_and(ok) as mixed from cut group by block_id),
+f0 as (select read_id, block_id, k as field_no, field_text, sep from cut where k > 0 union all select read_id, block_id, k + 1, rest, '' from cut where k = len(seps)),
+f as (select f0.*, case when regexp_matches(field_text, '^(0|[1-9][0-9]{0,17})$') then try_cast(field_text as bigint) end as num from f0 join mx using (block_id) where not mixed)"""
 )
 _RUNS = (
     _POS
@@ -154,8 +155,12 @@ select read_id, primer, substr(sequence, 2) as rest from reads join b using (blo
     "tag_project": f"""with {_READS} select read_id, coalesce(r[1], '') || coalesce(r[3], '') as projected from
 (select read_id, regexp_extract_all(tag, '[^ ._,=:/\\-#\\x00]*(?:[ ._,=:/\\-#\\x00]|$)') as r from reads where tag is not null)
 union all select read_id, null from reads where tag is null""",
-    "tag_mixed": f"""with {_READS}, l as (select block_id, regexp_replace(tag, '[^ ._,=:/\\-#\\x00]', '', 'g') as layout from reads where tag is not null)
-select block_id, count(distinct layout) > 1 as mixed, case when count(distinct layout) > 1 then 'raw' else 'tokenised' end as title_coder from l group by block_id""",
+    "tag_mixed": f"""with {_TAG} select block_id, mixed, case when mixed then 'raw' else 'tokenised' end as title_coder from mx""",
+    "tag_value_hist": f"""with {_TAG}, h as (select block_id, field_no, num, count(*) as n from f group by all),
+g as (select block_id, field_no from f group by all having bool_and(num is not null) and count(distinct num) <= 512) select h.* from h join g using (block_id, field_no)""",
+    "tag_delta_hist": f"""with {_TAG}, d as (select block_id, field_no, num - lag(num) over (partition by block_id, field_no order by read_id) as delta from f),
+h as (select block_id, field_no, delta, count(*) as n from d where delta is not null group by all) select * from h qualify count(*) over (partition by block_id, field_no) <= 512""",
+    "tag_length_range": f"with {_READS} select block_id, min(length(tag)) as min_len, max(length(tag)) as max_len from reads group by block_id",
     "tag_field_stats": f"""with {_TAG} select block_id, field_no, count(*) as n, min(length(field_text)) as min_len, max(length(field_text)) as max_len,
 count(distinct field_text) = 1 as is_const, bool_and(num is not null) as is_num, min(num) as min_num, max(num) as max_num, count(distinct num) as n_values from f group by block_id, field_no""",
     "tag_deltas": f"""with {_TAG}, d as (select block_id, field_no, num - lag(num) over (partition by block_id, field_no order by read_id) as delta from f)
@@ -164,14 +169,23 @@ select block_id, field_no, delta, count(*) as n from d where delta is not null g
 window w as (partition by block_id, field_no order by read_id)), h as (select *, sum(nw) over (partition by block_id, field_no order by read_id rows unbounded preceding) as rn from g),
 r as (select block_id, field_no, rn, count(*) as c from h group by all), pc as (select block_id, field_no, c, unnest(range(1, (c + 255) // 256 + 1)) as k from r)
 select block_id, field_no, least(256, c - (k - 1) * 256) as piece_length, count(*) as n from pc group by all""",
+    # runs by gaps and islands: a run of r repeats is stored r // 256 times, once more if another run follows or repeats are left
     "tag_scheme": f"""with {_TAG}, d as (select *, num - lag(num) over w as delta, row_number() over w as k from f window w as (partition by block_id, field_no order by read_id)),
-e as (select *, case when k = 1 or delta <> 0 then 1 else 0 end as nv, case when k = 2 or k > 2 and delta <> lag(delta) over (partition by block_id, field_no order by read_id) then 1 else 0 end as nd from d),
-s as (select block_id, field_no, count(*) as n, max(num) - min(num) as value_range, max(delta) - min(delta) as delta_range, cast(sum(nv) as bigint) as value_runs,
-  cast(sum(nd) as bigint) as delta_runs, count(distinct num) as n_values from e group by block_id, field_no having bool_and(num is not null) and count(*) > 1)
-select block_id, field_no, value_range, delta_range, value_runs, delta_runs, case when value_range < delta_range then 'value' else 'delta' end as coding,
-case when delta_range = 0 then 'delta_const' when value_range >= delta_range and n > 1.25 * delta_runs then 'delta_rle' when n > 1.25 * value_runs then 'value_rle'
- when value_range >= delta_range then 'delta_var' else 'value_var' end as scheme, value_range + 1 <= 512 and n_values <= 512 as huffman,
-case when value_range = 0 then 0 else length(bin(value_range)) end as value_bits from s""",
+v as (select block_id, field_no, num, k, k - row_number() over (partition by block_id, field_no, num order by k) as island from d),
+vr as (select block_id, field_no, max(k) as e, count(*) - 1 as r from v group by block_id, field_no, num, island),
+vn as (select block_id, field_no, sum(r // 256 + case when e < t or r % 256 > 0 then 1 else 0 end) as value_runs from (select *, max(e) over (partition by block_id, field_no) as t from vr) group by all),
+x as (select block_id, field_no, delta, k, k - row_number() over (partition by block_id, field_no, delta order by k) as island from d where k > 1),
+xr as (select block_id, field_no, max(k) as e, count(*) - 1 as r from x group by block_id, field_no, delta, island),
+xn as (select block_id, field_no, sum(r // 256 + case when e < t or r % 256 > 0 then 1 else 0 end) as delta_runs from (select *, max(e) over (partition by block_id, field_no) as t from xr) group by all),
+s as (select block_id, field_no, count(*) as n, max(num) - min(num) as value_range, max(delta) - min(delta) as delta_range,
+  count(distinct num) as n_values, count(distinct delta) as n_deltas from d group by block_id, field_no having bool_and(num is not null) and count(*) > 1),
+c as (select s.*, cast(value_runs as bigint) as value_runs, cast(delta_runs as bigint) as delta_runs, case when value_range < delta_range then 'value' else 'delta' end as coding,
+  case when delta_range = 0 then 'delta_const' when value_range >= delta_range and n > 1.25 * delta_runs then 'delta_rle' when n > 1.25 * value_runs then 'value_rle'
+   when value_range >= delta_range then 'delta_var' else 'value_var' end as scheme from s join vn using (block_id, field_no) join xn using (block_id, field_no))
+select block_id, field_no, value_range, delta_range, value_runs, delta_runs, coding, scheme,
+scheme = 'value_var' and value_range < 512 and n_values <= 512 or scheme = 'delta_var' and delta_range < 512 and n_deltas <= 512 as huffman,
+case when least(value_range, delta_range) = 0 then 0 else length(bin(least(value_range, delta_range))) end as coded_bits,
+case when value_range = 0 then 0 else length(bin(value_range)) end as value_bits from c""",
     "tag_char_hist": f"""with {_TAG}, c as (select block_id, field_no, unnest(range(1, length(field_text) + 1)) as p, unnest(string_split(field_text, '')) as symbol from f where field_text <> '')
 select block_id, field_no, least(p, 129) as pos, symbol, count(*) as n from c group by all""",
     "tag_ham_mask": f"""with {_TAG}, c as (select block_id, field_no, unnest(range(1, length(field_text) + 1)) as pos, unnest(string_split(field_text, '')) as symbol from f where field_text <> ''),

@@ -35,7 +35,7 @@ def _fields(spark: SparkSession, d: str) -> DataFrame:
 LONG = {
     "block_stats": ("min_length", "max_length"), "quality_position_hist": ("pos",), "quality_hist": ("code",), "quality_runs": ("code",),
     "run_transitions": ("previous", "code"), "quality_context": ("part", "previous", "code"), "tag_field_stats": ("min_len", "max_len"),
-    "tag_scheme": ("value_bits",),
+    "tag_scheme": ("value_bits", "coded_bits"), "tag_length_range": ("min_len", "max_len"),
 }
 
 
@@ -384,9 +384,22 @@ def tag_field_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tag_deltas(spark: SparkSession, d: str) -> DataFrame:
+    """Deltas of each block and field without the limit of the histograms."""
     return titles.deltas(_fields(spark, d)).filter("delta is not null").groupBy("block_id", F.col("field_no").cast("long").alias("field_no"), "delta").agg(F.count("*").alias("n"))
 
 
+def tag_value_hist(spark: SparkSession, d: str) -> DataFrame:
+    return titles.value_histogram(_fields(spark, d)).withColumn("field_no", F.col("field_no").cast("long"))
+
+
+def tag_delta_hist(spark: SparkSession, d: str) -> DataFrame:
+    return titles.delta_histogram(_fields(spark, d)).withColumn("field_no", F.col("field_no").cast("long"))
+
+
+def tag_length_range(spark: SparkSession, d: str) -> DataFrame:
+    return _reads(spark, d, "block_id", "tag").groupBy("block_id").agg(F.min(F.length("tag")).alias("min_len"), F.max(F.length("tag")).alias("max_len"))
+
+
 def tag_runs(spark: SparkSession, d: str) -> DataFrame:
     out = ordered.runs(_fields(spark, d).filter("num is not null"), ["block_id", "field_no"], ["read_id"], "num", 256)
     return out.groupBy("block_id", F.col("field_no").cast("long").alias("field_no"), "piece_length").agg(F.count("*").alias("n"))
@@ -427,7 +440,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             run_transitions, run_sets, run_expand, dna_context_k3, dna_entropy_k3, quality_entropy, quality_context,
             quality_context_k2, quality_context_lossy_k3, block_codec,
             colorspace_decode, colorspace_encode, primer_strip,
-            tag_fields, tag_project, tag_mixed, tag_field_stats, tag_deltas, tag_runs, tag_delta_runs, tag_scheme, tag_char_hist, tag_ham_mask,
+            tag_fields, tag_project, tag_mixed, tag_field_stats, tag_deltas, tag_value_hist, tag_delta_hist, tag_length_range, tag_runs, tag_delta_runs, tag_scheme, tag_char_hist, tag_ham_mask,
             tag_symbol_hist,
         )
     }

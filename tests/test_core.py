@@ -280,6 +280,58 @@ def test_title_schemes(spark):
     assert titles.mixed_blocks(df.union(spark.createDataFrame([(900, 1, "@odd")], df.schema))).first().mixed
 
 
+def test_titles_by_template(spark):
+    """Fields, mixed blocks and schemes worked out by hand."""
+    rows = [
+        (1, 1, "@R.1 7:a"), (2, 1, "@R.2 8:b:c"), (3, 1, "@R.x.3 9:"),  # the first field is up to the first dot, the last one is the rest
+        (4, 2, "@R.1 7:a"), (5, 2, "@R.1 7"), (6, 2, "@R.1 7:b"),  # one title lacks the colon
+        (8, 3, "@q"), (7, 3, "@p"), (9, 3, None), (10, 4, "@z 1"), (11, 4, "@z 1/2"), (12, 4, ""),
+    ]
+    df = spark.createDataFrame(rows, "read_id long, block_id long, tag string")
+    assert {r.block_id: (r.mixed, r.title_coder) for r in titles.mixed_blocks(df).collect()} == {
+        1: (False, "tokenised"), 2: (True, "raw"), 3: (False, "tokenised"), 4: (True, "raw"),
+    }
+    got = {}
+    for r in titles.title_fields(df).orderBy("read_id", "field_no").collect():
+        got.setdefault(r.read_id, []).append((r.field_text, r.sep, r.num))
+    assert got == {
+        1: [("@R", ".", None), ("1", " ", 1), ("7", ":", 7), ("a", "", None)], 2: [("@R", ".", None), ("2", " ", 2), ("8", ":", 8), ("b:c", "", None)],
+        3: [("@R", ".", None), ("x.3", " ", None), ("9", ":", 9), ("", "", None)], 7: [("@p", "", None)], 8: [("@q", "", None)],
+    }
+    assert titles.title_fields(df.limit(0)).count() == 0 and titles.mixed_blocks(df.limit(0)).count() == 0
+
+
+def number_fields(spark, *columns):
+    rows = [(i, 1, k + 1, str(v), "", v) for k, c in enumerate(columns) for i, v in enumerate(c)]
+    return spark.createDataFrame(rows, "read_id long, block_id long, field_no int, field_text string, sep string, num long")
+
+
+def test_number_schemes_by_hand(spark):
+    n = 600
+    wide = [R.randrange(10**6) for _ in range(n)]
+    rising = [0]
+    for i in range(1, n):
+        rising.append(rising[-1] + 1000 + R.randrange(100))
+    far = [0]
+    for i in range(1, n):
+        far.append(far[-1] + 10**6 * (i % 7) ** 5 + i * i)
+    cols = ([5] * n, [i // 300 for i in range(n)], list(range(n)), wide, rising, [R.randrange(300) for _ in range(n)], [1, 2, 4, 8], far)
+    got = {r.field_no: r for r in titles.number_scheme(number_fields(spark, *cols)).collect()}
+    kinds = [(got[k].coding, got[k].scheme, got[k].huffman, got[k].coded_bits) for k in range(1, 9)]
+    assert kinds[0] == ("delta", "delta_const", False, 0) and (got[1].value_runs, got[1].delta_runs) == (3, 3)  # 599 repeats: 256, 256 and 87
+    assert kinds[1] == ("delta", "delta_rle", False, 1) and got[2].value_runs == 2 + 2  # each run of 299 repeats is stored twice
+    assert kinds[2] == ("delta", "delta_const", False, 0) and got[3].value_runs == n - 1
+    assert kinds[3] == ("value", "value_var", False, 20) and kinds[5] == ("value", "value_var", True, 9)
+    # the range of the deltas decides about the code of a field that is coded by deltas
+    assert kinds[4] == ("delta", "delta_var", True, 7) and got[5].value_range > 512
+    assert kinds[6] == ("delta", "delta_rle", False, 2) and (got[7].value_runs, got[7].delta_runs) == (3, 2)  # 4 records, 2 stored deltas: 4 / 2 is more than 1.25
+    assert kinds[7][1:3] == ("delta_var", False)
+    values = {r.num: r.n for r in titles.value_histogram(number_fields(spark, cols[1], wide)).collect()}
+    assert values == {0: 300, 1: 300}
+    steps = {(r.field_no, r.delta): r.n for r in titles.delta_histogram(number_fields(spark, cols[1], wide, list(range(n)))).collect()}
+    assert steps == {(1, 0): 598, (1, 1): 1, (3, 1): 599}
+
+
 def test_options():
     assert Options.preset(2, lossy=True).quality_order == 6 and Options.preset(1).dna_order == 6 and Options.preset(0).buffer_mb == 8
     for bad in ({"dna_level": 4}, {"quality_level": 3}, {"buffer_mb": 0}, {"quality_offset": 20}, {"threads": 65}, {"fields": (0,)}):

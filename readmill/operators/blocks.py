@@ -24,17 +24,29 @@ def one_code_per_base(df: DataFrame) -> DataFrame:
     return df.filter(F.length("sequence") == F.length("quality"))
 
 
-def dataset_type(df: DataFrame, by: str = "run_id") -> DataFrame:
-    """Inference per dataset: range of the codes, offset, colour space, repeated titles, consistency, usable."""
-    chars = F.split("quality", "")
-    second = F.substring("sequence", 2, 1).rlike("^[0-3.]$")
-    first_digit = F.substring("sequence", 1, 1).rlike("^[0-3]$")
-    rep = F.length("plus") > 1
-    return one_code_per_base(df).filter("sequence <> ''").groupBy(by).agg(
+def code_ends(quality: Column) -> tuple[Column, Column]:
+    """Smallest and largest code of a quality text."""
+    chars = F.split(quality, "")
+    return F.ascii(F.array_min(chars)), F.ascii(F.array_max(chars))
+
+
+def dataset_type(raw: DataFrame, by: str = "run_id") -> DataFrame:
+    """Inference per dataset: range of the codes, offset, colour space, repeated titles, consistency, usable.
+
+    raw may hold reads again: what a read adds is made narrow first, then each read counts once.
+    """
+    low, high = code_ends(F.col("quality"))
+    own = one_code_per_base(raw).filter("sequence <> ''").select(
+        "read_id", by, low.alias("_low"), high.alias("_high"),
+        F.substring("sequence", 2, 1).rlike("^[0-3.]$").alias("_second"), F.substring("sequence", 1, 1).rlike("^[0-3]$").alias("_digit"),
+        (F.length("plus") > 1).alias("_rep"),
+    )
+    rep, second = F.col("_rep"), F.col("_second")
+    return once_per_id(own).groupBy(by).agg(
         F.count("*").alias("n_records"),
-        F.min(F.ascii(F.array_min(chars))).alias("min_code"),
-        F.max(F.ascii(F.array_max(chars))).alias("max_code"),
-        F.bool_and(second & ~first_digit).alias("color_space"),
+        F.min("_low").alias("min_code"),
+        F.max("_high").alias("max_code"),
+        F.bool_and(second & ~F.col("_digit")).alias("color_space"),
         F.bool_and(rep).alias("plus_repetition"),
         ((F.bool_and(rep) == F.bool_or(rep)) & (F.bool_and(second) == F.bool_or(second))).alias("consistent"),
     ).withColumn("quality_offset", B.offset_from_range(F.col("min_code"), F.col("max_code"))).withColumn(
@@ -42,20 +54,26 @@ def dataset_type(df: DataFrame, by: str = "run_id") -> DataFrame:
     )
 
 
-def positions(df: DataFrame, *keep: str) -> DataFrame:
-    """One row per base: read_id, block_id, pos (1-based), base, q in the unit of the run, and the kept columns.
+def with_offset(df: DataFrame, raw: DataFrame | None = None) -> DataFrame:
+    """Reads with one quality character per base and the `offset` of their run, inferred from the codes of raw (df itself if not given).
 
-    Only reads with one quality character per base have positions; the offset of a run is inferred from its codes.
+    A range is the same with repeated reads, so it is taken from the scan without an exchange of texts.
     """
-    own = one_code_per_base(df)
-    chars = F.split("quality", "")
-    offsets = own.filter("quality <> ''").groupBy("run_id").agg(
-        B.offset_from_range(F.min(F.ascii(F.array_min(chars))), F.max(F.ascii(F.array_max(chars)))).alias("offset")
+    low, high = code_ends(F.col("quality"))
+    offsets = one_code_per_base(df if raw is None else raw).filter("quality <> ''").groupBy("run_id").agg(
+        B.offset_from_range(F.min(low), F.max(high)).alias("offset")
     )
-    both = F.arrays_zip(F.split("sequence", "").alias("base"), chars.alias("code"))
+    return one_code_per_base(df).filter("sequence <> ''").join(offsets, "run_id")
+
+
+def positions(df: DataFrame, *keep: str, raw: DataFrame | None = None) -> DataFrame:
+    """One row per base: read_id, block_id, pos (1-based), base, q in the unit of the run, and the kept columns.
+
+    Only reads with one quality character per base have positions; see with_offset.
+    """
+    both = F.arrays_zip(F.split("sequence", "").alias("base"), F.split("quality", "").alias("code"))
     return (
-        own.filter("sequence <> ''")
-        .join(offsets, "run_id")
+        with_offset(df, raw)
         .select("read_id", "block_id", *keep, "offset", F.length("sequence").alias("n"), F.posexplode(both).alias("p0", "x"))
         .select(
             "read_id", "block_id", *keep, "n", (F.col("p0") + 1).alias("pos"), F.col("x.base").alias("base"),
@@ -64,6 +82,51 @@ def positions(df: DataFrame, *keep: str) -> DataFrame:
     )
 
 
+def plain_reads(df: DataFrame) -> Column:
+    """True for reads of A, G, C and T only with a known offset: their codes are their qualities, so texts can be worked on as a whole."""
+    return F.coalesce(~F.col("sequence").rlike("[^AGCT]") & F.col("offset").isNotNull(), F.lit(False))
+
+
+def _codes() -> Column:
+    """The quality codes of a read after the ambiguity transfer, as an array."""
+    return F.zip_with(F.split("sequence", ""), F.split("quality", ""), lambda b, c: B.transferred(B.base_index(b), B.score(c, F.col("offset"))))
+
+
+def read_lengths(df: DataFrame) -> DataFrame:
+    """Reads with an offset, and per read: raw (number of codes), cut (place of the last code that is not 2, at least 1), runs, last (its last code)."""
+    plain, quality = plain_reads(df), F.col("quality")
+    codes = F.when(~plain, _codes())
+    n = F.size(codes)
+    turns = F.zip_with(F.slice(codes, F.lit(1), n - 1), F.slice(codes, F.lit(2), n - 1), lambda a, b: F.coalesce(a != b, F.lit(True)).cast("int"))
+    cut = F.coalesce(F.array_max(F.transform(codes, lambda c, i: F.when(c != 2, i + 1))), F.lit(1))
+    tail = F.chr((F.col("offset") + 2).cast("long"))
+    return df.select(
+        "*", F.length("quality").alias("raw"),
+        F.when(plain, F.greatest(F.length(F.rtrim(quality, tail)), F.lit(1))).otherwise(cut).alias("cut"),
+        F.when(plain, F.length(F.regexp_replace(quality, r"(.)\1+", "$1"))).otherwise(F.aggregate(turns, F.lit(1), lambda t, x: t + x)).alias("runs"),
+        F.when(plain, B.score(F.substring(quality, -1, 1), F.col("offset"))).otherwise(F.element_at(codes, -1)).alias("last"),
+    )
+
+
+def lossy_texts(df: DataFrame) -> DataFrame:
+    """Reads with an offset as they come back from lossy storage: lossy_sequence, lossy_quality (offset 33)."""
+    both = F.arrays_zip(F.split("sequence", "").alias("b"), F.split("quality", "").alias("c"))
+    ambiguous = lambda x: B.base_index(x["b"]) > 3
+    stored = lambda q: B.lossy_score(F.greatest(B.lossy_bin(q), F.lit(1)))
+    seq = F.array_join(F.transform(both, lambda x: F.when(ambiguous(x), "N").otherwise(B.index_base(B.base_index(x["b"])))), "")
+    qual = F.array_join(F.transform(both, lambda x: B.symbol(F.when(ambiguous(x), 0).otherwise(stored(B.score(x["c"], F.col("offset")))), 33)), "")
+    whole, plain = F.lit(None).cast("string"), plain_reads(df)
+    for o in (33, 59, 64):
+        fits = plain & (F.col("offset") == o) & F.col("quality").rlike(rf"^[\x{o:02x}-\x{o + 63:02x}]*$")
+        to = [max((v for low, v in B.LOSSY_BINS if low <= max(q, 2))) for q in range(64)]
+        whole = F.when(fits, F.translate("quality", "".join(map(chr, range(o, o + 64))), "".join(chr(33 + v) for v in to))).otherwise(whole)
+    out = df.withColumn("_whole", whole)
+    return out.select(
+        *df.columns, F.when(F.col("_whole").isNotNull(), F.col("sequence")).otherwise(seq).alias("lossy_sequence"),
+        F.coalesce("_whole", qual).alias("lossy_quality"),
+    )
+
+
 def with_transfer(pos: DataFrame) -> DataFrame:
     """Adds the base's index and the quality code after the ambiguity transfer; `kept` says if the base stays."""
     idx = B.base_index(F.col("base"))
@@ -75,16 +138,12 @@ def histogram(df: DataFrame, keys: Iterable[str], name: str = "n") -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias(name))
 
 
-def quality_lengths(pos: DataFrame) -> DataFrame:
-    """Per block: number of codes, of codes before the tail of 2s, of runs within reads; and the chosen scheme."""
-    w = W.partitionBy("read_id").orderBy("pos")
-    flagged = pos.withColumn("starts", F.coalesce(F.col("code") != F.lag("code").over(w), F.lit(True)))
-    per_read = flagged.groupBy("block_id", "read_id").agg(
-        F.count("*").alias("raw"),
-        F.coalesce(F.max(F.when(F.col("code") != 2, F.col("pos"))), F.lit(1)).alias("cut"),
-        F.sum(F.col("starts").cast("int")).alias("runs"),
-        F.max_by("code", "pos").alias("last"),
-    )
+def quality_lengths(df: DataFrame) -> DataFrame:
+    """Per block: number of codes, of codes before the tail of 2s, of runs within reads; and the chosen scheme.
+
+    df: reads with an offset; one that is there again counts once.  The numbers of a read come from its texts, only they are exchanged.
+    """
+    per_read = once_per_id(read_lengths(df).select("read_id", "block_id", "raw", "cut", "runs", "last"))
     out = per_read.groupBy("block_id").agg(
         F.sum("raw").alias("raw_len"),
         F.sum(F.col("cut") - 1).alias("th_len"),
@@ -100,26 +159,41 @@ def quality_lengths(pos: DataFrame) -> DataFrame:
     return out.withColumn("scheme", scheme)
 
 
-def context_counts(pos: DataFrame, k: int) -> DataFrame:
-    """Order-k base contexts per block over the bases that stay, across reads; before the first base stand As."""
-    w = W.partitionBy("block_id").orderBy("read_id", "pos")
-    kept = pos.filter("kept and idx is not null")
-    ctx = F.concat(*[F.coalesce(F.lag("base", i).over(w), F.lit("A")) for i in range(k, 0, -1)])
-    return histogram(kept.select("block_id", ctx.alias("context"), "base"), ["block_id", "context", "base"])
+def context_counts(df: DataFrame, k: int) -> DataFrame:
+    """(block_id, context, base, n): order-k base contexts over the bases that stay in a block, across its reads; before the first base stand As.
+
+    df: reads with an offset.  The bases that stay are put together per read and then per block, so no row per base is exchanged.
+    """
+    stays = F.zip_with(
+        F.split("sequence", ""), F.split("quality", ""),
+        lambda b, c: F.when(B.transferred(B.base_index(b), B.score(c, F.col("offset"))) < 128, b),
+    )
+    kept = df.select("read_id", "block_id", F.array_join(F.filter(stays, lambda b: B.base_index(b).isNotNull()), "").alias("kept"))
+    line = kept.groupBy("block_id").agg(F.expr("listagg(kept, '') within group (order by read_id)").alias("line"))
+    # a place in bytes is found at once, one in characters only by going through the text
+    padded = line.filter("line <> ''").withColumn("bytes", F.concat(F.lit("A" * k), F.col("line")).cast("binary"))
+    words = F.transform(F.sequence(F.lit(1), F.length("line")), lambda i: F.substring("bytes", i, F.lit(k + 1)))
+    each = padded.select("block_id", F.explode(words).alias("word")).select("block_id", F.col("word").cast("string").alias("word"))
+    return histogram(each.select("block_id", F.substring("word", 1, k).alias("context"), F.substring("word", k + 1, 1).alias("base")), ["block_id", "context", "base"])
 
 
-def quality_contexts(codes: DataFrame, order: int, parts: int = 8, lossy: bool = False) -> DataFrame:
+def quality_contexts(df: DataFrame, order: int, parts: int = 8, lossy: bool = False) -> DataFrame:
     """(part, context, code, n): counts of a code by the `order` codes before it in its read, joined by commas, and its part of the read.
 
-    Before the first code stand 0s.  `lossy` counts the 8 symbols of lossy storage in place of the codes: 0 for an
-    ambiguous base, 1 to 7 otherwise.
+    df: reads with an offset.  Before the first code stand 0s.  `lossy` counts the 8 symbols of lossy storage in place of the codes: 0 for an
+    ambiguous base, 1 to 7 otherwise.  The contexts of a read come from its array and are counted before anything is exchanged.
     """
-    w = W.partitionBy("read_id").orderBy("pos")
-    symbol = F.when(F.col("idx") > 3, 0).otherwise(F.greatest(B.lossy_bin(F.col("q")), F.lit(1))) if lossy else F.col("code")
-    c = codes.withColumn("code", symbol.cast("int"))
-    before = [F.coalesce(F.lag("code", i).over(w), F.lit(0)) for i in range(order, 0, -1)]
-    c = c.withColumn("context", F.concat_ws(",", *[x.cast("string") for x in before]))
-    return histogram(c.withColumn("part", B.position_context(F.col("pos"), F.col("n"), parts)), ["part", "context", "code"])
+    def symbol(b: Column, c: Column) -> Column:
+        q, idx = B.score(c, F.col("offset")), B.base_index(b)
+        code = F.when(idx > 3, 0).otherwise(F.greatest(B.lossy_bin(q), F.lit(1))) if lossy else B.transferred(idx, q)
+        return code.cast("int")
+
+    codes = df.select(F.zip_with(F.split("sequence", ""), F.split("quality", ""), symbol).alias("codes"), F.length("sequence").alias("n"))
+    words = F.concat(F.array_repeat(F.lit(0), order), F.col("codes"))
+    each = codes.withColumn("words", words.cast("array<string>")).select("n", "words", F.posexplode("codes").alias("p0", "code"))
+    context = F.array_join(F.slice("words", F.col("p0") + 1, order), ",")
+    part = B.position_context(F.col("p0") + 1, F.col("n"), parts)
+    return histogram(each.select(part.alias("part"), context.alias("context"), "code"), ["part", "context", "code"])
 
 
 def entropy_bits(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame:

@@ -41,13 +41,23 @@ wh as (select block_id, run_no, any_value(code) as code, count(*) as run_length
 pc as (select *, least(255, run_length - (piece_no - 1) * 255) as piece_length from
   (select *, unnest(range(1, (run_length + 254) // 255 + 1)) as piece_no from wh))"""
 )
-_K3 = (
-    _POS
-    + """,
-kb as (select *, coalesce(lag(base, 3) over w, 'A') || coalesce(lag(base, 2) over w, 'A') || coalesce(lag(base, 1) over w, 'A') as context
-  from m where kept and idx is not null window w as (partition by block_id order by read_id, pos)),
+
+
+def _context(k: int) -> str:
+    """Counts of the bases that stay in a block by the k bases before them."""
+    before = " || ".join(f"coalesce(lag(base, {i}) over w, 'A')" for i in range(k, 0, -1))
+    return f"""{_POS},
+kb as (select *, {before} as context from m where kept and idx is not null window w as (partition by block_id order by read_id, pos)),
 kc as (select block_id, context, base, count(*) as n from kb group by all)"""
-)
+
+
+def _quality_context(k: int, code: str) -> str:
+    before = " || ',' || ".join(f"cast(coalesce(lag(x, {i}) over w, 0) as varchar)" for i in range(k, 0, -1))
+    return f"""with {_POS}, y as (select *, {code} as x from m),
+c as (select {before} as context, x as code, (pos - 1) * 8 // n as part from y window w as (partition by read_id order by pos))
+select part, context, cast(code as bigint) as code, count(*) as n from c group by all"""
+
+
 _LEN = (
     _POS
     + """,
@@ -88,9 +98,11 @@ count(*) as n from reads group by all""",
     "fastq_text": f"""with {_READS} select read_id, case when starts_with(tag, '@') then tag else '@' || tag end || chr(10) || sequence || chr(10) || plus || chr(10) || quality
 as record_text from reads""",
     "record_bytes": f"with {_READS} select read_id, {_BYTES} as rec_bytes from reads",
-    "block_assemble": f"""with {_READS}, b as (select read_id, run_id, {_BYTES} as rec_bytes from reads where tag is not null and sequence is not null and plus is not null and quality is not null),
-a as (select *, coalesce(sum(rec_bytes) over (partition by run_id order by read_id rows between unbounded preceding and 1 preceding), 0) // 65536 as part from b)
-select run_id, cast(part as bigint) as part, count(*) as n, cast(sum(rec_bytes) as bigint) as part_bytes from a group by all""",
+    "block_assemble": f"""with recursive {_READS}, b as (select read_id, run_id, {_BYTES} as rec_bytes from reads where tag is not null and sequence is not null and plus is not null and quality is not null),
+o as (select *, row_number() over (partition by run_id order by read_id) as k from b),
+a as (select run_id, k, rec_bytes, rec_bytes as size, cast(0 as bigint) as part from o where k = 1 union all select o.run_id, o.k, o.rec_bytes,
+  case when a.size > 65536 then o.rec_bytes else a.size + o.rec_bytes end, case when a.size > 65536 then a.part + 1 else a.part end from a join o on o.run_id = a.run_id and o.k = a.k + 1)
+select run_id, part, count(*) as n, cast(sum(rec_bytes) as bigint) as part_bytes from a group by all""",
     "chunk_records": """with l as (select chunk_id, string_split(rtrim(replace(chunk_text, chr(13) || chr(10), chr(10)), chr(10)), chr(10)) as x from fastq_chunks),
 r as (select chunk_id, x, unnest(range(1, len(x) // 4 + 1)) as record_no from l)
 select chunk_id, record_no, x[4 * record_no - 3] as tag, x[4 * record_no - 2] as sequence, x[4 * record_no - 1] as plus, x[4 * record_no] as quality,
@@ -140,8 +152,14 @@ case when same and (rle_len = 0 or raw_len / rle_len > 1.175) then 'positional'
 select block_id, previous, code, count(*) as n from t group by all""",
     "run_expand": f"""with {_POS}, o as (select block_id, row_number() over (partition by block_id order by read_id, pos) as ordinal, code from m)
 select block_id, count(*) as n, cast(sum(ordinal * code) as bigint) as weighted from o group by block_id""",
-    "dna_context_k3": f"with {_K3} select * from kc",
-    "dna_entropy_k3": f"""with {_K3}, t as (select *, sum(n) over (partition by block_id, context) as tt from kc)
+    "dna_context_k1": f"with {_context(1)} select * from kc",
+    "dna_context_k3": f"with {_context(3)} select * from kc",
+    "dna_context_k9": f"with {_context(9)} select * from kc",
+    "quality_context_k2": _quality_context(2, "code"),
+    "quality_context_lossy_k3": _quality_context(
+        3, "case when idx > 3 then 0 when q >= 40 then 7 when q >= 35 then 6 when q >= 30 then 5 when q >= 25 then 4 when q >= 20 then 3 when q >= 10 then 2 else 1 end"
+    ),
+    "dna_entropy_k3": f"""with {_context(3)}, t as (select *, sum(n) over (partition by block_id, context) as tt from kc)
 select block_id, round(sum(-n * log2(n / tt)), 3) as bits, cast(sum(n) as bigint) as symbols from t group by block_id""",
     "quality_entropy": f"""with {_POS}, h as (select block_id, pos, code, count(*) as n from m group by all), t as (select *, sum(n) over (partition by block_id, pos) as tt from h)
 select block_id, round(sum(-n * log2(n / tt)), 3) as bits, cast(sum(n) as bigint) as symbols from t group by block_id""",

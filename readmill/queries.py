@@ -5,28 +5,48 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from readmill.functions import bases as B
 from readmill.functions import tags as T
 from readmill.operators import blocks, codecs, ordered, packed_fields, rejects, titles, units
-from readmill.plans.runtime import load
+from readmill.plans.runtime import load, once_per_id
+
+
+def _raw(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "fastq_reads")
 
 
 def _reads(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    return blocks.reads(load(spark, d, "fastq_reads"), *columns)
+    """Reads once each; texts go through an exchange, so operators with a narrow result per read use _narrow."""
+    return blocks.reads(_raw(spark, d), *columns)
+
+
+def _narrow(spark: SparkSession, d: str, **columns: Column) -> DataFrame:
+    """(read_id, columns) of every read once: the columns are computed on the scan, only they are exchanged."""
+    return once_per_id(_raw(spark, d).select("read_id", *(c.alias(k) for k, c in columns.items())))
+
+
+def _offset_reads(spark: SparkSession, d: str, once: bool = True) -> DataFrame:
+    """Reads with one code per base and the offset of their run; once each, or as they are scanned."""
+    df = _reads(spark, d, "block_id", "run_id", "sequence", "quality") if once else _raw(spark, d).select("read_id", "block_id", "run_id", "sequence", "quality")
+    return blocks.with_offset(df, _raw(spark, d))
 
 
 def _positions(spark: SparkSession, d: str, *keep: str) -> DataFrame:
-    return blocks.positions(_reads(spark, d, "block_id", "run_id", "sequence", "quality"), *keep)
+    return blocks.positions(_reads(spark, d, "block_id", "run_id", "sequence", "quality"), *keep, raw=_raw(spark, d))
 
 
 def _codes(spark: SparkSession, d: str) -> DataFrame:
     return blocks.with_transfer(_positions(spark, d))
 
 
+def _parts() -> list[Column]:
+    return [F.col(c) for c in ("tag", "sequence", "plus", "quality")]
+
+
 def _fields(spark: SparkSession, d: str) -> DataFrame:
     return titles.title_fields(_reads(spark, d, "block_id", "tag"))
 
@@ -34,7 +54,7 @@ def _fields(spark: SparkSession, d: str) -> DataFrame:
 #: Columns that come out as 64-bit numbers, by query.
 LONG = {
     "block_stats": ("min_length", "max_length"), "quality_position_hist": ("pos",), "quality_hist": ("code",), "quality_runs": ("code",),
-    "run_transitions": ("previous", "code"), "quality_context": ("part", "previous", "code"), "tag_field_stats": ("min_len", "max_len"),
+    "run_transitions": ("previous", "code"), "quality_context": ("part", "previous", "code"), "quality_context_k2": ("part", "code"), "quality_context_lossy_k3": ("part", "code"), "tag_field_stats": ("min_len", "max_len"),
     "tag_scheme": ("value_bits", "coded_bits"), "tag_length_range": ("min_len", "max_len"),
 }
 
@@ -80,18 +100,16 @@ def reads_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quality_offset_infer(spark: SparkSession, d: str) -> DataFrame:
-    return blocks.dataset_type(_reads(spark, d, "run_id", "sequence", "plus", "quality"))
+    return blocks.dataset_type(_raw(spark, d))
 
 
 def record_validity(spark: SparkSession, d: str) -> DataFrame:
-    ok = B.valid_record(F.col("tag"), F.col("sequence"), F.col("plus"), F.col("quality"))
-    return _reads(spark, d, "run_id", "tag", "sequence", "plus", "quality").groupBy("run_id", ok.alias("valid")).agg(F.count("*").alias("n"))
+    return _narrow(spark, d, run_id=F.col("run_id"), valid=B.valid_record(*_parts())).groupBy("run_id", "valid").agg(F.count("*").alias("n"))
 
 
 def plus_regenerate(spark: SparkSession, d: str) -> DataFrame:
-    return _reads(spark, d, "tag", "plus").filter("tag is not null").select(
-        "read_id", B.plus_line(F.col("tag"), F.coalesce(F.length("plus") > 1, F.lit(False))).alias("plus_line")
-    )
+    line = B.plus_line(F.col("tag"), F.coalesce(F.length("plus") > 1, F.lit(False)))
+    return _narrow(spark, d, plus_line=F.when(F.col("tag").isNotNull(), line)).filter("plus_line is not null")
 
 
 def fastq_text(spark: SparkSession, d: str) -> DataFrame:
@@ -101,15 +119,11 @@ def fastq_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def record_bytes(spark: SparkSession, d: str) -> DataFrame:
-    return _reads(spark, d, "tag", "sequence", "plus", "quality").select(
-        "read_id", B.record_bytes(F.col("tag"), F.col("sequence"), F.col("plus"), F.col("quality")).cast("long").alias("rec_bytes")
-    )
+    return _narrow(spark, d, rec_bytes=B.record_bytes(*_parts()).cast("long"))
 
 
 def block_assemble(spark: SparkSession, d: str) -> DataFrame:
-    r = _reads(spark, d, "run_id", "tag", "sequence", "plus", "quality").withColumn(
-        "rec_bytes", B.record_bytes(F.col("tag"), F.col("sequence"), F.col("plus"), F.col("quality"))
-    )
+    r = _narrow(spark, d, run_id=F.col("run_id"), rec_bytes=B.record_bytes(*_parts()))
     out = ordered.assemble(r.filter("rec_bytes is not null"), 65536, "run_id")
     return out.groupBy("run_id", "part").agg(F.count("*").alias("n"), F.sum("rec_bytes").alias("part_bytes"))
 
@@ -133,8 +147,9 @@ def fastq_scan_damaged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return _reads(spark, d, "run_id", "tag", "sequence", "quality").groupBy("run_id").agg(
-        *(F.sum(F.octet_length(c)).alias(f"{c}_bytes") for c in ("tag", "sequence", "quality"))
+    names = ("tag", "sequence", "quality")
+    return _narrow(spark, d, run_id=F.col("run_id"), **{c: F.octet_length(c) for c in names}).groupBy("run_id").agg(
+        *(F.sum(c).alias(f"{c}_bytes") for c in names)
     )
 
 
@@ -142,24 +157,25 @@ def stream_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def block_stats(spark: SparkSession, d: str) -> DataFrame:
-    r = _reads(spark, d, "block_id", "tag", "sequence", "plus", "quality")
-    size = B.record_bytes(F.col("tag"), F.col("sequence"), F.col("plus"), F.col("quality"))
-    first = F.substring("sequence", 1, 1)
+    r = _narrow(
+        spark, d, block_id=F.col("block_id"), size=B.record_bytes(*_parts()), length=F.length("quality"), first=F.substring("sequence", 1, 1)
+    )
+    same = F.min("first") == F.max("first")
     return r.groupBy("block_id").agg(
         F.count("*").alias("n_records"),
-        F.sum(size).alias("size_bytes"),
-        F.min(F.length("quality")).alias("min_length"),
-        F.max(F.length("quality")).alias("max_length"),
-        (F.min(F.length("quality")) != F.max(F.length("quality"))).alias("variable_length"),
-        (F.min(first) == F.max(first)).alias("primer_const"),
-        F.when(F.min(first) == F.max(first), F.min(first)).alias("primer_base"),
+        F.sum("size").alias("size_bytes"),
+        F.min("length").alias("min_length"),
+        F.max("length").alias("max_length"),
+        (F.min("length") != F.max("length")).alias("variable_length"),
+        same.alias("primer_const"),
+        F.when(same, F.min("first")).alias("primer_base"),
     )
 
 
 def block_meta_check(spark: SparkSession, d: str) -> DataFrame:
     """Recorded block headers against the reads that are there."""
-    seen = _reads(spark, d, "block_id", "quality").groupBy("block_id").agg(
-        F.count("*").alias("n_seen"), F.min(F.length("quality")).alias("min_seen"), F.max(F.length("quality")).alias("max_seen")
+    seen = _narrow(spark, d, block_id=F.col("block_id"), length=F.length("quality")).groupBy("block_id").agg(
+        F.count("*").alias("n_seen"), F.min("length").alias("min_seen"), F.max("length").alias("max_seen")
     )
     m = load(spark, d, "block_meta").select("block_id", "records_count", "min_len", "max_len")
     return m.join(seen, "block_id", "left").select(
@@ -236,12 +252,7 @@ def lossy_bin(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lossy_reads(spark: SparkSession, d: str) -> DataFrame:
-    p = _positions(spark, d).withColumn("idx", B.base_index(F.col("base")))
-    base, q = B.lossy_pair(F.col("idx"), F.col("q"))
-    each = F.array_sort(F.collect_list(F.struct("pos", base.alias("b"), B.symbol(q, 33).alias("s"))))
-    return p.groupBy("read_id").agg(each.alias("x")).select(
-        "read_id", F.array_join("x.b", "").alias("lossy_sequence"), F.array_join("x.s", "").alias("lossy_quality")
-    )
+    return once_per_id(blocks.lossy_texts(_offset_reads(spark, d, once=False)).select("read_id", "lossy_sequence", "lossy_quality"))
 
 
 def ambiguity_transfer(spark: SparkSession, d: str) -> DataFrame:
@@ -257,13 +268,12 @@ def ambiguity_restore(spark: SparkSession, d: str) -> DataFrame:
 
 
 def truncated_len(spark: SparkSession, d: str) -> DataFrame:
-    return _codes(spark, d).groupBy("read_id").agg(
-        F.coalesce(F.max(F.when(F.col("code") != 2, F.col("pos"))), F.lit(1)).cast("long").alias("truncated_length"), F.count("*").alias("full_length")
-    )
+    r = blocks.read_lengths(_offset_reads(spark, d, once=False))
+    return once_per_id(r.select("read_id", F.col("cut").cast("long").alias("truncated_length"), F.col("raw").cast("long").alias("full_length")))
 
 
 def quality_scheme(spark: SparkSession, d: str) -> DataFrame:
-    return blocks.quality_lengths(_codes(spark, d))
+    return blocks.quality_lengths(_offset_reads(spark, d, once=False))
 
 
 def quality_model(spark: SparkSession, d: str) -> DataFrame:
@@ -275,7 +285,7 @@ def quality_model(spark: SparkSession, d: str) -> DataFrame:
     n = c.groupBy("block_id").agg(F.count_distinct("code").alias("n_codes"), (F.min("n") == F.max("n")).alias("_same"))
     size = F.when(F.col("n_codes") <= 16, 16).when(F.col("n_codes") <= 32, 32).when(F.col("n_codes") <= 64, 64).otherwise(128)
     long_runs = F.coalesce(F.try_divide(F.col("raw_len"), F.col("rle_len")) > 1.175, F.lit(True))
-    return n.join(blocks.quality_lengths(c), "block_id").select(
+    return n.join(quality_scheme(spark, d), "block_id").select(
         "block_id", "n_codes", size.alias("model"), F.when(F.col("_same") & long_runs, "positional").otherwise("normal").alias("kind")
     )
 
@@ -304,12 +314,20 @@ def run_expand(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def dna_context_k1(spark: SparkSession, d: str) -> DataFrame:
+    return blocks.context_counts(_offset_reads(spark, d), 1)
+
+
 def dna_context_k3(spark: SparkSession, d: str) -> DataFrame:
-    return blocks.context_counts(_codes(spark, d), 3)
+    return blocks.context_counts(_offset_reads(spark, d), 3)
+
+
+def dna_context_k9(spark: SparkSession, d: str) -> DataFrame:
+    return blocks.context_counts(_offset_reads(spark, d), 9)
 
 
 def dna_entropy_k3(spark: SparkSession, d: str) -> DataFrame:
-    return blocks.entropy_bits(blocks.context_counts(_codes(spark, d), 3), ["block_id", "context"])
+    return blocks.entropy_bits(dna_context_k3(spark, d), ["block_id", "context"])
 
 
 def quality_entropy(spark: SparkSession, d: str) -> DataFrame:
@@ -318,23 +336,21 @@ def quality_entropy(spark: SparkSession, d: str) -> DataFrame:
 
 def quality_context(spark: SparkSession, d: str) -> DataFrame:
     """Counts of a quality code by the code before it and the eighth of the read it lies in."""
-    w = W.partitionBy("read_id").orderBy("pos")
-    c = _codes(spark, d).withColumn("previous", F.coalesce(F.lag("code").over(w), F.lit(0)))
-    return c.withColumn("part", B.position_context(F.col("pos"), F.col("n"), 8)).groupBy("part", "previous", "code").agg(F.count("*").alias("n"))
+    return blocks.quality_contexts(_offset_reads(spark, d), 1).select("part", F.col("context").cast("int").alias("previous"), "code", "n")
 
 
 def quality_context_k2(spark: SparkSession, d: str) -> DataFrame:
-    return blocks.quality_contexts(_codes(spark, d), 2)
+    return blocks.quality_contexts(_offset_reads(spark, d), 2)
 
 
 def quality_context_lossy_k3(spark: SparkSession, d: str) -> DataFrame:
-    return blocks.quality_contexts(_codes(spark, d), 3, lossy=True)
+    return blocks.quality_contexts(_offset_reads(spark, d), 3, lossy=True)
 
 
 def block_codec(spark: SparkSession, d: str) -> DataFrame:
     """Sizes of the coded streams of each block with their round trip; without an SQL twin, the codes are built step by step."""
     r = _reads(spark, d, "block_id", "run_id", "tag", "sequence", "quality")
-    kind = blocks.dataset_type(_reads(spark, d, "run_id", "sequence", "plus", "quality")).select("run_id", F.col("quality_offset").alias("offset"))
+    kind = quality_offset_infer(spark, d).select("run_id", F.col("quality_offset").alias("offset"))
     usable = blocks.one_code_per_base(r).filter(F.col("tag").isNotNull() & F.col("sequence").rlike(rf"^[{B.BASE_ORDER}]+$"))
     return codecs.coded_sizes(usable.join(kind.filter("offset is not null"), "run_id"))
 
@@ -372,7 +388,7 @@ def tag_fields(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tag_project(spark: SparkSession, d: str) -> DataFrame:
-    return _reads(spark, d, "tag").select("read_id", T.project(F.col("tag"), [1, 3]).alias("projected"))
+    return _narrow(spark, d, projected=T.project(F.col("tag"), [1, 3]))
 
 
 def tag_mixed(spark: SparkSession, d: str) -> DataFrame:
@@ -397,7 +413,9 @@ def tag_delta_hist(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tag_length_range(spark: SparkSession, d: str) -> DataFrame:
-    return _reads(spark, d, "block_id", "tag").groupBy("block_id").agg(F.min(F.length("tag")).alias("min_len"), F.max(F.length("tag")).alias("max_len"))
+    return _narrow(spark, d, block_id=F.col("block_id"), length=F.length("tag")).groupBy("block_id").agg(
+        F.min("length").alias("min_len"), F.max("length").alias("max_len")
+    )
 
 
 def tag_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -437,7 +455,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             chunk_records, fastq_scan_damaged, stream_sizes, block_stats, block_meta_check, block_digest, block_crc,
             quality_position_hist, quality_hist, base_hist, base_hist_rollup, symbol_index, dna_scheme, iupac_index, lossy_bin,
             lossy_reads, ambiguity_transfer, ambiguity_restore, truncated_len, quality_scheme, quality_model, quality_runs,
-            run_transitions, run_sets, run_expand, dna_context_k3, dna_entropy_k3, quality_entropy, quality_context,
+            run_transitions, run_sets, run_expand, dna_context_k1, dna_context_k3, dna_context_k9, dna_entropy_k3, quality_entropy, quality_context,
             quality_context_k2, quality_context_lossy_k3, block_codec,
             colorspace_decode, colorspace_encode, primer_strip,
             tag_fields, tag_project, tag_mixed, tag_field_stats, tag_deltas, tag_value_hist, tag_delta_hist, tag_length_range, tag_runs, tag_delta_runs, tag_scheme, tag_char_hist, tag_ham_mask,

@@ -254,7 +254,7 @@ def test_runs_and_tail(spark):
     again = ordered.expand(ordered.runs(df, ["b"], ["i"], "v", 255), ["b"], "v").orderBy("ordinal").collect()
     assert [r.v for r in again] == [7] * 600 + [None, 7]
     reads = spark.createDataFrame([(1, 1, 1, "AAA", "I##"), (2, 1, 1, "AAA", "###"), (3, 1, 1, "", "")], "read_id long, block_id long, run_id long, sequence string, quality string")
-    got = blocks.quality_lengths(blocks.with_transfer(blocks.positions(reads))).first()
+    got = blocks.quality_lengths(blocks.with_offset(reads)).first()
     assert (got.raw_len, got.th_len, got.rle_len) == (6, 0, 1) and got.scheme == "truncated"
 
 
@@ -397,18 +397,59 @@ def test_oracles_agree(spark, small):
         assert rows(a) == rows(b), name
 
 
+CONTEXT_READS = [(1, "ACGTACGTACGT", [0, 1, 2, 9, 10, 19, 20, 25, 30, 35, 40, 41]), (2, "NACA", [0, 40, 40, 2]), (3, "A", [7]), (4, "ANN-A", [2, 2, 9, 2, 2])]
+
+
+def context_frame(spark):
+    rows = [(i, 1, 1, s, "".join(chr(33 + x) for x in q)) for i, s, q in CONTEXT_READS]
+    return blocks.with_offset(spark.createDataFrame(rows, "read_id long, block_id long, run_id long, sequence string, quality string"))
+
+
 @pytest.mark.parametrize("order, lossy", [(1, False), (2, False), (4, False), (3, True), (9, True)])
 def test_quality_contexts_of_any_order(spark, order, lossy):
-    reads = [(1, "ACGTACGTACGT", [0, 1, 2, 9, 10, 19, 20, 25, 30, 35, 40, 41]), (2, "NACA", [0, 40, 40, 2]), (3, "A", [7])]
-    rows = [(i, p + 1, len(s), s[p], q[p]) for i, s, q in reads for p in range(len(s))]
-    df = spark.createDataFrame(rows, "read_id long, pos int, n int, base string, q int")
-    got = {(r.part, r.context, r.code): r.n for r in blocks.quality_contexts(blocks.with_transfer(df), order, lossy=lossy).collect()}
-    codes = {(r.read_id, r.pos): r.code for r in blocks.with_transfer(df).collect()}
+    df = context_frame(spark)
+    got = {(r.part, r.context, r.code): r.n for r in blocks.quality_contexts(df, order, lossy=lossy).collect()}
+    codes = {(r.read_id, r.pos): r.code for r in blocks.with_transfer(blocks.positions(df.drop("offset"))).collect()}
     low, want = [0, 2, 10, 20, 25, 30, 35, 40], {}
-    for i, s, q in reads:
-        bins = [0 if s[p] == "N" else max(1, max(k for k in range(8) if low[k] <= q[p])) for p in range(len(s))]
+    for i, s, q in CONTEXT_READS:
+        bins = [0 if s[p] in "N-" else max(1, max(k for k in range(8) if low[k] <= q[p])) for p in range(len(s))]
         of = bins if lossy else [codes[i, p + 1] for p in range(len(s))]
         for p in range(len(s)):
             key = (p * 8 // len(s), ",".join(str(of[p - k] if p >= k else 0) for k in range(order, 0, -1)), of[p])
             want[key] = want.get(key, 0) + 1
     assert got == want
+
+
+@pytest.mark.parametrize("k", [1, 3, 9])
+def test_base_contexts_cross_reads(spark, k):
+    got = {(r.context, r.base): r.n for r in blocks.context_counts(context_frame(spark), k).collect()}
+    line = "ACGTACGTACGT" + "ACA" + "A" + "ANA"  # an ambiguous base with a score below 7 does not stay
+    want = {}
+    for i, c in enumerate(line):
+        key = (("A" * k + line)[i : i + k], c)
+        want[key] = want.get(key, 0) + 1
+    assert got == want
+
+
+def test_read_lengths_and_lossy_texts(spark):
+    got = {r.read_id: (r.raw, r.cut, r.runs, r.last) for r in blocks.read_lengths(context_frame(spark)).collect()}
+    moved = lambda i, q: q + 128 + (i - 4) * 8
+    assert got == {1: (12, 12, 12, 41), 2: (4, 3, 3, 2), 3: (1, 1, 1, 7), 4: (5, 4, 5, 2)} and moved(4, 0) == 128
+    texts = {r.read_id: (r.lossy_sequence, r.lossy_quality) for r in blocks.lossy_texts(context_frame(spark)).collect()}
+    assert texts[1] == ("ACGTACGTACGT", "".join(chr(33 + x) for x in [6, 6, 6, 6, 15, 15, 22, 27, 33, 37, 40, 40]))
+    assert texts[4] == ("ANNNA", "".join(chr(33 + x) for x in [6, 0, 0, 0, 6]))
+
+
+def test_blocks_close_once_over_budget(spark):
+    size = [R.randrange(1, 60) for _ in range(3000)]
+    rows = [(i, None if i % 3 == 2 else i % 3, n) for i, n in enumerate(size)]
+    df = spark.createDataFrame(rows, "read_id long, run_id long, rec_bytes int").repartition(5)
+    got = {r.read_id: r.part for r in ordered.assemble(df, 100, "run_id").collect()}
+    for run in range(3):
+        part = held = 0
+        for i in range(run, 3000, 3):
+            if held > 100:
+                part, held = part + 1, 0
+            held += size[i]
+            assert got[i] == part
+    assert ordered.assemble(df.limit(0), 100, "run_id").count() == 0

@@ -116,6 +116,18 @@ k as (select read_id, a, substr(s, a, 40) as x from (select read_id, s, cast(unn
 sh as (select x from k group by x having min(read_id) < max(read_id)),
 f as (select read_id, a, lead(a) over (partition by read_id order by a) as nx from k join sh using (x))
 select read_id, cast(sum(least(40, coalesce(nx - a, 40))) as bigint) as shared_bases from f group by read_id""",
+        "p5_found": """with recursive l as (select chunk_id, unnest(range(1, len(x) + 1)) as k, unnest(x) as line, len(x) as m from
+  (select chunk_id, string_split(chunk_text, chr(10)) as x from fastq_chunks where strlen(chunk_text) > 4096)),
+z as (select chunk_id, (k - 1) // 4 + 1 as i, sum(strlen(line) + case when k < m then 1 else 0 end) as n from l group by chunk_id, (k - 1) // 4 having n > 0),
+c as (select *, sum(n) over (partition by chunk_id order by i) as e, max(i) over (partition by chunk_id) as m from z),
+f as (select a.chunk_id, a.i, any_value(a.m) as m, any_value(a.e - a.n) as s, any_value(a.n) as n, max(b.i) as j, max(b.e) - any_value(a.e - a.n) as size
+  from c a join c b on b.chunk_id = a.chunk_id and b.i >= a.i and (b.e - (a.e - a.n) <= 4096 or b.i = a.i) group by a.chunk_id, a.i),
+g as (select f.*, case when f.n > 4096 then f.i + 1 when j = f.m then null when j > f.i and y.n + x.n <= 4096 then j else j + 1 end as nxt
+  from f join c y on y.chunk_id = f.chunk_id and y.i = f.j left join c x on x.chunk_id = f.chunk_id and x.i = f.j + 1),
+w as (select * from g where i = 1 union all select g.* from w join g on g.chunk_id = w.chunk_id and g.i = w.nxt),
+p as (select chunk_id, i, s + 3840 * k as a, least(4096, n - 3840 * k) as b from (select *, unnest(range(0, case when n <= 4096 then 1 else cast(ceil((n - 256) / 3840) as bigint) end)) as k from w) where n > 4096
+  union all select chunk_id, i, s, size from w where n <= 4096)
+select chunk_id, cast(row_number() over (partition by chunk_id order by i, a) as int) as piece_no, cast(a as bigint) as first_byte, cast(b as bigint) as n_bytes from p""",
         "p6_found": """with r as (select distinct read_id, sequence as s, quality as q from fastq_reads where sequence is not null),
 c as (select read_id, unnest(range(1, length(s) + 1)) as pos, unnest(string_split(s, '')) as c from r where s <> ''),
 f as (select *, coalesce(last_value(case when c not in ('N', '.') then c end ignore nulls) over w, first_value(c) over w) as k from c

@@ -64,7 +64,8 @@ def balanced_pieces(raw: bytes, limit: int, overlap: int) -> list[tuple[int, int
         for k in range(1, count):
             target = size * k / count
             for marks in (records, lines):
-                near = int(marks[np.argmin(np.abs(marks - target))])
+                at = int(np.searchsorted(marks, target))
+                near = min((int(x) for x in marks[max(at - 1, 0) : at + 1]), key=lambda x: abs(x - target))
                 if abs(near - target) <= reach and near > cuts[-1]:
                     break
             else:
@@ -111,12 +112,15 @@ def split_records(
     Greedy: a piece holds as many whole records as fit; the next one begins again with the last record of
     the piece before if that has several and the record and its successor fit together, else with the record
     after.  A record over the limit stands alone, cut every `limit` bytes with `overlap` bytes repeated; such
-    cuts may fall inside a character.  Texts within the limit, empty or null ones give no rows; a null id is
+    cuts may fall inside a character.  Balanced: the least number of pieces of nearly equal length, cut at the strongest boundary near
+    each target and never inside a character; limit and overlap must differ by 4 or more.  Texts within the limit, empty or null ones give no rows; a null id is
     kept as null; repeated rows give repeated pieces; lines after the last full record form a record; other
     columns are ignored.
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be less than limit")
+    if balanced and limit - overlap < 4:
+        raise ValueError("balanced pieces must have room for a character")
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(
         F.octet_length("text") > limit
     )

@@ -1,4 +1,4 @@
-"""Command line: python -m readmill compress IN OUT, python -m readmill decompress IN OUT; - is stdin or stdout."""
+"""Command line: python -m readmill compress IN OUT, python -m readmill decompress IN OUT; - is stdin or stdout, as with -s and one name."""
 
 from __future__ import annotations
 
@@ -6,11 +6,12 @@ import argparse
 import os
 import shutil
 import sys
-import tempfile
 
 from readmill import api
 from readmill.plans.options import PRESETS, Options
-from readmill.plans.runtime import session
+from readmill.plans.runtime import new_folder, session
+from readmill.sources.archive import stream_report
+from readmill.sources.fastq import file_system
 
 EXTENSIONS = (".fastq", ".fq")
 
@@ -19,7 +20,8 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="readmill")
     p.add_argument("verb", choices=["compress", "c", "decompress", "d"])
     p.add_argument("source")
-    p.add_argument("target")
+    p.add_argument("target", nargs="?")
+    p.add_argument("-s", dest="standard", action="store_true", help="read from stdin or write to stdout; only the archive is named")
     p.add_argument("-d", dest="dna_level", type=int)
     p.add_argument("-q", dest="quality_level", type=int)
     p.add_argument("-b", dest="buffer_mb", type=int)
@@ -45,21 +47,25 @@ def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     try:
         options = options_of(a)
+        if a.standard == (a.target is not None):
+            raise ValueError("name an input and an output, or one of them with -s")
+        if a.standard:
+            a.source, a.target = ("-", a.source) if a.verb[0] == "c" else (a.source, "-")
         if a.source == a.target:
             raise ValueError("input and output have the same name")
     except ValueError as e:
         print(e, file=sys.stderr)
         return 2
     spark = session("readmill", options.threads)
-    spool = None
     try:
         if a.verb[0] == "c":
             source = a.source
-            if source == "-":  # a pipe cannot be split: it becomes a file first
-                spool, source = tempfile.mkstemp(suffix=".fastq")
-                with os.fdopen(spool, "wb") as f:
+            if source == "-":  # a pipe cannot be split: it becomes a file in the shared folder first
+                source = f"{new_folder(spark, 'stdin')}.fastq"
+                system, at = file_system(source)
+                system.create_dir(os.path.dirname(at), recursive=True)
+                with system.open_output_stream(at) as f:
                     shutil.copyfileobj(sys.stdin.buffer, f)
-                spool = source
             elif not source.endswith(EXTENSIONS):
                 print(f"the input's name does not end in {' or '.join(EXTENSIONS)}", file=sys.stderr)
             api.compress(spark, source, a.target, options)
@@ -69,14 +75,13 @@ def main(argv: list[str] | None = None) -> int:
         else:
             api.decompress(spark, a.source, a.target)
         if a.verbose and a.verb[0] == "c":
-            for r in spark.read.parquet(f"{a.target}/blocks").agg({"*": "count", "n_records": "sum"}).collect():
+            n = spark.read.parquet(f"{a.target}/blocks").agg({"*": "count", "n_records": "sum"}).first()
+            print(f"blocks\t{n[0]}\nrecords\t{n[1]}", file=sys.stderr)
+            for r in stream_report(spark, a.target).orderBy("stream").collect():
                 print(*r, sep="\t", file=sys.stderr)
     except ValueError as e:
         print(e, file=sys.stderr)
         return 1
-    finally:
-        if spool:
-            os.unlink(spool)
     return 0
 
 

@@ -6,6 +6,10 @@ version in one sidecar row, and a checksum per block and stream that is verified
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +17,7 @@ from readmill.functions import bases as B
 from readmill.functions import tags as T
 from readmill.operators import blocks
 from readmill.plans.options import Options
+from readmill.sources.fastq import file_system, files_of, qualified
 
 VERSION = (1, 0)
 
@@ -97,6 +102,34 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     return df.select("block_id", "read_id", "tag", "sequence", B.plus_line(F.col("tag"), F.col("repeated")).alias("plus"), "quality")
 
 
+#: Columns of the stored reads that make up each stream of an archive.
+STREAMS = {"meta": ("block_id", "read_id", "repeated"), "tag": ("tag",), "dna": ("sequence",), "quality": ("quality",)}
+
+
+def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    of = {c: k for k, cols in STREAMS.items() for c in cols}
+    for b in batches:
+        names, raw, stored = [], [], []
+        for path in b.column(0).to_pylist():
+            system, at = file_system(path)
+            with system.open_input_file(at) as f:
+                meta = pq.ParquetFile(f).metadata
+                for g in range(meta.num_row_groups):
+                    for c in range(meta.num_columns):
+                        col = meta.row_group(g).column(c)
+                        names.append(of.get(col.path_in_schema, "meta"))
+                        raw.append(col.total_uncompressed_size)
+                        stored.append(col.total_compressed_size)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(raw, pa.int64()), pa.array(stored, pa.int64())], names=["stream", "r", "s"])
+
+
+def stream_report(spark: SparkSession, path: str) -> DataFrame:
+    """(stream, encoded_bytes, stored_bytes) of an archive's four streams, from the footers of its files, which tasks read."""
+    paths = [p for p, _ in files_of(qualified(spark, f"{path}/reads")) if p.endswith(".parquet")]
+    files = spark.createDataFrame(pa.table({"path": pa.array(paths, pa.string())}))
+    return files.mapInArrow(_footers, "stream string, r long, s long").groupBy("stream").agg(F.sum("r").alias("encoded_bytes"), F.sum("s").alias("stored_bytes"))
+
+
 def corrupt_blocks(spark: SparkSession, path: str) -> DataFrame:
     """Blocks whose reads no longer have the checksums or the number that were stored."""
     side = dataset_of(spark, path)

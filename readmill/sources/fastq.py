@@ -116,6 +116,48 @@ def _text(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(size), pa.py_buffer(off), pa.py_buffer(raw.astype(np.uint8)))
 
 
+def _batch(part: ByteRange, start: np.ndarray, texts: list[pa.Array], valid: bool) -> pa.RecordBatch:
+    n = len(start)
+    head = [pa.array(np.full(n, part.file_no, np.int32)), pa.array(start.astype(np.int64))]
+    return pa.RecordBatch.from_arrays([*head, *texts, pa.array(np.full(n, valid))], names=[c.split()[0] for c in SCHEMA.split(", ")])
+
+
+def read_range(part: ByteRange) -> Iterator[pa.RecordBatch]:
+    """The records, and what is none, that begin in a byte range."""
+    system, path = file_system(part.path)
+    back = ahead = PEEK
+    with system.open_input_file(path) as f:
+        while True:
+            low, high = max(0, part.start - back), min(part.size, part.stop + ahead)
+            f.seek(low)
+            lines = Lines(f.read(high - low), high == part.size)
+            # a scan that begins a little before the split is in step with one from the file's start
+            at = 0
+            if low:
+                # the first lines are cut off or may be a quality whose record is not in sight
+                sure = lines.certain[lines.certain > 3]
+                sure = sure[~lines.likely[sure - 3]]
+                if not len(sure) or low + lines.start[sure[0]] >= part.start:
+                    back *= 4
+                    continue
+                at = int(sure[0])
+            good, bad, stopped = scan(lines, at, high == part.size)
+            if high < part.size and (stopped >= len(lines.start) or low + lines.start[stopped] < part.stop):
+                ahead *= 4
+                continue
+            break
+    begin = low + lines.start
+    good = good[(begin[good] >= part.start) & (begin[good] < part.stop)]
+    for a in range(0, len(good), BATCH):
+        k = good[a : a + BATCH]
+        yield _batch(part, begin[k], [_text(lines.data, lines.start[k + i], lines.end[k + i]) for i in range(4)], True)
+    bad = [(a, b) for a, b in bad if part.start <= begin[a] < part.stop and lines.size[a:b].any()]
+    if bad:
+        line = lambda k: lines.data[lines.start[k] : lines.end[k]].tobytes().decode("utf-8", "replace")
+        texts = [pa.array([line(a + i) if a + i < b else None for a, b in bad], pa.string()) for i in range(4)]
+        yield _batch(part, begin[[a for a, _ in bad]], texts, False)
+
+
 class FastqReader(DataSourceReader):
     def __init__(self, options: dict):
         self.split = int(options.get("splitBytes", 64 << 20))
@@ -129,46 +171,8 @@ class FastqReader(DataSourceReader):
         ]
 
     def read(self, part: ByteRange | None) -> Iterator[pa.RecordBatch]:
-        if part is None:  # there is no file
-            return
-        system, path = file_system(part.path)
-        back = ahead = PEEK
-        with system.open_input_file(path) as f:
-            while True:
-                low, high = max(0, part.start - back), min(part.size, part.stop + ahead)
-                f.seek(low)
-                lines = Lines(f.read(high - low), high == part.size)
-                # a scan that begins a little before the split is in step with one from the file's start
-                at = 0
-                if low:
-                    # the first lines are cut off or may be a quality whose record is not in sight
-                    sure = lines.certain[lines.certain > 3]
-                    sure = sure[~lines.likely[sure - 3]]
-                    if not len(sure) or low + lines.start[sure[0]] >= part.start:
-                        back *= 4
-                        continue
-                    at = int(sure[0])
-                good, bad, stopped = scan(lines, at, high == part.size)
-                if high < part.size and (stopped >= len(lines.start) or low + lines.start[stopped] < part.stop):
-                    ahead *= 4
-                    continue
-                break
-        begin = low + lines.start
-        good = good[(begin[good] >= part.start) & (begin[good] < part.stop)]
-        for a in range(0, len(good), BATCH):
-            k = good[a : a + BATCH]
-            yield self.batch(part, begin[k], [_text(lines.data, lines.start[k + i], lines.end[k + i]) for i in range(4)], True)
-        bad = [(a, b) for a, b in bad if part.start <= begin[a] < part.stop and lines.size[a:b].any()]
-        if bad:
-            line = lambda k: lines.data[lines.start[k] : lines.end[k]].tobytes().decode("utf-8", "replace")
-            texts = [pa.array([line(a + i) if a + i < b else None for a, b in bad], pa.string()) for i in range(4)]
-            yield self.batch(part, begin[[a for a, _ in bad]], texts, False)
-
-    @staticmethod
-    def batch(part: ByteRange, start: np.ndarray, texts: list[pa.Array], valid: bool) -> pa.RecordBatch:
-        n = len(start)
-        head = [pa.array(np.full(n, part.file_no, np.int32)), pa.array(start.astype(np.int64))]
-        return pa.RecordBatch.from_arrays([*head, *texts, pa.array(np.full(n, valid))], names=[c.split()[0] for c in SCHEMA.split(", ")])
+        if part is not None:  # there is a file
+            yield from read_range(part)
 
 
 class FastqDataSource(DataSource):
@@ -209,6 +213,24 @@ def read_fastq(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> D
     return df.withColumn("read_id", F.col("file_no").cast("long") * (1 << 48) + F.col("start_byte"))
 
 
+def _ranges_read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for path, start, stop, size in zip(*(c.to_pylist() for c in b.columns)):
+            for rows in read_range(ByteRange(0, path, start, stop, size)):
+                names = pa.array([path] * len(rows), pa.string())
+                yield pa.RecordBatch.from_arrays([names, *rows.columns[1:]], names=["path", *rows.schema.names[1:]])
+
+
+def records_of(files: DataFrame, split_bytes: int = 64 << 20) -> DataFrame:
+    """The rows of the `fastq` source, with path in place of file_no, for a frame of (path, length), a stream of files as well.
+
+    Files are cut into byte ranges that are read by different tasks, so no file has to fit in one row.
+    """
+    cut = files.filter("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
+    ranges_ = cut.select("path", "start", F.least(F.col("start") + split_bytes, F.col("length")).alias("stop"), "length")
+    return ranges_.repartition("path", "start").mapInArrow(_ranges_read, SCHEMA.replace("file_no int", "path string"))
+
+
 def write_fastq(df: DataFrame, path: str) -> None:
     """Writes tag, sequence, plus, quality as FASTQ text in the order of read_id."""
     from readmill.functions.bases import fastq_text

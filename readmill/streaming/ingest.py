@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readmill.sources.fastq import chunk_rows
+from readmill.sources.fastq import records_of
 
 
-def fastq_stream(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
-    """Records of FASTQ files as they arrive; a file is one row until it is cut into records."""
-    raw = (
-        spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", files_per_trigger).load(folder)
-        .select(F.col("_metadata.file_name").alias("file_name"), F.col("value"))
-    )
-    return chunk_rows(raw, "file_name", "value")
+def fastq_stream(spark: SparkSession, folder: str, files_per_trigger: int = 100, split_bytes: int = 64 << 20) -> DataFrame:
+    """Records of FASTQ files as they arrive, read by byte ranges: only paths and lengths pass through the stream's source."""
+    kinds = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(kinds).option("maxFilesPerTrigger", files_per_trigger).load(folder).select("path", "length")
+    return records_of(files, split_bytes)
 
 
 def once_within(df: DataFrame, key: str, time: str, late: str) -> DataFrame:

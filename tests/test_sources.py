@@ -159,7 +159,7 @@ def test_streaming(spark, tmp_path, small):
     for k in range(3):
         (tmp_path / "in").mkdir(exist_ok=True)
         (tmp_path / "in" / f"{k}.fastq").write_text(records(10)[1])
-    ingest.run_available(ingest.fastq_stream(spark, str(tmp_path / "in")), str(tmp_path / "o"), str(tmp_path / "c"))
+    ingest.run_available(ingest.fastq_stream(spark, str(tmp_path / "in"), split_bytes=300), str(tmp_path / "o"), str(tmp_path / "c"))
     assert spark.read.parquet(str(tmp_path / "o")).filter("valid").count() == 30
     (tmp_path / "in" / "9.fastq").write_text(records(5)[1])
     ingest.run_available(ingest.fastq_stream(spark, str(tmp_path / "in")), str(tmp_path / "o"), str(tmp_path / "c"))
@@ -173,6 +173,56 @@ def test_streaming(spark, tmp_path, small):
     assert spark.read.parquet(str(tmp_path / "o3")).agg(F.sum("n")).first()[0] > 0
 
 
+def test_examples(spark, tmp_path):
+    import importlib.util
+    import pathlib
+
+    def example(name):
+        spec = importlib.util.spec_from_file_location(name, pathlib.Path(__file__).parents[1] / "examples" / f"{name}.py")
+        module = importlib.util.module_from_spec(spec)
+        spec.loader.exec_module(module)
+        return module
+
+    want, text = records(50)
+    (tmp_path / "a.fq").write_text(text)
+    assert example("records").main(spark, str(tmp_path / "a.fq"), str(tmp_path / "r")) == 50
+    example("paths").main(spark, str(tmp_path / "a.fq"), str(tmp_path / "p"), str(tmp_path / "out"))
+    assert "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*"))) == text
+    report = {r.stream: (r.encoded_bytes, r.stored_bytes) for r in archive.stream_report(spark, str(tmp_path / "p")).collect()}
+    assert set(report) == {"meta", "tag", "dna", "quality"} and all(x > 0 for v in report.values() for x in v)
+
+
+def test_record_writer(spark, tmp_path):
+    from readmill import api
+
+    want = [api.Record(*r) for r in records(30)[0]]
+    with api.RecordWriter(spark, str(tmp_path / "a"), Options(buffer_mb=1)) as w:
+        for r in want:
+            w.write(r)
+            w.held += 1 << 18  # as if records were long: several parts are stored
+    assert list(api.records(spark, str(tmp_path / "a"), archive=True)) == want
+    with pytest.raises(ValueError):
+        api.RecordWriter(spark, str(tmp_path / "b")).finish()
+    with pytest.raises(KeyError):
+        with api.RecordWriter(spark, str(tmp_path / "c")) as w:
+            raise KeyError
+    assert not (tmp_path / "c").exists()
+
+
+def test_pipes(spark, tmp_path, monkeypatch, capsys):
+    import io
+    import types
+
+    from readmill import __main__ as cli
+
+    text = records(25)[1]
+    monkeypatch.setattr("sys.stdin", types.SimpleNamespace(buffer=io.BytesIO(text.encode())))
+    assert cli.main(["c", "-s", str(tmp_path / "arc"), "-v"]) == 0
+    assert "records\t25" in capsys.readouterr().err
+    assert cli.main(["d", "-s", str(tmp_path / "arc")]) == 0 and capsys.readouterr().out == text
+    assert cli.main(["c", "-s", "a", "b"]) == 2 and cli.main(["c", "a"]) == 2
+
+
 def test_records_and_stdout(spark, tmp_path, capsys):
     from readmill import __main__ as cli
     from readmill import api

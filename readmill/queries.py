@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from readmill.functions import bases as B
 from readmill.functions import tags as T
-from readmill.operators import blocks, codecs, ordered, packed_fields, rejects, titles, units
+from readmill.operators import blocks, codecs, ordered, packed_fields, range_codec, rejects, titles, units
 from readmill.plans.runtime import load, once_per_id
 
 
@@ -347,12 +347,25 @@ def quality_context_lossy_k3(spark: SparkSession, d: str) -> DataFrame:
     return blocks.quality_contexts(_offset_reads(spark, d), 3, lossy=True)
 
 
+def _codable(spark: SparkSession, d: str) -> DataFrame:
+    r = blocks.one_code_per_base(_reads(spark, d, "block_id", "run_id", "tag", "sequence", "quality"))
+    kind = quality_offset_infer(spark, d).select("run_id", F.col("quality_offset").alias("offset")).filter("offset is not null")
+    return r.filter(F.col("tag").isNotNull() & F.col("sequence").rlike(rf"^[{B.BASE_ORDER}]+$")).join(kind, "run_id")
+
+
 def block_codec(spark: SparkSession, d: str) -> DataFrame:
     """Sizes of the coded streams of each block with their round trip; without an SQL twin, the codes are built step by step."""
-    r = _reads(spark, d, "block_id", "run_id", "tag", "sequence", "quality")
-    kind = quality_offset_infer(spark, d).select("run_id", F.col("quality_offset").alias("offset"))
-    usable = blocks.one_code_per_base(r).filter(F.col("tag").isNotNull() & F.col("sequence").rlike(rf"^[{B.BASE_ORDER}]+$"))
-    return codecs.coded_sizes(usable.join(kind.filter("offset is not null"), "run_id"))
+    return codecs.coded_sizes(_codable(spark, d))
+
+
+def block_codec_k3(spark: SparkSession, d: str) -> DataFrame:
+    """Bases coded by order 3 and qualities by order 1; without an SQL twin, the models adapt symbol by symbol."""
+    return range_codec.order_coded_sizes(_codable(spark, d), 3, 1)
+
+
+def block_codec_k9(spark: SparkSession, d: str) -> DataFrame:
+    """Bases coded by order 9 and qualities by order 2."""
+    return range_codec.order_coded_sizes(_codable(spark, d), 9, 2)
 
 
 # --- colour space ------------------------------------------------------------------------------
@@ -456,7 +469,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             quality_position_hist, quality_hist, base_hist, base_hist_rollup, symbol_index, dna_scheme, iupac_index, lossy_bin,
             lossy_reads, ambiguity_transfer, ambiguity_restore, truncated_len, quality_scheme, quality_model, quality_runs,
             run_transitions, run_sets, run_expand, dna_context_k1, dna_context_k3, dna_context_k9, dna_entropy_k3, quality_entropy, quality_context,
-            quality_context_k2, quality_context_lossy_k3, block_codec,
+            quality_context_k2, quality_context_lossy_k3, block_codec, block_codec_k3, block_codec_k9,
             colorspace_decode, colorspace_encode, primer_strip,
             tag_fields, tag_project, tag_mixed, tag_field_stats, tag_deltas, tag_value_hist, tag_delta_hist, tag_length_range, tag_runs, tag_delta_runs, tag_scheme, tag_char_hist, tag_ham_mask,
             tag_symbol_hist,

@@ -108,18 +108,26 @@ def read_lengths(df: DataFrame) -> DataFrame:
     )
 
 
-def lossy_texts(df: DataFrame) -> DataFrame:
-    """Reads with an offset as they come back from lossy storage: lossy_sequence, lossy_quality (offset 33)."""
+def truncated_positions(df: DataFrame) -> DataFrame:
+    """(block_id, read_id, pos, code) of the places of each read up to its last code that is not 2; df: reads with an offset, once each."""
+    both = F.arrays_zip(F.split("sequence", "").alias("b"), F.split("quality", "").alias("c"))
+    each = read_lengths(df).select("block_id", "read_id", "offset", F.posexplode(F.slice(both, F.lit(1), F.col("cut"))).alias("p0", "x"))
+    code = B.transferred(B.base_index(F.col("x.b")), B.score(F.col("x.c"), F.col("offset")))
+    return each.select("block_id", "read_id", (F.col("p0") + 1).alias("pos"), code.alias("code"))
+
+
+def lossy_texts(df: DataFrame, to_offset: int = 33) -> DataFrame:
+    """Reads with an offset as they come back from lossy storage: lossy_sequence, lossy_quality (in characters from to_offset on)."""
     both = F.arrays_zip(F.split("sequence", "").alias("b"), F.split("quality", "").alias("c"))
     ambiguous = lambda x: B.base_index(x["b"]) > 3
     stored = lambda q: B.lossy_score(F.greatest(B.lossy_bin(q), F.lit(1)))
     seq = F.array_join(F.transform(both, lambda x: F.when(ambiguous(x), "N").otherwise(B.index_base(B.base_index(x["b"])))), "")
-    qual = F.array_join(F.transform(both, lambda x: B.symbol(F.when(ambiguous(x), 0).otherwise(stored(B.score(x["c"], F.col("offset")))), 33)), "")
+    qual = F.array_join(F.transform(both, lambda x: B.symbol(F.when(ambiguous(x), 0).otherwise(stored(B.score(x["c"], F.col("offset")))), to_offset)), "")
     whole, plain = F.lit(None).cast("string"), plain_reads(df)
     for o in (33, 59, 64):
         fits = plain & (F.col("offset") == o) & F.col("quality").rlike(rf"^[\x{o:02x}-\x{o + 63:02x}]*$")
         to = [max((v for low, v in B.LOSSY_BINS if low <= max(q, 2))) for q in range(64)]
-        whole = F.when(fits, F.translate("quality", "".join(map(chr, range(o, o + 64))), "".join(chr(33 + v) for v in to))).otherwise(whole)
+        whole = F.when(fits, F.translate("quality", "".join(map(chr, range(o, o + 64))), "".join(chr(to_offset + v) for v in to))).otherwise(whole)
     out = df.withColumn("_whole", whole)
     return out.select(
         *df.columns, F.when(F.col("_whole").isNotNull(), F.col("sequence")).otherwise(seq).alias("lossy_sequence"),

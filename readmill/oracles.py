@@ -119,6 +119,8 @@ m.min_len is not distinct from lo and m.max_len is not distinct from hi as lengt
     "block_digest": f"""with {_READS} select block_id, md5(coalesce(string_agg(tag, '' order by read_id), '')) as tag_md5,
 md5(coalesce(string_agg(sequence, '' order by read_id), '')) as sequence_md5, md5(coalesce(string_agg(quality, '' order by read_id), '')) as quality_md5 from reads group by block_id""",
     "quality_position_hist": f"with {_POS} select block_id, pos, q, count(*) as n from p group by all",
+    "quality_position_hist_truncated": f"""with {_POS}, u as (select read_id, coalesce(max(pos) filter (where code <> 2), 1) as cut from m group by read_id)
+select block_id, pos, cast(code as bigint) as code, count(*) as n from m join u using (read_id) where pos <= cut group by all""",
     "quality_hist": f"with {_POS} select block_id, code, count(*) as n from m group by all",
     "base_hist": f"with {_POS} select block_id, base, count(*) as n from m where kept group by all",
     "base_hist_rollup": f"with {_POS} select run_id, base, count(*) as n, cast(grouping(run_id) * 2 + grouping(base) as bigint) as level from p group by rollup (run_id, base)",

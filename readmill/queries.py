@@ -53,7 +53,7 @@ def _fields(spark: SparkSession, d: str) -> DataFrame:
 
 #: Columns that come out as 64-bit numbers, by query.
 LONG = {
-    "block_stats": ("min_length", "max_length"), "quality_position_hist": ("pos",), "quality_hist": ("code",), "quality_runs": ("code",),
+    "block_stats": ("min_length", "max_length"), "quality_position_hist": ("pos",), "quality_position_hist_truncated": ("pos", "code"), "quality_hist": ("code",), "quality_runs": ("code",),
     "run_transitions": ("previous", "code"), "quality_context": ("part", "previous", "code"), "quality_context_k2": ("part", "code"), "quality_context_lossy_k3": ("part", "code"), "tag_field_stats": ("min_len", "max_len"),
     "tag_scheme": ("value_bits", "coded_bits"), "tag_length_range": ("min_len", "max_len"),
 }
@@ -209,6 +209,11 @@ def quality_position_hist(spark: SparkSession, d: str) -> DataFrame:
     return blocks.histogram(_positions(spark, d), ["block_id", "pos", "q"])
 
 
+def quality_position_hist_truncated(spark: SparkSession, d: str) -> DataFrame:
+    """Codes by place over the part of each read before its tail of 2s."""
+    return blocks.histogram(blocks.truncated_positions(_offset_reads(spark, d)), ["block_id", "pos", "code"])
+
+
 def quality_hist(spark: SparkSession, d: str) -> DataFrame:
     return blocks.histogram(_codes(spark, d), ["block_id", "code"])
 
@@ -466,7 +471,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             p2_found, p3_found, p3_records, p4_found,
             reads_scan, quality_offset_infer, record_validity, plus_regenerate, fastq_text, record_bytes, block_assemble,
             chunk_records, fastq_scan_damaged, stream_sizes, block_stats, block_meta_check, block_digest, block_crc,
-            quality_position_hist, quality_hist, base_hist, base_hist_rollup, symbol_index, dna_scheme, iupac_index, lossy_bin,
+            quality_position_hist, quality_position_hist_truncated, quality_hist, base_hist, base_hist_rollup, symbol_index, dna_scheme, iupac_index, lossy_bin,
             lossy_reads, ambiguity_transfer, ambiguity_restore, truncated_len, quality_scheme, quality_model, quality_runs,
             run_transitions, run_sets, run_expand, dna_context_k1, dna_context_k3, dna_context_k9, dna_entropy_k3, quality_entropy, quality_context,
             quality_context_k2, quality_context_lossy_k3, block_codec, block_codec_k3, block_codec_k9,

@@ -6,12 +6,15 @@ version in one sidecar row, and a checksum per block and stream that is verified
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from readmill.functions import bases as B
 from readmill.functions import tags as T
@@ -19,33 +22,74 @@ from readmill.operators import blocks
 from readmill.plans.options import Options
 from readmill.sources.fastq import file_system, files_of, qualified
 
-VERSION = (1, 0)
+VERSION = (1, 1)
+
+
+#: Bytes of reads that a task sorts and cuts into blocks.
+PART_BYTES = 256 << 20
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    return df.withColumn("_size", B.record_bytes(F.col("tag"), F.col("sequence"), F.col("plus"), F.col("quality")).cast("long"))
 
 
 def assign_blocks(df: DataFrame, buffer_mb: int) -> DataFrame:
-    """block_id by bytes: the reads of a range partition are cut where their running size exceeds the buffer.
+    """block_id by bytes: the reads of a range of read_ids are cut, in order, as soon as a block's size exceeds the buffer.
 
-    Partition bounds follow read_id, so no running sum spans more than one partition's reads.
+    Ranges are as many as the reads' bytes ask for; a range passes through its task as a sorted stream.
     """
-    from pyspark.sql import Window as W
-
-    size = B.record_bytes(F.col("tag"), F.col("sequence"), F.col("plus"), F.col("quality"))
-    ranged = df.repartitionByRange("read_id").withColumn("_p", F.spark_partition_id().cast("long"))
-    w = W.partitionBy("_p").orderBy("read_id").rowsBetween(W.unboundedPreceding, -1)
-    part = F.floor(F.coalesce(F.sum(size).over(w), F.lit(0)) / (buffer_mb << 20)).cast("long")
-    return ranged.withColumn("block_id", F.col("_p") * (1 << 32) + part).drop("_p")
+    total = _sized(df).agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
+    budget, parts = buffer_mb << 20, max(1, -(-int(total) // max(PART_BYTES, buffer_mb << 20)))
+    ranged = _sized(df).repartitionByRange(parts, "read_id").withColumn("_p", F.spark_partition_id().cast("long")).sortWithinPartitions("read_id")
+    names = ranged.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = size = 0
+        for b in batches:
+            n = b.column(names.index("_size")).fill_null(0).to_numpy()
+            ids, first = np.empty(len(n), np.int64), b.column(names.index("_p"))[0].as_py() if len(b) else 0
+            done = 0
+            while done < len(n):
+                ends = size + np.cumsum(n[done:])
+                stop = done + int(np.searchsorted(ends, budget, side="right")) + 1
+                ids[done:stop] = (first << 32) + part
+                part, size = (part + 1, 0) if stop <= len(n) else (part, int(ends[-1]))
+                done = stop
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids)], names=[*names, "block_id"])
+
+    schema = T_.StructType([*ranged.schema.fields, T_.StructField("block_id", T_.LongType())])
+    return ranged.mapInArrow(run, schema).drop("_size", "_p")
+
+
+def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number of records and checksums of each block, of reads that arrive block by block in order."""
+    block, n, crc, out = None, 0, [0, 0, 0], []
+    for b in batches:
+        keys = b.column(0).to_numpy(zero_copy_only=False)
+        cuts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)])) if len(keys) else np.zeros(1, np.int64)
+        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if keys[a] != block:
+                if block is not None:
+                    out.append((block, n, *crc))
+                block, n, crc = keys[a], 0, [0, 0, 0]
+            n += z - a
+            crc = [zlib.crc32("".join(x or "" for x in b.column(k + 1).slice(a, z - a).to_pylist()).encode(), crc[k]) for k in range(3)]
+    if block is not None:
+        out.append((block, n, *crc))
+    columns = list(zip(*out)) or [[]] * 5
+    names = ["block_id", "n_records", "crc_tag", "crc_sequence", "crc_quality"]
+    yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in columns], names=names)
 
 
 def checksums(df: DataFrame, options: Options) -> DataFrame:
-    """(block_id, n_records, crc of each stream) of the text in order; null for a stream that is not kept exactly."""
-    joined = lambda c: F.crc32(F.coalesce(F.expr(f"listagg({c}, '') within group (order by read_id)"), F.lit("")).cast("binary"))
-    none = F.lit(None).cast("long")
-    return df.groupBy("block_id").agg(
-        F.count("*").alias("n_records"),
-        (joined("tag") if options.check_tag else none).alias("crc_tag"),
-        (joined("sequence") if options.crc32 else none).alias("crc_sequence"),
-        (joined("quality") if options.check_quality else none).alias("crc_quality"),
-    )
+    """(block_id, n_records, crc of each stream) of the text in order; null for a stream that is not kept exactly.
+
+    Blocks arrive sorted and are read as a stream, so that no block's text is held.
+    """
+    order = df.select("block_id", "tag", "sequence", "quality", "read_id").repartition("block_id").sortWithinPartitions("block_id", "read_id").drop("read_id")
+    sums = order.mapInArrow(_crc, "block_id long, n_records long, crc_tag long, crc_sequence long, crc_quality long")
+    kept = {"crc_tag": options.check_tag, "crc_sequence": options.crc32, "crc_quality": options.check_quality}
+    return sums.select("block_id", "n_records", *((F.col(c) if k else F.lit(None).cast("long")).alias(c) for c, k in kept.items()))
 
 
 def transform(df: DataFrame, options: Options, offset: int) -> DataFrame:
@@ -53,14 +97,8 @@ def transform(df: DataFrame, options: Options, offset: int) -> DataFrame:
     if options.fields:
         df = df.withColumn("tag", T.project(F.col("tag"), options.fields))
     if options.lossy:
-        codes = F.arrays_zip(F.split("sequence", "").alias("b"), F.split("quality", "").alias("c"))
-        ambiguous = lambda x: B.base_index(x["b"]) > 3
-        seq = F.array_join(F.transform(codes, lambda x: F.when(ambiguous(x), "N").otherwise(x["b"])), "")
-        low = lambda x: B.lossy_score(F.greatest(B.lossy_bin(B.score(x["c"], offset)), F.lit(1)))
-        qual = F.array_join(
-            F.transform(codes, lambda x: B.symbol(F.when(ambiguous(x), 0).otherwise(low(x)), offset)), ""
-        )
-        df = df.withColumn("_s", seq).withColumn("quality", qual).withColumn("sequence", F.col("_s")).drop("_s")
+        made = blocks.lossy_texts(df.withColumn("offset", F.lit(offset)), offset)
+        df = made.drop("sequence", "quality", "offset").withColumnsRenamed({"lossy_sequence": "sequence", "lossy_quality": "quality"})
     return df
 
 
@@ -82,9 +120,10 @@ def write_archive(df: DataFrame, path: str, options: Options | None = None) -> N
     spark = df.sparkSession
     stored = spark.read.parquet(f"{path}/reads")
     checksums(stored, options).write.mode("overwrite").parquet(f"{path}/blocks")
-    side = [(*VERSION, offset, bool(kind.plus_repetition), bool(kind.color_space), options.lossy, options.crc32, list(options.fields))]
+    n = spark.read.parquet(f"{path}/blocks").agg(F.count("*"), F.sum("n_records")).first()
+    side = [(*VERSION, n[0], n[1], offset, bool(kind.plus_repetition), bool(kind.color_space), options.lossy, options.crc32, list(options.fields))]
     spark.createDataFrame(
-        side, "major int, minor int, quality_offset int, plus_repetition boolean, color_space boolean, lossy boolean, crc32 boolean, fields array<int>"
+        side, "major int, minor int, n_blocks long, n_records long, quality_offset int, plus_repetition boolean, color_space boolean, lossy boolean, crc32 boolean, fields array<int>"
     ).coalesce(1).write.mode("overwrite").parquet(f"{path}/dataset")
 
 
@@ -92,6 +131,9 @@ def dataset_of(spark: SparkSession, path: str):
     side = spark.read.parquet(f"{path}/dataset").first()
     if side is None or (side.major, side.minor) != VERSION:
         raise ValueError("not an archive of this version")
+    seen = spark.read.parquet(f"{path}/blocks").agg(F.count("*"), F.coalesce(F.sum("n_records"), F.lit(0))).first()
+    if tuple(seen) != (side.n_blocks, side.n_records):
+        raise ValueError(f"the archive has {seen[0]} blocks with {seen[1]} records, its header says {side.n_blocks} with {side.n_records}")
     return side
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from readmill.functions.flat import ranges
+from readmill.functions.tags import project
 
 SCHEMA = "file_no int, start_byte long, tag string, sequence string, plus string, quality string, valid boolean"
 #: Bytes before and behind a split that are read first to find a record's start and end; more if they do not suffice.
@@ -204,11 +205,13 @@ def qualified(spark: SparkSession, path: str) -> str:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
 
-def read_fastq(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> DataFrame:
-    """Reads of FASTQ files, with a read_id that follows the order of files and records."""
+def read_fastq(spark: SparkSession, path: str, split_bytes: int = 64 << 20, fields: tuple[int, ...] = ()) -> DataFrame:
+    """Reads of FASTQ files, with a read_id that follows the order of files and records; of titles only `fields` if given."""
     register(spark)
     paths = ",".join(qualified(spark, p) for p in path.split(","))
     df = spark.read.format("fastq").option("splitBytes", split_bytes).load(paths)
+    if fields:
+        df = df.withColumn("tag", project(F.col("tag"), fields))
     # a byte offset orders the records of a file; 2**48 bytes a file are enough
     return df.withColumn("read_id", F.col("file_no").cast("long") * (1 << 48) + F.col("start_byte"))
 

@@ -116,8 +116,28 @@ def test_archive(spark, tmp_path):
         spark.read.parquet(f"{at}/{part}").write.parquet(f"{broken}/{part}")
     assert archive.corrupt_blocks(spark, broken).count() == 1
     spark.read.parquet(f"{at}/dataset").withColumn("major", F.lit(9)).write.parquet(str(tmp_path / "new/dataset"))
-    with pytest.raises(ValueError):
+    with pytest.raises(ValueError, match="version"):
         archive.read_archive(spark, str(tmp_path / "new"))
+    spark.read.parquet(f"{at}/blocks").limit(0).write.parquet(str(tmp_path / "short/blocks"))
+    spark.read.parquet(f"{at}/dataset").write.parquet(str(tmp_path / "short/dataset"))
+    with pytest.raises(ValueError, match="header"):
+        archive.read_archive(spark, str(tmp_path / "short"))
+
+
+def test_archive_blocks_close_over_budget(spark, tmp_path):
+    rows = [(i, f"@t{i}", "A" * 500, "+", "I" * 500) for i in range(5000)]
+    df = spark.createDataFrame(rows, "read_id long, tag string, sequence string, plus string, quality string")
+    got = {r.read_id: r.block_id for r in archive.assign_blocks(df, 1).collect()}
+    size = {}
+    for i in range(5000):
+        size[got[i]] = size.get(got[i], 0) + 1005 + len(f"@t{i}")
+    assert len(got) == 5000 and sorted(size) == list(range(len(size))) and all((1 << 20) < v < (1 << 20) + 1100 for k, v in size.items() if k < len(size) - 1)
+    assert [got[i] for i in range(5000)] == sorted(got.values())
+
+
+def test_projected_titles(spark, tmp_path):
+    (tmp_path / "a.fq").write_text("@R.1 x:y\nAC\n+\nII\n")
+    assert [r.tag for r in read_fastq(spark, str(tmp_path / "a.fq"), fields=(1, 3)).collect()] == ["@R.x:"]
 
 
 def test_lossy_archive_is_idempotent(spark, tmp_path):

@@ -26,7 +26,8 @@ from readmill.llm.lookalike import rewriter_for
 WORD = re.compile(r"[^\W_]+")
 #: Characters of items that one pass over the corpus takes.
 SLICE = 4_000_000
-TABLE_BITS = 21
+#: Slots of the filter per q-gram, and at least so many bits of a slot.
+SPARSE, TABLE_BITS = 16, 16
 
 _CLASS = np.full(256, 32, np.uint8)
 for _c in range(256):
@@ -113,12 +114,12 @@ class Index:
         self.key = key[order]
         self.owner = np.repeat(np.arange(len(items)), [len(g) for g in each])[order] if each else empty
         self.place = np.concatenate([np.arange(len(g)) for g in each])[order] if each else empty
-        self.table = np.zeros(1 << TABLE_BITS, bool)
+        self.bits = max(TABLE_BITS, (SPARSE * len(key)).bit_length())
+        self.table = np.zeros(1 << self.bits, bool)
         self.table[self.slot(self.key)] = True
 
-    @staticmethod
-    def slot(g: np.ndarray) -> np.ndarray:
-        return (g >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    def slot(self, g: np.ndarray) -> np.ndarray:
+        return (g >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def regions(self, g: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Rows (doc, item, first place, last place in the document, band) of bands that reach the item's bound."""
@@ -207,7 +208,7 @@ def _search_block(found_by: list[Index], ids: list[int], texts: list[str]) -> li
     out = set()
     for index in found_by:
         g = grams(whole, index.q)
-        hit = np.flatnonzero(index.table[Index.slot(g)])
+        hit = np.flatnonzero(index.table[index.slot(g)])
         if not len(hit):
             continue
         doc = np.searchsorted(off, hit, side="right") - 1

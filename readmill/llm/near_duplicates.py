@@ -35,6 +35,8 @@ GRAMS = ((10, 5), (16, 7), (24, 9), (32, 10), (43, 11), (54, 12), (112, 13))
 HOT = 40
 #: Records of a block that an over-full bucket is dealt into.
 SIDE = 2048
+#: Rows of minima that a task sorts.
+PART_ROWS = 1_000_000
 #: Bits of a bucket's key; the place of the minimum and the length of the record follow it, each up to TOP.  All three are a positive number.
 KEY_BITS, FIELD_BITS = 43, 10
 TOP = (1 << FIELD_BITS) - 1
@@ -331,7 +333,7 @@ def near_links(df: DataFrame, id_col: str, text_col: str, percent: int = 10, has
     n = df.count()
     reps, members = classes(df, id_col, text_col)
     reps = written(reps)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * hashes // 2_000_000))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * hashes // PART_ROWS))
     long_enough = reps.filter(F.length("text") * percent >= 100)
     buckets = long_enough.mapInArrow(_buckets(percent, hashes), "key long, id long")
     # a bucket is in one partition, which is read as a sorted stream

@@ -279,7 +279,8 @@ def fill_containers(
         "token_start",
         F.least(F.col("n_tokens") - F.col("token_start"), step).alias("n_tokens"),
     )
-    # full pieces need no packing partner but stay in their group: a container of their own
+    # full pieces need no packing partner but stay in their group: a container of their own; the seeded number spreads repeated rows and
+    # rows without an id, so which documents meet also depends on how the table is cut into partitions
     grouped = pieces.withColumn("g", F.expr(f"pmod(xxhash64(id, piece_no, n_tokens, rand(7)), {groups})"))
     return grouped.groupBy("g").applyInPandas(
         _pack(capacity), "container_id long, id long, piece_no int, token_start long, n_tokens long"

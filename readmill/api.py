@@ -80,11 +80,14 @@ def decompress(spark: SparkSession, source: str, target: str) -> None:
     write_fastq(read_archive(spark, source), target)
 
 
-def records(spark: SparkSession, path: str, archive: bool = False) -> Iterator[Record]:
-    """The records of an archive or of FASTQ text in order, one partition at a time."""
-    df = read_archive(spark, path) if archive else read_fastq(spark, path).filter("valid")
-    for r in df.orderBy("read_id").select("tag", "sequence", "plus", "quality").toLocalIterator():
-        yield Record(*r)
+def records(spark: SparkSession, path: str, archive: bool = False, skip_damaged: bool = False) -> Iterator[Record]:
+    """The records of an archive or of FASTQ text in order, one partition at a time; text that is no record is an error unless it is to be skipped."""
+    df = read_archive(spark, path).withColumn("valid", F.lit(True)) if archive else read_fastq(spark, path)
+    for r in df.orderBy("read_id").select("tag", "sequence", "plus", "quality", "valid").toLocalIterator():
+        if r.valid:
+            yield Record(*r[:4])
+        elif not skip_damaged:
+            raise ValueError(f"damaged record {r.tag!r}")
 
 
 def lines(spark: SparkSession, path: str) -> Iterator[str]:

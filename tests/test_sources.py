@@ -257,3 +257,6 @@ def test_records_and_stdout(spark, tmp_path, capsys):
     assert capsys.readouterr().out == text
     (tmp_path / "bad.fq").write_text("@a\nAC\n+\nI\n@b\nAC\n+\nII\n")
     assert cli.main(["c", str(tmp_path / "bad.fq"), str(tmp_path / "no")]) == 1
+    assert [r.tag for r in api.records(spark, str(tmp_path / "bad.fq"), skip_damaged=True)] == ["@b"]
+    with pytest.raises(ValueError):
+        list(api.records(spark, str(tmp_path / "bad.fq")))

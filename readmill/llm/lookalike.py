@@ -256,29 +256,29 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return written(src.mapInArrow(_rewrite(items, False), "id long, look binary, raw binary"))
 
 
-def look_alike_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def look_alike_pairs(df: DataFrame, id_col: str, text_col: str, listed: int = LISTED) -> DataFrame:
     """(a, b), a < b: pairs of ids whose texts are not identical but look identical.
 
     Rows with a null id or text take no part; rows that repeat an id and text count once.  Two wordings of at most
-    LISTED documents each are paired member by member.  Otherwise every document of either one is paired with the
+    `listed` documents each are paired member by member.  Otherwise every document of either one is paired with the
     smallest id of the other, so that the rows grow with the documents and none of them is lost.
     """
     keyed = _keyed(df, id_col, text_col).distinct()
     variants = keyed.groupBy("look", "raw").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     several = variants.groupBy("look").agg(F.min("raw").alias("_lo"), F.max("raw").alias("_hi")).filter("_lo < _hi").select("look")
     some = cut_lineage(variants.join(several.hint("merge"), "look", "left_semi"))
-    listed = cut_lineage(keyed.join(some.hint("merge"), ["look", "raw"]).select("look", "raw", "id", "n"))
-    small = listed.filter(F.col("n") <= LISTED)
+    documents = cut_lineage(keyed.join(some.hint("merge"), ["look", "raw"]).select("look", "raw", "id", "n"))
+    small = documents.filter(F.col("n") <= listed)
     inner = (
         small.alias("x")
         .join(small.alias("y").hint("merge"), F.expr("x.look = y.look and x.raw <> y.raw and x.id < y.id"))
         .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     )
     # only classes with a large wording: its documents and those of the other wordings go with each other's smallest ids
-    large = some.filter(F.col("n") > LISTED).select("look").distinct()
+    large = some.filter(F.col("n") > listed).select("look").distinct()
     outer = (
-        listed.join(large.hint("merge"), "look", "left_semi").alias("x")
-        .join(some.alias("y").hint("merge"), F.expr(f"x.look = y.look and x.raw <> y.raw and (x.n > {LISTED} or y.n > {LISTED})"))
+        documents.join(large.hint("merge"), "look", "left_semi").alias("x")
+        .join(some.alias("y").hint("merge"), F.expr(f"x.look = y.look and x.raw <> y.raw and (x.n > {listed} or y.n > {listed})"))
         .select(F.least("x.id", "y.rep").alias("a"), F.greatest("x.id", "y.rep").alias("b"))
         .filter("a < b")
     )

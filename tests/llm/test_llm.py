@@ -515,18 +515,24 @@ def test_pairs(spark):
     assert lookalike.look_alike_pairs(df.limit(0), "id", "look").count() == 0
 
 
-def test_large_wordings_lose_no_document(spark, monkeypatch):
-    monkeypatch.setattr(lookalike, "LISTED", 5)
+def test_large_wordings_lose_no_document(spark):
     rows = [(i, "Mr Fine") for i in range(10, 30)] + [(3, "Mr Finе"), (40, "Mr Finе"), (50, "Mr\u00a0Fine"), (60, "other")]
     # delivered again: still a wording of two documents
     rows += [(3, "Mr Finе")] * 9
-    got = [tuple(r) for r in lookalike.look_alike_pairs(frame(spark, rows, "id long, t string"), "id", "t").collect()]
+    got = [tuple(r) for r in lookalike.look_alike_pairs(frame(spark, rows, "id long, t string"), "id", "t", listed=5).collect()]
     copies = {(min(i, j), max(i, j)) for i in range(10, 30) for j in (3, 50)} | {(10, 40)}
     assert len(got) == len(set(got)) and set(got) == copies | {(3, 50), (40, 50)}
     members = {tuple(r) for r in lookalike.look_alike_members(frame(spark, rows, "id long, t string"), "id", "t").collect()}
     assert members == {(i, 10, 3) for i in range(10, 30)} | {(3, 3, 3), (40, 3, 3), (50, 50, 3), (60, 60, 60)}
 
 
+def test_many_copies_and_one_look_alike(spark):
+    rows = [(i, "Mr Fine") for i in range(1001)] + [(5000, "Mr Finе")]
+    df = frame(spark, rows, "id long, t string")
+    assert {tuple(r) for r in lookalike.look_alike_pairs(df, "id", "t").collect()} == {(i, 5000) for i in range(1001)}
+    assert {r.look_class for r in lookalike.look_alike_members(df, "id", "t").collect()} == {0}
+
+
 def test_sliding_min():
     a = np.array([R.randrange(100) for _ in range(50)], np.uint64)
     for w in (1, 2, 5, 7, 16):

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readmill.functions.bases import BASE_ORDER
+from readmill.functions.bases import BASE_ORDER, LOSSY_BINS
 from readmill.functions.flat import flat
 
 #: Added to the count of a symbol when it was met; counts are halved before their sum reaches the limit.
@@ -235,7 +235,12 @@ def _dense(parts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]
     return [y.astype(np.int64) for _, y in pairs], [t for t, _ in pairs]
 
 
-def _code(dna_order: int, quality_order: int):
+_LOW = np.array([low for low, _ in LOSSY_BINS])
+
+
+def _code(dna_order: int, quality_order: int, lossy: bool):
+    quality_of = (lambda n: Model(len(LOSSY_BINS), quality_order, 8)) if lossy else (lambda n: quality_model(n, quality_order))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             reads, block = b.column(1).flatten(), b.column(1).offsets.to_numpy()
@@ -246,14 +251,19 @@ def _code(dna_order: int, quality_order: int):
             place = np.arange(len(sequence)) - np.repeat(off[:-1], length)
             offset = np.repeat(np.repeat(b.column(2).to_numpy(), np.diff(block)), length)
             q, idx = quality.astype(np.int64) - offset, _INDEX[sequence]
-            moved = (idx > 3) & (q < 7)
-            codes = np.where(moved, q + 128 + (idx - 4) * 8, q)
+            if lossy:  # every ambiguous base goes, its symbol is 0
+                moved = idx > 3
+                codes = np.where(moved, 0, np.maximum(np.searchsorted(_LOW, q, side="right") - 1, 1))
+            else:
+                moved = (idx > 3) & (q < 7)
+                codes = np.where(moved, q + 128 + (idx - 4) * 8, q)
             cut = [slice(int(off[x]), int(off[y])) for x, y in zip(block[:-1], block[1:])]
             bases, base_tables = _dense([idx[c][~moved[c]] for c in cut])
-            quals, quality_tables = _dense([codes[c] for c in cut])
+            quals = [codes[c] for c in cut]
+            quals, quality_tables = (quals, [_LOW] * len(quals)) if lossy else _dense(quals)
             part = place * 8 // np.maximum(np.repeat(length, length), 1)
             dna, same = _Group(bases, base_tables, None, None).coded(lambda n: base_model(n, dna_order))
-            qual, same_too = _Group(quals, quality_tables, [part[c] for c in cut], [place[c] == 0 for c in cut]).coded(lambda n: quality_model(n, quality_order))
+            qual, same_too = _Group(quals, quality_tables, [part[c] for c in cut], [place[c] == 0 for c in cut]).coded(quality_of)
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0), pa.array(np.diff(block).astype(np.int64)), pa.array([len(x) for x in quals], pa.int64()),
@@ -265,15 +275,15 @@ def _code(dna_order: int, quality_order: int):
     return run
 
 
-def order_coded_sizes(reads: DataFrame, dna_order: int, quality_order: int) -> DataFrame:
+def order_coded_sizes(reads: DataFrame, dna_order: int, quality_order: int, lossy: bool = False) -> DataFrame:
     """(block_id, n_records, n_symbols, base_bytes, quality_bytes, round_trip) of the adaptive order-k codes of each block's bases and qualities.
 
     reads: block_id, read_id, sequence, quality, offset; sequences of known symbols with one quality each.  Base contexts cross reads,
-    quality contexts begin anew with each read.  A block is bounded by its definition; a task holds the blocks of an Arrow batch.
+    quality contexts begin anew with each read.  `lossy` codes the 8 symbols of lossy storage, always with the same model.  A block is bounded by its definition; a task holds the blocks of an Arrow batch.
     """
     each = reads.groupBy("block_id").agg(
         F.array_sort(F.collect_list(F.struct("read_id", "sequence", "quality"))).alias("reads"), F.first("offset").cast("long").alias("offset")
     )
     return each.mapInArrow(
-        _code(dna_order, quality_order), "block_id long, n_records long, n_symbols long, base_bytes long, quality_bytes long, round_trip boolean"
+        _code(dna_order, quality_order, lossy), "block_id long, n_records long, n_symbols long, base_bytes long, quality_bytes long, round_trip boolean"
     )

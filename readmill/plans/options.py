@@ -58,3 +58,13 @@ class Options:
     @property
     def check_quality(self) -> bool:
         return self.crc32 and not self.lossy
+
+    @property
+    def base_coder(self) -> str:
+        """Coder of the bases: static codes at order 0, adaptive contexts above."""
+        return "static" if self.dna_order == 0 else "order"
+
+    @property
+    def quality_coder(self) -> str:
+        """Processor of the qualities: scores as they are or in 8 bins, static codes at order 0 and adaptive contexts above."""
+        return ("lossy" if self.lossy else "lossless") + ("_static" if self.quality_order == 0 else "_order")

@@ -373,6 +373,11 @@ def block_codec_k9(spark: SparkSession, d: str) -> DataFrame:
     return range_codec.order_coded_sizes(_codable(spark, d), 9, 2)
 
 
+def block_codec_lossy_k3(spark: SparkSession, d: str) -> DataFrame:
+    """Lossy symbols of the qualities coded by order 3, bases by order 6."""
+    return range_codec.order_coded_sizes(_codable(spark, d), 6, 3, lossy=True)
+
+
 # --- colour space ------------------------------------------------------------------------------
 
 
@@ -474,7 +479,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             quality_position_hist, quality_position_hist_truncated, quality_hist, base_hist, base_hist_rollup, symbol_index, dna_scheme, iupac_index, lossy_bin,
             lossy_reads, ambiguity_transfer, ambiguity_restore, truncated_len, quality_scheme, quality_model, quality_runs,
             run_transitions, run_sets, run_expand, dna_context_k1, dna_context_k3, dna_context_k9, dna_entropy_k3, quality_entropy, quality_context,
-            quality_context_k2, quality_context_lossy_k3, block_codec, block_codec_k3, block_codec_k9,
+            quality_context_k2, quality_context_lossy_k3, block_codec, block_codec_k3, block_codec_k9, block_codec_lossy_k3,
             colorspace_decode, colorspace_encode, primer_strip,
             tag_fields, tag_project, tag_mixed, tag_field_stats, tag_deltas, tag_value_hist, tag_delta_hist, tag_length_range, tag_runs, tag_delta_runs, tag_scheme, tag_char_hist, tag_ham_mask,
             tag_symbol_hist,

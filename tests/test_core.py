@@ -334,6 +334,7 @@ def test_number_schemes_by_hand(spark):
 
 def test_options():
     assert Options.preset(2, lossy=True).quality_order == 6 and Options.preset(1).dna_order == 6 and Options.preset(0).buffer_mb == 8
+    assert Options.preset(0).quality_coder == "lossless_static" and Options.preset(2, lossy=True).quality_coder == "lossy_order" and Options.preset(1).base_coder == "order"
     for bad in ({"dna_level": 4}, {"quality_level": 3}, {"buffer_mb": 0}, {"quality_offset": 20}, {"threads": 65}, {"fields": (0,)}):
         with pytest.raises(ValueError):
             Options(**bad)
@@ -426,8 +427,8 @@ def test_order_coded_blocks(spark):
     df = spark.createDataFrame(rows, "block_id long, read_id long, sequence string, quality string, offset int").repartition(3)
     from readmill.operators import range_codec as C
 
-    for k, q in ((3, 1), (9, 2)):
-        got = C.order_coded_sizes(df, k, q).collect()
+    for k, q, lossy in ((3, 1, False), (9, 2, False), (6, 3, True)):
+        got = C.order_coded_sizes(df, k, q, lossy).collect()
         assert sorted(r.block_id for r in got) == [0, 1, 2, 3, 4] and all(r.round_trip and r.n_records == 20 and r.n_symbols == 600 for r in got)
     assert C.order_coded_sizes(df.limit(0), 3, 1).count() == 0
 
@@ -437,9 +438,9 @@ def test_all_core_queries_run(spark, small):
 
     names = queries()
     assert set(oracle_sql()) <= set(names)
-    for name in ("block_codec", "block_codec_k3", "block_codec_k9", "block_crc", "quality_position_hist", "block_meta_check", "chunk_records", "p2_found", "p3_found", "p4_found"):
+    for name in ("block_codec", "block_codec_k3", "block_codec_k9", "block_codec_lossy_k3", "block_crc", "quality_position_hist", "block_meta_check", "chunk_records", "p2_found", "p3_found", "p4_found"):
         assert names[name](spark, small).count() > 0
-    for name in ("block_codec", "block_codec_k3", "block_codec_k9"):
+    for name in ("block_codec", "block_codec_k3", "block_codec_k9", "block_codec_lossy_k3"):
         assert names[name](spark, small).filter("not round_trip").count() == 0
 
 

@@ -251,3 +251,9 @@ select block_id, field_no, least(256, c - (k - 1) * 256) as piece_length, count(
 SQL["fastq_scan_damaged"] = SQL["chunk_records"].split("\nselect chunk_id")[0] + """
 select x[4 * record_no - 3] as tag, x[4 * record_no - 2] as sequence, x[4 * record_no - 1] as plus, case when record_no <> 3 then x[4 * record_no] end as quality,
 record_no <> 3 as valid from r"""
+SQL["fastq_scan"] = f"with c as ({SQL['chunk_records']}) select tag, sequence, plus, quality, valid from c"
+SQL["fastq_stream_scan"] = SQL["fastq_scan"]
+SQL["fastq_round_trip"] = f"""with {_READS} select tag, sequence, plus, quality, true as valid from reads
+where starts_with(tag, '@') and length(plus) > 0 and length(sequence) = length(quality)"""
+SQL["archive_round_trip"] = f"""with {_READS} select read_id, tag, sequence, plus, quality, cast(0 as int) as corrupt_blocks from reads
+where starts_with(tag, '@') and plus = '+' and length(sequence) = length(quality) and not regexp_matches(sequence, '^.[0-3.]')"""

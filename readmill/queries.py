@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from readmill.functions import bases as B
 from readmill.functions import tags as T
 from readmill.operators import blocks, codecs, ordered, packed_fields, range_codec, rejects, titles, units
-from readmill.plans.runtime import load, once_per_id
+from readmill.plans.options import Options
+from readmill.plans.runtime import load, new_folder, once_per_id
+from readmill.sources import archive, fastq
+from readmill.streaming import ingest
 
 
 def _raw(spark: SparkSession, d: str) -> DataFrame:
@@ -129,21 +132,54 @@ def block_assemble(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_records(spark: SparkSession, d: str) -> DataFrame:
-    from readmill.sources.fastq import chunk_rows
+    return fastq.chunk_rows(load(spark, d, "fastq_chunks"), "chunk_id", "chunk_text")
 
-    return chunk_rows(load(spark, d, "fastq_chunks"), "chunk_id", "chunk_text")
+
+def _chunk_files(spark: SparkSession, d: str, lost_line: int | None = None) -> str:
+    """The chunks as FASTQ files in the shared folder, each without one of its lines if given."""
+    at = new_folder(spark, "fastq")
+    text = F.regexp_replace("chunk_text", "\r?\n$", "")
+    if lost_line is not None:
+        text = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: i != lost_line), "\n")
+    load(spark, d, "fastq_chunks").filter("chunk_text is not null").select(text.alias("value")).write.text(at)
+    return at
+
+
+def fastq_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks as files, scanned in small splits."""
+    return fastq.read_fastq(spark, _chunk_files(spark, d), 1 << 18).select("tag", "sequence", "plus", "quality", "valid")
 
 
 def fastq_scan_damaged(spark: SparkSession, d: str) -> DataFrame:
-    """The chunks as FASTQ files in the shared folder, each with the quality line of its third record lost, scanned in small splits."""
-    from readmill.plans.runtime import new_folder
-    from readmill.sources.fastq import read_fastq
+    """As fastq_scan, with the quality line of the third record of each chunk lost."""
+    return fastq.read_fastq(spark, _chunk_files(spark, d, 11), 1 << 18).select("tag", "sequence", "plus", "quality", "valid")
+
+
+def fastq_stream_scan(spark: SparkSession, d: str) -> DataFrame:
+    """As fastq_scan, the files as a stream that is worked off once."""
+    out = new_folder(spark, "stream")
+    ingest.run_available(ingest.fastq_stream(spark, _chunk_files(spark, d), split_bytes=1 << 18), f"{out}/rows", f"{out}/checkpoint")
+    return spark.read.parquet(f"{out}/rows").select("tag", "sequence", "plus", "quality", "valid")
 
+
+def _whole_reads(spark: SparkSession, d: str) -> DataFrame:
+    return _reads(spark, d, "tag", "sequence", "plus", "quality").filter(B.valid_record(*_parts()))
+
+
+def fastq_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """All valid reads written as FASTQ text in order and scanned again."""
     at = new_folder(spark, "fastq")
-    lines = F.split(F.regexp_replace("chunk_text", "\r?\n$", ""), "\n")
-    damaged = F.array_join(F.filter(lines, lambda x, i: i != 11), "\n")
-    load(spark, d, "fastq_chunks").filter("chunk_text is not null").select(damaged.alias("value")).write.text(at)
-    return read_fastq(spark, at, 1 << 18).select("tag", "sequence", "plus", "quality", "valid")
+    fastq.write_fastq(_whole_reads(spark, d), at)
+    return fastq.read_fastq(spark, at, 1 << 20).select("tag", "sequence", "plus", "quality", "valid")
+
+
+def archive_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Reads that make one consistent dataset (bases, plain plus lines) through an archive with checksums, which are verified."""
+    at = new_folder(spark, "archive")
+    one = _whole_reads(spark, d).filter("plus = '+' and not sequence rlike '^.[0-3.]'")
+    archive.write_archive(one, at, Options(crc32=True, buffer_mb=1, quality_offset=33))
+    bad = archive.corrupt_blocks(spark, at).count()
+    return archive.read_archive(spark, at).select("read_id", "tag", "sequence", "plus", "quality", F.lit(bad).alias("corrupt_blocks"))
 
 
 def stream_sizes(spark: SparkSession, d: str) -> DataFrame:
@@ -475,7 +511,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             p2_found, p3_found, p3_records, p4_found,
             reads_scan, quality_offset_infer, record_validity, plus_regenerate, fastq_text, record_bytes, block_assemble,
-            chunk_records, fastq_scan_damaged, stream_sizes, block_stats, block_meta_check, block_digest, block_crc,
+            chunk_records, fastq_scan, fastq_scan_damaged, fastq_stream_scan, fastq_round_trip, archive_round_trip, stream_sizes, block_stats, block_meta_check, block_digest, block_crc,
             quality_position_hist, quality_position_hist_truncated, quality_hist, base_hist, base_hist_rollup, symbol_index, dna_scheme, iupac_index, lossy_bin,
             lossy_reads, ambiguity_transfer, ambiguity_restore, truncated_len, quality_scheme, quality_model, quality_runs,
             run_transitions, run_sets, run_expand, dna_context_k1, dna_context_k3, dna_context_k9, dna_entropy_k3, quality_entropy, quality_context,

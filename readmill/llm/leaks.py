@@ -12,6 +12,7 @@ larger set is worked off in slices of that size.
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -76,6 +77,7 @@ def grams(s: np.ndarray, q: int = 16) -> np.ndarray:
 class Item(NamedTuple):
     id: int
     words: list[str]
+    where: dict[str, list[int]]  # the places of each word
     stream: np.ndarray
     ends: np.ndarray  # where each word begins in the stream, and one behind the last
     shortest: int  # least length of a stretch that a run must hold unedited
@@ -90,7 +92,10 @@ def prepared(items: list[tuple[int, str]], words: int, edits: int) -> list[Item]
         own = WORD.findall(folded)
         if len(own) >= words:
             ends = np.cumsum([0, *(len(w) + 1 for w in own)])
-            out.append(Item(key, own, stream(folded).copy(), ends, int((ends[row:] - ends[:-row]).min()) - 1))
+            where: dict[str, list[int]] = {}
+            for j, w in enumerate(own):
+                where.setdefault(w, []).append(j)
+            out.append(Item(key, own, where, stream(folded).copy(), ends, int((ends[row:] - ends[:-row]).min()) - 1))
     return out
 
 
@@ -148,23 +153,28 @@ class Index:
     def aligned(self, part: list[str], item: int, beside: int) -> bool:
         """Banded alignment of words with the item's, the first of them beside its word number `beside`, give or take the width.
 
-        True for a run of `least` equal words with at most `edits` words replaced, left out or put in between.
+        True for a run of `least` equal words with at most `edits` words replaced, left out or put in between.  Only the equal
+        pairs of the band are visited, each with the longest runs that end at it.
         """
-        own, least, k = self.items[item].words, self.least, self.edits
-        # run[j][e]: longest run that ends at the pair (part word, own word j) with e edited words
-        before = [[0] * (k + 1) for _ in range(len(own) + 1)]
+        where, least, k = self.items[item].where, self.least, self.edits
+        rows: deque[dict[int, list[int]]] = deque(maxlen=k + 1)  # of the words before: own word -> longest run for 0 .. k edits
         for i, w in enumerate(part):
-            now = [[0] * (k + 1) for _ in range(len(own) + 1)]
-            for j in range(max(1, beside + i + 1 - self.width), min(len(own), beside + i + 1 + self.width) + 1):
-                if w == own[j - 1]:
-                    for e in range(k + 1):
-                        now[j][e] = before[j - 1][e] + 1
-                        if now[j][e] >= least:
-                            return True
-                else:
-                    for e in range(1, k + 1):
-                        now[j][e] = max(before[j - 1][e - 1], before[j][e - 1], now[j - 1][e - 1])
-            before = now
+            now = {}
+            for j in where.get(w, ()):
+                if abs(j - beside - i) > self.width:
+                    continue
+                best = [1] * (k + 1)
+                for skipped, row in enumerate(rows):
+                    for left_out in range(k + 1):
+                        before = row.get(j - 1 - left_out)
+                        if before is not None:
+                            cost = max(skipped, left_out)
+                            for e in range(cost, k + 1):
+                                best[e] = max(best[e], before[e - cost] + 1)
+                if best[k] >= least:
+                    return True
+                now[j] = best
+            rows.appendleft(now)
         return False
 
 

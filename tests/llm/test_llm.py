@@ -444,17 +444,15 @@ def test_leaks_with_edits(spark):
 
 
 def longest_run(own, doc, edits):
-    """Longest run of equal words with at most that many edited ones, by the plain alignment of all words."""
-    best = 0
-    run = [[[0] * (edits + 1) for _ in range(len(own) + 1)] for _ in range(len(doc) + 1)]
-    for i, w in enumerate(doc, 1):
-        for j, o in enumerate(own, 1):
+    """Longest run of equal words with at most that many edited ones, over all pairs of words."""
+    run, best = {}, 0
+    for i, w in enumerate(doc):
+        for j, o in enumerate(own):
             for e in range(edits + 1):
                 if w == o:
-                    run[i][j][e] = run[i - 1][j - 1][e] + 1
-                elif e:
-                    run[i][j][e] = max(run[i - 1][j - 1][e - 1], run[i - 1][j][e - 1], run[i][j - 1][e - 1])
-            best = max(best, *run[i][j])
+                    gaps = [(a, b) for a in range(e + 1) for b in range(e + 1)]
+                    run[i, j, e] = 1 + max(run.get((i - 1 - a, j - 1 - b, e - max(a, b)), 0) for a, b in gaps)
+                    best = max(best, run[i, j, e])
     return best
 
 

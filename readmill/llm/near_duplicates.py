@@ -7,7 +7,7 @@
    at the limit still shares some; a record a little above a step gives the minima of both lengths.
 3. Representatives that share a band become a candidate pair, unless the places of the minimum or the lengths differ by
    more than the edits that are allowed: then the q-gram is not one that the edits left in place.
-4. Candidates of over-full buckets must pass a signature of short q-grams, whose bound refuses no near pair.
+4. Candidates of over-full buckets must pass a signature of short q-grams and their places, whose bound refuses no near pair.
 5. Candidates are verified by the edit distance with a bound, inside generated JVM code.
 
 A q-gram that many records hold, such as an adapter, the core of a large family of edited copies or a low-complexity stretch,
@@ -40,8 +40,8 @@ PART_ROWS = 1_000_000
 #: Bits of a bucket's key; the place of the minimum and the length of the record follow it, each up to TOP.  All three are a positive number.
 KEY_BITS, FIELD_BITS = 43, 10
 TOP = (1 << FIELD_BITS) - 1
-#: Lengths of the short q-grams for the lower bounds of the edit distance: a quick one first.
-SHORT = (4, 5)
+#: Length of the short q-grams for the lower bound of the edit distance, stretches of a record that they are told apart by, records compared at a time.
+SHORT, SEGMENTS, ROWS = 4, 4, 64
 #: Pairs that a task makes at a time.
 BLOCK = 1 << 20
 
@@ -203,23 +203,38 @@ def _pairs(percent: int, hot: int, side: int):
     return run
 
 
-def profiles(codes: np.ndarray, off: np.ndarray, short: int) -> np.ndarray:
-    """(words x records): which short q-grams a record holds.  An edit changes 2 * short bits at most."""
-    out = np.zeros((len(off) - 1, 4**short), bool)
-    if len(codes) >= short:
-        # two bits a symbol, which tell the four bases apart; other symbols that fall together only loosen the bound
-        two = (codes >> 1 & 3).astype(np.int64)
-        at = np.zeros(len(codes) - short + 1, np.int64)
-        for k in range(short):
-            at = at * 4 + two[k : k + len(at)]
-        owner = np.repeat(np.arange(len(off) - 1), np.diff(off))[: len(at)]
-        inside = np.arange(len(at)) + short <= off[1:][owner]
-        out[owner[inside], at[inside]] = True
-    return np.ascontiguousarray(np.packbits(out, axis=1).view(np.uint64).T)
+# two bits a symbol, which tell the four bases and the four colours apart; other symbols that fall together only loosen the bound
+_TWO_BITS = np.arange(256) & 3
+_TWO_BITS[np.frombuffer(b"ACGT", np.uint8)] = np.arange(4)
+
+
+def placed_grams(codes: np.ndarray, off: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words x records) twice: the short q-grams that a record holds in each of SEGMENTS stretches of it, and those it holds there or within `slack` places.
+
+    A q-gram that no edit touched stands in the other record at most as many places away as there are edits; an edit touches SHORT of them.
+    """
+    n, length = len(off) - 1, np.diff(off)
+    own = np.zeros((n, SEGMENTS, 4**SHORT), bool)
+    near = np.zeros((n, SEGMENTS, 4**SHORT), bool)
+    if len(codes) >= SHORT:
+        two = _TWO_BITS[codes & 255]
+        gram = np.zeros(len(codes) - SHORT + 1, np.int64)
+        for k in range(SHORT):
+            gram = gram * 4 + two[k : k + len(gram)]
+        owner = np.repeat(np.arange(n), length)[: len(gram)]
+        at = np.flatnonzero(np.arange(len(gram)) + SHORT <= off[1:][owner])
+        gram, owner = gram[at], owner[at]
+        place = at - off[owner]
+        size = max(1, -(-int(length.max()) // SEGMENTS))
+        own[owner, np.minimum(place // size, SEGMENTS - 1), gram] = True
+        low, high = np.maximum(place - slack, 0) // size, (place + slack) // size
+        for k in range(int((high - low).max(initial=0)) + 1):
+            near[owner, np.minimum(np.minimum(low + k, high), SEGMENTS - 1), gram] = True
+    return tuple(np.ascontiguousarray(np.packbits(x.reshape(n, -1), axis=1).view(np.uint64).T) for x in (own, near))
 
 
 def _cell(percent: int, hashes: int):
-    """Pairs of two blocks of an over-full bucket, or of one block, that the lower bounds let through.
+    """Pairs of two blocks of an over-full bucket, or of one block, that the lower bound lets through.
 
     A pair that shares several buckets comes from the one with the smallest key only.
     """
@@ -231,22 +246,24 @@ def _cell(percent: int, hashes: int):
         length = np.diff(off)
         x, y = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
         alone = block.min() == block.max()
-        quick, full = (profiles(codes, off, s) for s in SHORT)
+        own, near_by = placed_grams(codes, off, int(length.max(initial=0)) * percent // 100)
+        mine, others = own[:, x], ~near_by[:, y]
         left, right = [], []
-        for a in range(0, len(x), 256):
-            rows = x[a : a + 256]
-            differ = np.zeros((len(rows), len(y)), np.uint16)
-            for word in quick:
-                differ += np.bitwise_count(word[rows][:, None] ^ word[y][None, :])
+        for a in range(0, len(x), ROWS):
+            rows = x[a : a + ROWS]
+            missing = np.zeros((len(rows), len(y)), np.uint16)
+            for k in range(0, len(mine), 3):  # three words have fewer than 256 bits
+                part = np.bitwise_count(mine[k, a : a + ROWS][:, None] & others[k][None, :])
+                for one, other in zip(mine[k + 1 : k + 3], others[k + 1 : k + 3]):
+                    part += np.bitwise_count(one[a : a + ROWS][:, None] & other[None, :])
+                missing += part
             most = np.maximum(length[rows][:, None], length[y][None, :]) * percent // 100
-            near = (differ <= 2 * SHORT[0] * most) & (np.abs(length[rows][:, None] - length[y][None, :]) <= most)
-            i, j = np.nonzero(near)
-            i, j = rows[i], y[j]
-            near = np.bitwise_count(full[:, i] ^ full[:, j]).sum(0) <= 2 * SHORT[1] * (np.maximum(length[i], length[j]) * percent // 100)
+            near = (missing <= SHORT * most) & (np.abs(length[rows][:, None] - length[y][None, :]) <= most)
             if alone:
-                near &= ids[i] < ids[j]
-            left.append(i[near])
-            right.append(j[near])
+                near &= ids[rows][:, None] < ids[y][None, :]
+            i, j = np.nonzero(near)
+            left.append(rows[i])
+            right.append(y[j])
         i, j = np.concatenate(left), np.concatenate(right)
         if len(i):
             used, place = np.unique(np.concatenate((i, j)), return_inverse=True)

@@ -321,6 +321,21 @@ def test_streamed_buckets_give_every_pair(hot, side):
     assert want <= got and one
 
 
+def test_placed_grams_refuse_no_near_pair():
+    for size in (12, 50, 101, 400):
+        a = [dna(size) for _ in range(60)]
+        b = [mutate(x, R.randrange(size // 10 + 1)) for x in a]
+        codes, off = flat(pa.array(a + b))
+        own, near = near_duplicates.placed_grams(codes, off, int(np.diff(off).max()) // 10)
+        for i in range(60):
+            for x, y in ((i, 60 + i), (60 + i, i)):
+                k = distance(a[i], b[i])
+                assert np.bitwise_count(own[:, x] & ~near[:, y]).sum() <= near_duplicates.SHORT * k
+        if size > 40:  # and refuse most others
+            far = [np.bitwise_count(own[:, i] & ~near[:, j]).sum() > near_duplicates.SHORT * (size // 10) for i in range(60) for j in range(60) if i != j]
+            assert np.mean(far) > 0.95
+
+
 def test_family_is_found_alike_in_tables_of_every_size(spark):
     master = dna(100)
     family = list(enumerate(mutate(master, 2) for _ in range(60)))

@@ -77,8 +77,8 @@ def copy_number(key: str) -> Column:
 def once_per_id(df: DataFrame, key: str = "read_id") -> DataFrame:
     """One row per id; a record delivered again is equal in the columns given here.
 
-    Rows without an id are all kept.  The grouping is a hash aggregate with map-side combine, so an id that is
-    delivered very often stays cheap.
+    Rows without an id are all kept.  The grouping combines on the map side (by sorting, as texts are no fixed-width state), so an id
+    that is delivered very often stays cheap.
     """
     rest = [c for c in df.columns if c != key]
     if not rest:

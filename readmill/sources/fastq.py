@@ -19,6 +19,8 @@ from readmill.functions.tags import project
 SCHEMA = "file_no int, start_byte long, tag string, sequence string, plus string, quality string, valid boolean"
 #: Bytes before and behind a split that are read first to find a record's start and end; more if they do not suffice.
 PEEK = 1 << 16
+#: Bytes before or behind a split without a record's start from which on the text is taken for something else.
+MOST_PEEK = 1 << 30
 BATCH = 20_000
 
 
@@ -129,6 +131,8 @@ def read_range(part: ByteRange) -> Iterator[pa.RecordBatch]:
     back = ahead = PEEK
     with system.open_input_file(path) as f:
         while True:
+            if max(back, ahead) > MOST_PEEK:
+                raise ValueError(f"no record begins within {MOST_PEEK} bytes of byte {part.start} of {part.path}")
             low, high = max(0, part.start - back), min(part.size, part.stop + ahead)
             f.seek(low)
             lines = Lines(f.read(high - low), high == part.size)

@@ -30,7 +30,7 @@ from readmill.llm.components import connected_components
 from readmill.plans.runtime import cut_lineage, digest, written
 
 #: (least length, q) of records; the steps lie between the usual lengths of reads.
-GRAMS = ((10, 5), (16, 7), (24, 9), (32, 10), (43, 11), (54, 12), (112, 13))
+GRAMS = ((10, 5), (16, 7), (24, 9), (32, 10), (43, 11), (66, 12), (112, 13))
 #: Records of a bucket beyond which its pairs are made in blocks; it decides where pairs are made, never which.
 HOT = 40
 #: Records of a block that an over-full bucket is dealt into.

@@ -260,7 +260,7 @@ def spread_edits(s, k):
 def test_recall_at_the_limit_in_every_length_band(spark):
     pairs = {}
     for size in (20, 30, 40, 50, 60, 70, 80, 90, 100):
-        for _ in range(150):
+        for _ in range(300):
             a = dna(size)
             b = spread_edits(a, size // 10)
             if distance(a, b) == size // 10 and len(b) <= size:  # 10 % of the longer one

@@ -422,6 +422,68 @@ def test_range_coder_round_trip(size, order, sides):
     assert C.encode(m, [], [], []) == [] == C.decode(m, [], np.zeros(0, np.int64), [], [])
 
 
+def coded_one_by_one(size, order, symbols, side, fresh):
+    """The format of the order-k coder, a symbol at a time."""
+    counts, history, out = {}, 0, bytearray()
+    low, width = 0, (1 << 32) - 1
+    for x, place, begins in zip(symbols, side, fresh):
+        history = 0 if begins else history
+        n = counts.setdefault((place, history), [1] * size)
+        total = sum(n)
+        low, width = low + width // total * sum(n[:x]), width // total * n[x]
+        n[x] += 2
+        if total + 2 > (1 << 16) - 2 * size:
+            n[:] = [(k + 1) // 2 for k in n]
+        history = (history * size + x) % size**order
+        while (low ^ (low + width)) < 1 << 24 or width < 1 << 16:
+            if (low ^ (low + width)) >= 1 << 24:
+                width = -low & 0xFFFF
+            out.append(low >> 24)
+            low, width = low << 8 & 0xFFFFFFFF, width << 8
+    return bytes(out) + low.to_bytes(4, "big") if len(symbols) else b""
+
+
+@pytest.mark.parametrize("size, order, sides", [(4, 0, 1), (4, 9, 1), (8, 3, 8), (19, 1, 1), (64, 2, 8)])
+def test_order_coder_keeps_its_format(size, order, sides):
+    import numpy as np
+
+    from readmill.operators import range_codec as C
+
+    rng = np.random.default_rng(size * 10 + order)
+    length = [900, 0, 1, 40, {4: 52000, 19: 36000}.get(size, 0) if order < 2 else 3000]
+    lanes = [np.minimum(rng.geometric(0.3, n) - 1, size - 1) for n in length]
+    lanes[4][: length[4] // 2] = rng.random(length[4] // 2) < 0.002  # halves counts, and widths become small
+    side, fresh = [rng.integers(0, sides, n) for n in length], [rng.random(n) < 0.01 for n in length]
+    if order < 2:
+        fresh[4][:] = order == 1
+    m = C.Model(size, order, sides)
+    coded = C.encode(m, lanes, side, fresh)
+    assert coded == [coded_one_by_one(size, order, x.tolist(), p.tolist(), f.tolist()) for x, p, f in zip(lanes, side, fresh)]
+    assert all((a == b).all() for a, b in zip(lanes, C.decode(m, coded, np.array(length), side, fresh)))
+
+
+def test_order_coder_takes_many_small_blocks_at_once():
+    import time
+
+    import numpy as np
+
+    from readmill.operators import range_codec as C
+
+    rng = np.random.default_rng(9)
+    for m in (C.Model(4, 9), C.Model(64, 2, 8)):  # the tables of all contexts have 4 and 8 MB a block
+
+        def seconds(n):
+            lanes, side = [rng.integers(0, min(m.size, 40), 200) for _ in range(n)], [np.arange(200) * m.sides // 200] * n
+            began = time.process_time()
+            back = C.decode(m, C.encode(m, lanes, side), np.full(n, 200), side)
+            took = time.process_time() - began
+            assert all((a == b).all() for a, b in zip(lanes, back))
+            return took
+
+        seconds(8)
+        assert seconds(800) < 25 * min(seconds(8) for _ in range(3))
+
+
 def test_order_coded_blocks(spark):
     rows = [(i // 20, i, "".join(R.choice("ACGT" if i < 40 else "ACGTNRY-K") for _ in range(30)), "".join(chr(33 + R.randrange(41)) for _ in range(30)), 33) for i in range(100)]
     df = spark.createDataFrame(rows, "block_id long, read_id long, sequence string, quality string, offset int").repartition(3)
